@@ -1 +1,8 @@
 """Spark-native analytics: DataFrame operators over run metrics, hierarchies, geometry and text."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions go to the executors by value: they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

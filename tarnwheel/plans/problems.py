@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.grid import regular_series
 from ..operators.intervals import periods_and_gaps
 from ..operators.references import orphan_report, orphans
+from ..operators.spikes import filler, wrong_readings
 from ..session import table
 
 QUERIES, SQL = {}, {}
@@ -23,6 +24,26 @@ def query(sql: str | None = None):
     return add
 
 
+def _wrong(spark: SparkSession, d: str) -> DataFrame:
+    rss, cpu, load = (F.col(c) for c in ("proc_rss_bytes", "host_cpu_bps", "host_load1_x100"))
+    impossible = {
+        "proc_rss_bytes": (rss <= 0) | filler(rss) | (rss > F.col("host_mem_total_bytes")),
+        "host_cpu_bps": (cpu < 0) | (cpu > 10_000),
+        "host_load1_x100": (load < 0) | filler(load),
+    }
+    return wrong_readings(table(spark, d, "worker_samples", "worker_id", "epoch_ms", *impossible, "host_mem_total_bytes"), "worker_id", "epoch_ms", impossible)
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _wrong(spark, d).select("worker_id", "epoch_ms", "metric").distinct()
+
+
+@query()
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _wrong(spark, d).groupBy("worker_id", "metric", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 MAX_PAUSE_MS = 7_200_000
 USABLE = "worker_id > 0 and exec_start_ms > 0 and exec_end_ms > exec_start_ms"
 PERIODS_SQL = f"""
