@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .leakage import leaks, without_leaks
 from .nearest import nearest_in_time
 from .packing import CAPACITY, fill, pack
 from .quantiles import combine, daily_summaries, percentiles
@@ -79,3 +80,22 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_containers"), F.sum("n_docs").alias("n_items"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("fullest"),
         F.sum(F.lit(CAPACITY) - F.col("n_tokens")).alias("unused"),
     )
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text", "lang"), "item_id", "text", "lang")
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+@query()
+def p8_longest(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+@query()
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return without_leaks(table(spark, d, "documents", "doc_id", "lang", "source"), "doc_id", _leaks(spark, d))
