@@ -10,6 +10,7 @@ from .leakage import leaks, without_leaks
 from .nearest import nearest_in_time
 from .packing import CAPACITY, fill, pack
 from .quantiles import combine, daily_summaries, percentiles
+from .sentences import sentences
 
 QUERIES, SQL = {}, {}
 
@@ -99,3 +100,15 @@ def p8_longest(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents", "doc_id", "lang", "source"), "doc_id", _leaks(spark, d))
+
+
+@query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "sent_start", "sent_end")
+
+
+@query()
+def p9_lengths(spark: SparkSession, d: str) -> DataFrame:
+    s = p9_found(spark, d).withColumn("n", F.col("sent_end") - F.col("sent_start"))
+    docs = table(spark, d, "documents", "doc_id", "lang", "source")
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.max("n").alias("longest"), F.sum("n").alias("n_chars")).join(docs, "doc_id")
