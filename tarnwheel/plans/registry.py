@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, run_metrics
 
-MODULES = [problems]
+MODULES = [problems, run_metrics]
 
 
 def queries() -> dict:
