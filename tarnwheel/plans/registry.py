@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import design, problems, run_metrics
+from . import design, problems, relations, run_metrics
 
-MODULES = [problems, run_metrics, design]
+MODULES = [problems, run_metrics, design, relations]
 
 
 def queries() -> dict:
