@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import design, problems, relations, run_metrics
+from . import design, problems, relations, run_metrics, systems
 
-MODULES = [problems, run_metrics, design, relations]
+MODULES = [problems, run_metrics, design, relations, systems]
 
 
 def queries() -> dict:
