@@ -62,6 +62,6 @@ def dict_of(required: dict[str, Rule], optional: dict[str, Rule] | None = None)
 def any_of(*rules: Rule) -> Rule:
     def check(v: Any, path: str) -> list[str]:
         found = [r.check(v, path) for r in rules]
-        return [] if any(not f for f in found) else [f"{path or 'value'}: " + " | ".join(e for f in found for e in f)]
+        return [] if any(not f for f in found) else [" | ".join(e for f in found for e in f)]
 
     return Rule(check)

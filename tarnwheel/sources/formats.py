@@ -427,7 +427,7 @@ def parse(df: DataFrame, form: str) -> DataFrame:
 
 def read(spark: SparkSession, paths: str | list[str], form: str, chunk: int = 64 << 20) -> DataFrame:
     """Construct rows of the files; each is read once, cut into chunks and parsed in parallel."""
-    raw = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    raw = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
     return parse(split_texts(raw, form, chunk).repartition("file", "chunk"), form)
 
 
