@@ -28,14 +28,14 @@ PARAGRAPH = re.compile(r"(?:\r?\n|\r)[^\S\r\n]*(?:(?:\r?\n|\r)\s*)+|\u2029\s*")
 PAIR = re.compile(r'[“”„«»「」『』（）()\[\]"]')
 CLOSES = {"”": "“", "»": "«", "」": "「", "』": "『", "）": "（", ")": "(", "]": "[", "“": "„"}
 OPENERS, CLOSERS, QUOTES = frozenset("“„«「『（([\"¿¡‘"), frozenset("”»」』）)]\"’"), frozenset("”»」』\"“")
-TOKEN = re.compile(rf"[^\s(“«„「『（\[,;:、，{CJK}\uff00-\uffef]*$")
+TOKEN = re.compile(rf"[^\s(«\[,;:!?\u201a-\u201f\u2026\u3000-\u3004\u3008-\u3011{CJK}\uff00-\uffef]*$")
 NEXT_WORD = re.compile(r"[^\W\d_][^\s.,;:!?।؟،。，…“”«»()]*")
 CLAUSE = re.compile(r"[^.!?…。．｡！？।؟|,，:：“”«»「」]*")
 SPEECH_FOLLOWS = re.compile(r"\s*(?:[:：]|[,，]\s*[“«„「\"])")
 STRONG, DOTS = frozenset("!?。｡！？।॥؟۔|"), frozenset(".…")
 #: A name follows, or a number or an example: the point ends nothing. Those of MAY_END end a sentence where a new one follows.
 TITLES = frozenset("dr mr mrs ms prof st sr sra srta mme mlle hr д-р г-н г-жа ул проф им डॉ श्री प्रो د أ".split())
-LEADS = frozenset("no nr nos pp vol fig ca approx env aprox vgl cf см стр рис напр прибл тел pág núm ej ex i.e e.g d.h z.b c.-à-d т.е n.º पृ क्र ص انظر".split())
+LEADS = frozenset("no nr nos pp vol fig ca approx env aprox vgl cf см стр рис напр прибл тел pág núm ej ex i.e e.g d.h z.b c.-à-d т.е n.º पृ क्र कि मि सें ص انظر".split())
 MAY_END = frozenset("etc usw bzw т.д т.п др إلخ co inc ltd corp jr u.a kg km cm mm кг км см3 कि.ग्रा كغ कि.मी इत्यादि".split())
 UNITS = frozenset("m g h l t м г ч л т с s".split())
 SAID = frozenset(
@@ -237,7 +237,7 @@ class Model:
     def decode(self, cands: list[tuple[int, tuple]]) -> list[int]:
         """Tags (1: boundary) of the candidates with the highest score, by Viterbi."""
         moves = [self.moves.get(f"{a}{b}{g}", 0.0) for g in range(3) for a in (0, 1) for b in (0, 1)]
-        inside = boundary = 0.0
+        inside, boundary = 0.0, -1e18  # a paragraph begins inside
         at, back = -1000, []
         for end, f in cands:
             g = 4 * near(end - at)
