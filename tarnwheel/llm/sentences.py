@@ -35,8 +35,8 @@ SPEECH_FOLLOWS = re.compile(r"\s*(?:[:：]|[,，]\s*[“«„「\"])")
 STRONG, DOTS = frozenset("!?。｡！？।॥؟۔|"), frozenset(".…")
 #: A name follows, or a number or an example: the point ends nothing. Those of MAY_END end a sentence where a new one follows.
 TITLES = frozenset("dr mr mrs ms prof st sr sra srta mme mlle hr д-р г-н г-жа ул проф им डॉ श्री प्रो د أ".split())
-LEADS = frozenset("no nr nos pp vol fig ca approx env aprox vgl cf см стр рис напр прибл тел pág núm ej ex i.e e.g d.h z.b c.-à-d т.е n.º पृ क्र कि मि सें ص انظر".split())
-MAY_END = frozenset("etc usw bzw т.д т.п др إلخ co inc ltd corp jr u.a kg km cm mm кг км см3 कि.ग्रा كغ कि.मी इत्यादि".split())
+LEADS = frozenset("no nr nos pp vol fig ca approx env aprox vgl cf см стр рис напр прибл тел pág núm ej ex i.e e.g d.h z.b c.-à-d т.е n.º पृ क्र कि मि सें कि.ग्रा कि.मी ص انظر".split())
+MAY_END = frozenset("etc usw bzw т.д т.п др إلخ co inc ltd corp jr u.a kg km cm mm кг км см3 كغ इत्यादि".split())
 UNITS = frozenset("m g h l t м г ч л т с s".split())
 SAID = frozenset(
     "said asked replied answered wrote sagte fragte antwortete meinte dijo preguntó respondió dit demanda répondit "
