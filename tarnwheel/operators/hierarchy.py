@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut
-from .ordered import dense_ids, running_before
+from .ordered import dense_ids
 from .spatial import compose
 
 MAX_DEPTH = 64
@@ -26,8 +26,9 @@ def build_tree(blocks: DataFrame, instances: DataFrame, max_depth: int = MAX_DEP
     b = blocks.groupBy("block").agg(F.min(F.struct("n_instances", "n_nets", "n_vias")).alias("s")).select("block", "s.*")
     e = instances.where("child is not null and child <> block").join(b.select(F.col("block").alias("child")), "child", "left_semi").join(b.select("block"), "block", "left_semi")
     e = cut(e.select("block", "child", "local_id", "name", "dx", "dy", "orient"))
+    b = cut(b)
     roots = b.join(e.select(F.col("child").alias("block")).distinct(), "block", "left_anti").select("block").limit(2).collect()
-    if b.isEmpty():
+    if not roots and b.isEmpty():
         return spark.createDataFrame([], _TREE)
     if len(roots) != 1:
         raise ValueError("the hierarchy has no root" if not roots else "the hierarchy has more than one root")
@@ -44,10 +45,11 @@ def build_tree(blocks: DataFrame, instances: DataFrame, max_depth: int = MAX_DEP
             F.col("child").alias("block"), F.concat("key", F.array(F.col("local_id").cast("bigint"))).alias("key"), F.concat("seen", F.array("child")).alias("seen"), F.array_contains("seen", F.col("child")).alias("again"),
             "name", F.concat("path", F.when(F.col("path") == "", "").otherwise("/"), "name").alias("path"), F.col("local_id").cast("bigint").alias("local_id"), at[0].alias("dx"), at[1].alias("dy"), at[2].alias("orient"),
         ))
-        if nxt.isEmpty():
+        n, again = nxt.agg(F.count(F.lit(1)), F.bool_or("again")).first()
+        if not n:
             break
         depth += 1
-        if depth > max_depth or not nxt.where("again").isEmpty():
+        if depth > max_depth or again:
             raise ValueError("the hierarchy has a cycle")
         level = nxt.drop("again")
         levels.append(level)
@@ -58,8 +60,8 @@ def build_tree(blocks: DataFrame, instances: DataFrame, max_depth: int = MAX_DEP
     up = t.select(F.col("key").alias("pkey"), F.col("node_id").alias("parent_id"))
     t = t.withColumn("pkey", F.when(F.size("key") > 0, F.slice("key", 1, F.greatest(F.size("key") - 1, F.lit(0)))).otherwise(F.col("key"))).join(up, "pkey").drop("pkey").join(b, "block")
     t = t.withColumn("inst_count", F.col("n_instances") + 1).withColumn("net_count", F.col("n_nets") + 1).withColumn("via_count", F.col("n_vias"))
-    for k in ("inst", "net", "via"):
-        t = running_before(t, ["node_id"], f"{k}_count").withColumnRenamed("before", f"{k}_start")
+    ahead = Window.orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)  # over the nodes, which are few beside the instances
+    t = t.select("*", *(F.coalesce(F.sum(f"{k}_count").over(ahead), F.lit(0)).alias(f"{k}_start") for k in ("inst", "net", "via")))
     return cut(t.select("node_id", "parent_id", "depth", "block", "name", "path", "local_id", "dx", "dy", "orient", *(f"{k}_{x}" for k in ("inst", "net", "via") for x in ("start", "count"))))
 
 

@@ -107,9 +107,9 @@ _cx, _cy = _turn("i.dx", "i.dy", "t.orient")
 FLAT = DESIGN + f", flat as (select t.node_id, t.inst_start + i.local_id as gid, i.name, case when t.path = '' then i.name else t.path || '/' || i.name end as path, i.k, i.child, {_cx} + t.dx as x, {_cy} + t.dy as y from tree t join inst i on t.block = i.block)"
 
 
-def flat(spark: SparkSession, d: str) -> DataFrame:
+def flat(spark: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
     """Every instance at every position: node, global id, path and place."""
-    t = tree(spark, d)
+    t = t or tree(spark, d)
     i = instances(spark, d).select("block", "local_id", F.col("name").alias("iname"), "child", F.col("dx").alias("ix"), F.col("dy").alias("iy"), "k")
     f = H.to_global(t, i, "inst", "local_id", "gid").join(F.broadcast(t.select("node_id", "path", "dx", "dy", "orient")), "node_id")
     x, y = G.place_point(F.col("ix"), F.col("iy"), F.col("dx"), F.col("dy"), F.col("orient"))
@@ -131,7 +131,7 @@ def _(spark, d):
 @R("jn12_owner_of_id", FLAT + "select f.gid, t.node_id, t.block, f.gid - t.inst_start as local_id from flat f left join tree t on f.gid >= t.inst_start and f.gid < t.inst_start + t.inst_count")
 def _(spark, d):
     t = tree(spark, d)
-    ids = flat(spark, d).select("gid")
+    ids = flat(spark, d, t).select("gid")
     return H.owner_of(ids, "gid", t, "inst_start", "inst_count", ["node_id", "block", "inst_start"]).select("gid", "node_id", "block", (F.col("gid") - F.col("inst_start")).alias("local_id"))
 
 
@@ -139,8 +139,9 @@ def _(spark, d):
 @R("pq05_convert_path", FLAT + "select f.path, f.gid, t.block from flat f join tree t on f.node_id = t.node_id")
 def _(spark, d):
     # a path splits into its node's path and a leaf name; both are looked up
-    f = flat(spark, d)
-    t = tree(spark, d).select(F.col("path").alias("node_path"), "block", "inst_start")
+    nodes = tree(spark, d)
+    f = flat(spark, d, nodes)
+    t = nodes.select(F.col("path").alias("node_path"), "block", "inst_start")
     leaf = instances(spark, d).select("block", F.col("name").alias("leaf"), "local_id")
     p = f.select("path", F.regexp_replace("path", "/?[^/]*$", "").alias("node_path"), F.substring_index("path", "/", -1).alias("leaf"))
     return p.join(F.broadcast(t), "node_path").join(leaf, ["block", "leaf"]).select("path", (F.col("inst_start") + F.col("local_id")).alias("gid"), "block")
@@ -169,8 +170,8 @@ def placed_nets(spark: SparkSession, d: str) -> DataFrame:
     return H.to_global(t, nets(spark, d), "net", "local_id", "gid").join(t.select("node_id", "parent_id", "depth"), "node_id").select("node_id", "parent_id", "depth", "name", "gid")
 
 
-def docking(spark: SparkSession, d: str) -> DataFrame:
-    p = cut(placed_nets(spark, d))
+def docking(p: DataFrame) -> DataFrame:
+    """Edges between nets of a name in a node and in its parent."""
     up = p.select(F.col("node_id").alias("parent_id"), "name", F.col("gid").alias("pg"))
     j = p.where("depth > 0").join(up, ["parent_id", "name"])
     return j.select(F.least("gid", "pg").alias("a"), F.greatest("gid", "pg").alias("b")).where("a <> b").distinct()
@@ -178,14 +179,14 @@ def docking(spark: SparkSession, d: str) -> DataFrame:
 
 @R("jn10_docking", DOCK + "select a, b from edges")
 def _(spark, d):
-    return docking(spark, d)
+    return docking(cut(placed_nets(spark, d)))
 
 
 @R("ag44_components", DOCK + """, reach as (select gid id, gid r from pn union select x.id, e.y from reach x join (select a x, b y from edges union all select b, a from edges) e on x.r = e.x),
 dep as (select gid id, depth from pn), best as (select x.id, arg_min(x.r, struct_pack(d := dep.depth, r := x.r)) root, count(*) as size from reach x join dep on x.r = dep.id group by x.id) select id, root, size from best""")
 def _(spark, d):
     p = cut(placed_nets(spark, d))
-    e = docking(spark, d).unionByName(p.select(F.col("gid").alias("a"), F.col("gid").alias("b")))
+    e = docking(p).unionByName(p.select(F.col("gid").alias("a"), F.col("gid").alias("b")))
     return H.rerooted(H.components(e), p.select(F.col("gid").alias("id"), "depth"))
 
 
@@ -402,8 +403,9 @@ def _(spark, d):
 
 @R("ag48_domain_check", FLAT + "select t.block, cast(sum(t.inst_count - 1) as bigint) as expected, cast(sum(coalesce(f.n, 0)) as bigint) as actual, cast(sum(t.inst_count - 1 - coalesce(f.d, 0)) as bigint) as holes, cast(sum(coalesce(f.n - f.d, 0)) as bigint) as duplicates from tree t left join (select node_id, count(*) n, count(distinct gid) d from flat group by 1) f on t.node_id = f.node_id group by t.block")
 def _(spark, d):
-    f = flat(spark, d).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("gid").alias("d"))
-    t = tree(spark, d).join(f, "node_id", "left").fillna(0, ["n", "d"]).withColumn("e", F.col("inst_count") - 1)
+    nodes = tree(spark, d)
+    f = flat(spark, d, nodes).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("gid").alias("d"))
+    t = nodes.join(f, "node_id", "left").fillna(0, ["n", "d"]).withColumn("e", F.col("inst_count") - 1)
     return t.groupBy("block").agg(F.sum("e").alias("expected"), F.sum("n").alias("actual"), F.sum(F.col("e") - F.col("d")).alias("holes"), F.sum(F.col("n") - F.col("d")).alias("duplicates"))
 
 
