@@ -68,8 +68,11 @@ def _kind(c: str) -> str:
     return "punct" if c in ",;:、，；：—–-،؛)»”」』）]/%&=+*~" else "other"
 
 
-def _pairs(p: str) -> dict[int, int]:
-    """Place of each closing quote or bracket of a paragraph -> place of the one that opens it."""
+def _pairs(p: str, cut_short: bool) -> dict[int, int]:
+    """Place of each closing quote or bracket of a paragraph -> place of the one that opens it.
+
+    In a text's last paragraph, which may be cut short, what is still open is closed by the end.
+    """
     stack: list[tuple[str, int]] = []
     found: dict[int, int] = {}
     for m in PAIR.finditer(p):
@@ -86,6 +89,8 @@ def _pairs(p: str) -> dict[int, int]:
                     stack.append((c, i))
         else:
             stack.append((c, i))
+    if cut_short and stack:
+        found[len(p)] = stack[0][1]
     return found
 
 
@@ -137,10 +142,10 @@ def _said(p: str, k: int, nxt: str) -> bool:
     return len(clause) <= 60 and len(clause.split()) <= 6 and bool(SAID_AT_END.search(clause))
 
 
-def candidates(p: str) -> list[tuple[int, tuple]]:
-    """(end, features) of each character of a paragraph that could end a sentence, but for its last."""
+def candidates(p: str, cut_short: bool = False) -> list[tuple[int, tuple]]:
+    """(end, features) of each character of a paragraph that could end a sentence, but for its last. cut_short: the text ends with it."""
     out: list[tuple[int, tuple]] = []
-    pairs = _pairs(p) if PAIR.search(p) else {}
+    pairs = _pairs(p, cut_short) if PAIR.search(p) else {}
     spans = sorted((o, c) for c, o in pairs.items())
     small = not any(c.isupper() for c in p) if EVENT.search(p) else False
     n, last, reach, s = len(p), 0, -1, 0
@@ -259,7 +264,7 @@ class Model:
         for m in [*PARAGRAPH.finditer(text), None]:
             stop = m.start() if m else len(text)
             p = text[at:stop]
-            c = candidates(p)
+            c = candidates(p, m is None or m.end() == len(text))
             begin = 0
             for end in [*(e for (e, _), t in zip(c, self.decode(c)) if t), len(p)]:
                 s = p[begin:end]

@@ -26,6 +26,7 @@ def split(text):
     (["उसने कहा, “हाँ। नहीं।”", "“कौन?” राम ने पूछा।", "डॉ. शर्मा ने 3.5 कि.ग्रा. लिया ।", "बस|"], " "),
     (["«من هذا؟» سأل أحمد.", "جاء د. أحمد (انظر ص. 5).", "قال علي: «نعم. لا.»", "في البيت إلخ.", "انتهى!"], " "),
     (["ช่างเปิดประตูหลังโกดัง", "ในตอนเช้าเขาส่ง 885 ชุดให้ร้าน", "เขาพูดว่า“เปิดประตู ปิดประตู”", "จบ"], " "),
+    (["He left.", "She said: “One. Two. Thr"], " "),
     (["One line\nbroken here.", "Tab\tinside.", "Text cut sho"], " "),
 ])
 def test_rules(parts, sep):
