@@ -257,14 +257,16 @@ QUERIES["tk08_word_order"] = lambda spark, d: M.word_counts(table(spark, d, "doc
 
 
 def _by_functions(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    mr = M.MapReduce(spark).set_pre_partitioned(*(table(spark, d, "documents", "lang", "source").where(F.col("source") == s) for s in ("kestrel_web", "sedge_wiki", "tollgate_faq")))
+    docs = table(spark, d, "documents", "lang", "source")
+    sources = sorted((r[0] for r in docs.select("source").distinct().collect()), key=str)  # one partition for each existing source
+    mr = M.MapReduce(spark).set_pre_partitioned(*(docs.where(F.col("source").eqNullSafe(s)) for s in sources))
     count = lambda rows: {k: sum((r["lang"] or "none") == k for r in rows) for k in {r["lang"] or "none" for r in rows}}
     add = lambda a, b: {k: a.get(k, 0) + b.get(k, 0) for k in {**a, **b}}
     got = mr.set_processor(count).set_merger(add, kind).set_finalizer(lambda v: sorted(v.items())).run().get()
     return spark.createDataFrame(got or [], "lang string, n bigint")
 
 
-LANGS = "select coalesce(lang, 'none') as lang, count(*) as n from documents where source in ('kestrel_web', 'sedge_wiki', 'tollgate_faq') group by 1"
+LANGS = "select coalesce(lang, 'none') as lang, count(*) as n from documents group by 1"
 
 
 @R("ag12_full_merge", LANGS)

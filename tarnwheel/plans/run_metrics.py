@@ -390,15 +390,14 @@ def _(spark, d):
     held = io.groupBy("worker_id").agg(F.sum(F.coalesce("bytes", F.lit(0))).alias("held"))
     w = table(spark, d, W, "worker_id", "hostname", "role").groupBy("worker_id").agg(F.min(F.coalesce("hostname", F.lit(""))).alias("host"), F.max(F.when(F.col("role") == "storage", 0).otherwise(1)).alias("r"))
     c = w.join(held, "worker_id", "left").select("worker_id", "host", F.struct("r", F.coalesce("held", F.lit(0)).alias("held"), F.col("worker_id").alias("id")).alias("rank"))
-    # the best two candidates of all, and of each host, decide every source: no source meets every candidate
-    best = lambda g: g.agg(F.slice(F.array_sort(F.collect_list("rank")), 1, 2).alias("top"))
+    # the best candidate of the best two hosts, and the best two of each host, decide every source: no source meets every candidate
     hosts = c.groupBy("host").agg(F.min("rank").alias("a"))
-    two_hosts = hosts.agg(F.slice(F.array_sort(F.collect_list(F.struct("a", "host"))), 1, 2).alias("hosts"))
+    two_hosts = hosts.orderBy("a").limit(2).agg(F.array_sort(F.collect_list(F.struct("a", "host"))).alias("hosts"))
+    second = c.join(hosts, "host").where(F.col("rank") > F.col("a")).groupBy("host").agg(F.min("rank").alias("z"))
     src = h.select("source").distinct().join(w.select(F.col("worker_id").alias("source"), "host"), "source", "left").withColumn("host", F.coalesce("host", F.lit("")))
-    own = best(c.groupBy("host"))
-    j = src.crossJoin(F.broadcast(two_hosts)).join(own, "host", "left")
-    other = F.filter("hosts", lambda x: x["host"] != F.col("host")).getItem(0)["a"]["id"]
-    same = F.filter("top", lambda x: x["id"] != F.col("source")).getItem(0)["id"]
+    j = src.crossJoin(F.broadcast(two_hosts)).join(hosts, "host", "left").join(second, "host", "left")
+    other = F.get(F.filter("hosts", lambda x: x["host"] != F.col("host")), F.lit(0))["a"]["id"]
+    same = F.when(F.col("a.id") != F.col("source"), F.col("a.id")).otherwise(F.col("z.id"))
     return h.join(j.select("source", F.coalesce(other, same).alias("target")), "source").where("target is not null").select("object_name", "source", "target")
 
 

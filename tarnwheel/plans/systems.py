@@ -152,7 +152,7 @@ def _(spark, d):
 @R("sc16_nets", "select distinct 'n' || o_custkey as net, 'o' || o_orderkey as instance, 'A' as pin from orders")
 def _(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_custkey").distinct()
-    g = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: F.concat(F.lit("( o"), x.cast("string"), F.lit(" A )"))), " ").alias("c"))
+    g = o.groupBy("o_custkey", F.call_function("div", "o_orderkey", F.lit(10_000)).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: F.concat(F.lit("( o"), x.cast("string"), F.lit(" A )"))), " ").alias("c"))
     n = g.select("o_custkey", F.concat(F.lit(" - n"), F.col("o_custkey").cast("string"), F.lit(" "), "c", F.lit(" + USE SIGNAL ;")).alias("body"))
     rows = X.parse(_files(n, "o_custkey", "body", "o_custkey", "VERSION 5.8 ;\nDESIGN nets ;\nNETS 500 ;\n", "\nEND NETS\nEND DESIGN\n"), "def")
     return X.connections(rows).select("net", "instance", "pin")
