@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import schema as C
 from ..operators import hierarchy as H
 from ..operators import ordered as O
 from ..operators import solver as V
@@ -367,3 +368,156 @@ def _(spark, d):
 @R("st_window_first", "select user_id, min(event_id) as first_event from events group by user_id")
 def _(spark, d):
     return O.latest(table(spark, d, "events", "user_id", "event_id"), ["user_id"], ["event_id"], first=True).select("user_id", F.col("event_id").alias("first_event"))
+
+
+# the rest of the catalogue, the formats, the increments and the solver
+
+
+@R("sc03_temp_dataset", "select c_nationkey, count(*) as n from customer group by c_nationkey")
+def _(spark, d):
+    db = _catalog(spark).create("work")
+    db.write_temp("counts", table(spark, d, "customer", "c_nationkey").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")))
+    return db.read("counts")
+
+
+@R("sc04_remove", "select 'nation' as name")
+def _(spark, d):
+    db = _catalog(spark).create("gone")
+    db.write("nation", table(spark, d, "nation"))
+    db.write("region", table(spark, d, "region"))
+    db.remove("region")
+    db.remove("region", missing_ok=True)
+    return spark.createDataFrame([(n,) for n in db.names()], "name string")
+
+
+@R("sc08_codecs", "select codec, count(*) as n, cast(sum(o_custkey) as bigint) as total from orders, (select unnest(['gzip', 'lz4_raw', 'none', 'zstd']) codec) group by codec")
+def _(spark, d):
+    db = _catalog(spark).create("packed")
+    o = table(spark, d, "orders", "o_custkey")
+    out = None
+    for codec in ("gzip", "lz4_raw", "none", "zstd"):
+        db.write(codec, o, codec=codec)
+        x = db.read(codec).agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("total")).select(F.lit(codec).alias("codec"), "n", "total")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@R("sc09_replayed_log", """with t as (select task_id, bool_or(status = 'COMPLETED') ok from tasks group by 1), l as (select o.object_name, o.epoch_ms, o.id, direction = 'w' as added from object_io o join t on o.task_id = t.task_id where ok)
+select object_name, max(epoch_ms) as at_ms from (select *, last_value(added) over (partition by object_name order by epoch_ms, id, added rows between unbounded preceding and unbounded following) keep from l) where keep group by object_name""")
+def _(spark, d):
+    t = table(spark, d, "tasks", "task_id", "status").groupBy("task_id").agg(F.bool_or(F.col("status") == "COMPLETED").alias("ok"))
+    log = table(spark, d, "object_io", "object_name", "epoch_ms", "id", "direction", "task_id").join(t, "task_id").select("object_name", "epoch_ms", "id", (F.col("direction") == "w").alias("added"), F.col("task_id").alias("txn"), "ok")
+    return N.replayed(log, "object_name", ["epoch_ms", "id"], "added", "ok").select("object_name", F.col("epoch_ms").alias("at_ms"))
+
+
+@R("sc20_sniffers", "select * from (values ('lef', true, false, false, false), ('def', true, true, false, false), ('liberty', false, false, true, false), ('twf', false, false, false, true)) t(file, lef, def, liberty, twf)")
+def _(spark, d):
+    f = spark.createDataFrame([("lef", "# x\nLAYER M1 "), ("def", "VERSION 5.8 ;\nDESIGN a ;"), ("liberty", "/* a */ library (x) {"), ("twf", "\n(TIMING_WINDOWS")], "file string, text string")
+    plain = F.regexp_replace("text", r"#[^\n]*|(?s)/\*.*?\*/", " ")
+    return f.select("file", *(F.regexp_like(plain, F.lit("^" + X.HEADERS[k])).alias(k) for k in ("lef", "def", "liberty", "twf")))
+
+
+@R("sc24_json_rows", "select status, '{\"status\":\"' || status || '\",\"n\":' || count(*) || '}' as body from tasks group by status")
+def _(spark, d):
+    return table(spark, d, "tasks", "status").groupBy("status").agg(F.count(F.lit(1)).alias("n")).select("status", F.to_json(F.struct("status", "n")).alias("body"))
+
+
+@R("sm05_micro_batches", UPSERT)
+@R("sm06_source_cadence", UPSERT)
+def _(spark, d):
+    s = N.stream(spark, d, "tasks", max_files=1).select("task_id", "created_ms")
+    up = N.Upserts(spark, s.schema, ["task_id"], ["created_ms"])
+    N.drain(s, up)
+    return up.table()
+
+
+@R("sm07_replay", "select count(*) as n from object_io")
+def _(spark, d):
+    out, progress = N.folder_of(spark, "replayed"), N.folder_of(spark, "progress")
+    s = N.stream(spark, d, "object_io").select("id")
+    for _ in range(2):  # the second run finds nothing new
+        N.drain(s, lambda b, n: b.write.mode("append").parquet(out), checkpoint=progress)
+    return spark.read.schema("id bigint").parquet(out).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R("sm09_ready_tasks", "with w as (select distinct object_name from object_io where direction = 'w'), r as (select distinct task_id, object_name from object_io where direction = 'r') select task_id, count(*) as n_inputs, count(*) filter (w.object_name is null) as n_missing, case when count(*) filter (w.object_name is null) = 0 then 'READY' else 'PENDING' end as state from r left join w on r.object_name = w.object_name group by task_id")
+def _(spark, d):
+    io = table(spark, d, "object_io", "task_id", "object_name", "direction")
+    w = io.where("direction = 'w'").select("object_name").distinct().withColumn("_w", F.lit(True))
+    j = io.where("direction = 'r'").select("task_id", "object_name").distinct().join(w, "object_name", "left")
+    x = j.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_inputs"), F.count_if(F.col("_w").isNull()).alias("n_missing"))
+    return x.withColumn("state", F.when(F.col("n_missing") == 0, "READY").otherwise("PENDING"))
+
+
+@R("sm10_availability", """with s as (select task_id, bool_or(status = 'COMPLETED') done, bool_or(status in ('PENDING', 'RUNNING')) live from tasks group by 1),
+o as (select object_name, bool_or(coalesce(done, false)) done, bool_or(coalesce(live, false)) live from object_io i left join s on i.task_id = s.task_id where direction = 'w' group by 1), r as (select distinct object_name from object_io where direction = 'r')
+select r.object_name, case when done then 'available' when live then 'wait' else 'never' end as verdict from r left join o on r.object_name = o.object_name""")
+def _(spark, d):
+    s = table(spark, d, "tasks", "task_id", "status").groupBy("task_id").agg(F.bool_or(F.col("status") == "COMPLETED").alias("done"), F.bool_or(F.col("status").isin("PENDING", "RUNNING")).alias("live"))
+    io = table(spark, d, "object_io", "task_id", "object_name", "direction")
+    no = F.lit(False)
+    o = io.where("direction = 'w'").join(s, "task_id", "left").groupBy("object_name").agg(F.bool_or(F.coalesce("done", no)).alias("done"), F.bool_or(F.coalesce("live", no)).alias("live"))
+    return io.where("direction = 'r'").select("object_name").distinct().join(o, "object_name", "left").select("object_name", F.when(F.col("done"), "available").when(F.col("live"), "wait").otherwise("never").alias("verdict"))
+
+
+def _system(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
+    return V.poisson(spark, n), spark.range(n * n).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))
+
+
+@R("sv06_local_solves", "select i, true as solved from range(100) t(i) where i < 50")
+def _(spark, d):
+    # one block over all: its local solution is the global one
+    a, b = _system(spark, 10)
+    s = V.Schwarz(a, spark.range(100).select(F.col("id").alias("i"), F.lit(0).alias("sd")), 0)
+    x = s.step(b.withColumn("v", F.lit(0.0)), b)
+    return V.norms(a, x, b)[2].where("i < 50").select("i", (F.abs("v") < 1e-9).alias("solved"))
+
+
+@R("sv08_coarse_correction", "select i, true as closer from range(1) t(i)")
+def _(spark, d):
+    a, b = _system(spark, 10)
+    s = V.Schwarz(a, V.grid_blocks(spark, 10, 4), 1, V.bilinear(spark, 10, 3))
+    x = s.step(b.withColumn("v", F.lit(0.0)), b)
+    before, _, r = V.norms(a, x, b)
+    exact = V.exact(a, b, 100)
+    err = lambda y: max(abs(v - exact[i]) for i, v in y.collect())
+    return spark.createDataFrame([(0, bool(err(s.corrected(x, r)) < err(x)))], "i bigint, closer boolean")
+
+
+@R("sv09_time_steps", "select t, t = 0 or t = 1 as no_more_steps from range(2) u(t)")
+@R("ud05_right_hand_sides", "select t, t = 0 or t = 1 as no_more_steps from range(2) u(t)")
+@R("sm11_warm_start", "select t, t = 0 or t = 1 as no_more_steps from range(2) u(t)")
+def _(spark, d):
+    a, b = _system(spark, 8)
+    runs = V.Schwarz(a, V.grid_blocks(spark, 8, 2), 2).march(b, lambda x, t: b.withColumn("v", F.lit(1.001)) if t == 1 else None, tol=1e-4)
+    steps = [k for _, k, _ in runs]
+    return spark.createDataFrame([(t, k <= steps[0]) for t, k in enumerate(steps)], "t bigint, no_more_steps boolean")
+
+
+@R("sv10_exact", "select i, true as solved from range(100) t(i)")
+def _(spark, d):
+    a, b = _system(spark, 10)
+    x = spark.createDataFrame([(i, float(v)) for i, v in enumerate(V.exact(a, b, 100))], "i bigint, v double")
+    return V.norms(a, x, b)[2].select("i", (F.abs("v") < 1e-9).alias("solved"))
+
+
+@R("sm12_last_bucket", "with s as (select distinct worker_id k, epoch_ms // 3600000 b from worker_samples), z as (select max(b) z from s), f as (select k, min(b) a from s group by k) select z as bucket, count(*) as n_workers from f, z where a <= z group by z")
+def _(spark, d):
+    g = O.carried(table(spark, d, "worker_samples", "worker_id", "epoch_ms"), "worker_id", "epoch_ms", [], 3_600_000)
+    return g.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_workers")).orderBy(F.desc("bucket")).limit(1)
+
+
+@R("ud07_by_role", "select 'timing' as role, count(*) as n from nation")
+def _(spark, d):
+    c = _catalog(spark)
+    a = c.create("lib", role="timing")
+    a.write("nation", table(spark, d, "nation"))
+    b = c.create("top", role="design").after(a)
+    return c.find(b, role="timing")[0].read("nation").agg(F.count(F.lit(1)).alias("n")).select(F.lit("timing").alias("role"), "n")
+
+
+@R("ud08_checked_parameters", "select r_regionkey from region where r_regionkey < 3")
+def _(spark, d):
+    flows = Flows()
+    flows.flow("first", ("region",), C.dict_of({"n": C.of(int, test=lambda v: v > 0, needs="above 0")}))(lambda r, n: r.where(F.col("r_regionkey") < n))
+    return flows.run("first", {"region": table(spark, d, "region", "r_regionkey")}, n=3)

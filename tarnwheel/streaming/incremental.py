@@ -67,6 +67,11 @@ class Upserts:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.at}")
 
 
+def replayed(log: DataFrame, name: str, order: list[str], added: str, committed: str) -> DataFrame:
+    """What a log of additions and removals leaves: the last committed record of each name, if it is an addition."""
+    return latest(log.where(committed), [name], [*order, added]).where(added)
+
+
 class Cursors:
     """Rows newer than each key's cursor; every batch moves the cursors of its keys. Clocks may differ from key to key."""
 
