@@ -11,7 +11,7 @@ window per entity, which joins runs across shard edges.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Time units of a shard, as a power of two (2**22 ms are 70 minutes).
 SHARD_BITS = 22
+#: An entity with an interval over more shards than this (nine years) is merged in order of start instead.
+MAX_SHARDS = 1 << 16
 
 
 def unite(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,10 +130,43 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, max_gap_m
     df: intervals [start, end) in whole non-negative time units; rows with a null in one of the three
     columns, or with end <= start, are no intervals and are passed over. Intervals that touch are one
     period. max_gap_ms: longer gaps are not listed. Repeated rows change nothing, an empty table gives an
-    empty result, other columns are never read, so their names cannot clash.
+    empty result, other columns are never read, so their names cannot clash. Ends may be filler numbers of any size.
     """
     t = df.select(F.col(entity).cast("bigint").alias("entity"), F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
     t = t.where("entity is not null and s >= 0 and e > s")
+    newest, span = t.agg(F.max("s"), F.max(F.col("e") - F.col("s"))).first()
+    if newest is None:
+        newest = span = 0
+    # After the newest start nothing begins, so all that is set there is one run for each entity: bits stop
+    # at that point, and the true end is put back on the period that reaches it.
+    stop = newest + 1
+    ends = t.where(F.col("e") > stop).groupBy("entity").agg(F.max("e").alias("true_end"))
+    t = t.withColumn("e", F.least("e", F.lit(stop)))
+    far = (F.col("e") - F.col("s")) > (MAX_SHARDS << SHARD_BITS)
+    true = lambda p: p.join(ends, "entity", "left").withColumn("end_ms", F.when(F.col("end_ms") == stop, F.coalesce("true_end", "end_ms")).otherwise(F.col("end_ms"))).drop("true_end")
+    res = None
+    if span > MAX_SHARDS << SHARD_BITS:
+        odd = t.where(far).select("entity").distinct()
+        res, t = _in_order(t.join(odd, "entity", "left_semi"), true), t.join(odd, "entity", "left_anti")
+    found = _by_bitmaps(t, true)
+    res = found if res is None else res.unionByName(found)
+    if max_gap_ms is not None:
+        res = res.where((F.col("kind") != "gap") | (F.col("end_ms") - F.col("start_ms") <= max_gap_ms))
+    return res.withColumnRenamed("entity", entity)
+
+
+def _in_order(t: DataFrame, true: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The same for few odd entities: each one's intervals in order of start, against the furthest end so far."""
+    w = Window.partitionBy("entity").orderBy("s", "e")
+    x = t.withColumn("reach", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("period", F.sum(F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = x.groupBy("entity", "period").agg(F.min("s").alias("start_ms"), F.max("e").alias("end_ms"))
+    g = p.withColumn("next", F.lead("start_ms").over(Window.partitionBy("entity").orderBy("start_ms"))).where("next is not null")
+    return true(p).select("entity", F.lit("period").alias("kind"), "start_ms", "end_ms").unionByName(g.select("entity", F.lit("gap").alias("kind"), F.col("end_ms").alias("start_ms"), F.col("next").alias("end_ms")))
+
+
+def _by_bitmaps(t: DataFrame, true: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Periods and gaps by bitmaps; true(): puts the true ends on periods, which need it only where they reach a shard's edge."""
     bits = t.mapInArrow(_bitmaps, "entity bigint, shard bigint, bits binary")
     runs = (
         bits.repartition("entity", "shard").sortWithinPartitions("entity", "shard")
@@ -144,10 +179,7 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, max_gap_m
         .withColumn("fresh", F.when(F.col("before").isNull() | (F.col("start_ms") > F.col("before")), 1).otherwise(0))
         .withColumn("period", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    whole = edges.groupBy("entity", "period").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).select("entity", F.lit("period").alias("kind"), "start_ms", "end_ms")
+    whole = true(edges.groupBy("entity", "period").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))).select("entity", F.lit("period").alias("kind"), "start_ms", "end_ms")
     between = edges.where("fresh = 1 and from < shard").select("entity", F.lit("gap").alias("kind"), F.col("before").alias("start_ms"), F.col("start_ms").alias("end_ms"))
     inside = runs.where("kind <> 'edge'").select("entity", "kind", "start_ms", "end_ms")
-    res = inside.unionByName(whole).unionByName(between)
-    if max_gap_ms is not None:
-        res = res.where((F.col("kind") != "gap") | (F.col("end_ms") - F.col("start_ms") <= max_gap_ms))
-    return res.withColumnRenamed("entity", entity)
+    return inside.unionByName(whole).unionByName(between)

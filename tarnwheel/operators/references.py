@@ -39,8 +39,8 @@ def beyond_runs(keys: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def utc_day(ms: Column) -> Column:
-    """The UTC day of epoch milliseconds as YYYY-MM-DD, whatever the session's time zone."""
-    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int")).cast("string")
+    """The UTC day of epoch milliseconds as YYYY-MM-DD, whatever the session's time zone; null beyond the calendar."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).try_cast("int")).cast("string")
 
 
 def orphans(refs: DataFrame, parents: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -60,3 +60,11 @@ def test_empty(spark):
 def test_one_long_interval_in_thousands_of_rows(spark):
     df = spark.range(20_000).select(F.lit(1).alias("w"), (F.col("id") * 10).alias("s"), (F.col("id") * 10 + 10).alias("e"))
     assert rows(I.periods_and_gaps(df, "w", "s", "e"), "kind", "start_ms", "end_ms") == [("period", 0, 200_000)]
+
+
+def test_filler_ends_and_starts(spark):
+    top = 2**63 - 1
+    data = [(1, 10, top), (1, 50, 60), (2, 5, 6), (2, 100, 300), (2, 299, 400), (3, 390, 391)]
+    assert run(spark, data) == brute(data)
+    data += [(4, top - 5, top), (4, 7, 8), (4, 9, top - 9), (5, 1, top)]
+    assert run(spark, data) == brute(data)

@@ -37,6 +37,12 @@ def test_runs_cross_blocks(spark):
     assert got == {b - 3: True, b - 2: False, b + 2: True, b + 5: False, 3 * b - 1: True, 3 * b: False, -1: False, -2: True}
 
 
+def test_filler_times(spark):
+    top = 2**63 - 1
+    got = R.orphans(spark.createDataFrame([("a", 1, 1, top, "z", 1), ("a", 2, 1, -top, "z", 1)], REFS), spark.createDataFrame([(1, 0, 5, "z")], PARENTS))
+    assert sorted((r["key"], r["period"] is None, r["kind"]) for r in got.collect()) == [(1, True, "gone"), (2, True, "missing")]
+
+
 def test_empty_sides(spark):
     assert run(spark, [], [(1, 1, 1)]) == []
     assert run(spark, [("a", 1, 1, 1)], []) == [("a", "1970-01-01", 1, 1, "missing")]
