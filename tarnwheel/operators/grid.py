@@ -118,8 +118,8 @@ def regular_series(
         over_night = days.withColumn("b", F.lead("a").over(w)).select("source", F.col("z.slot").alias("f"), F.col("z.last_ms").alias("ft"), F.col("b.slot").alias("t"), F.col("b.first_ms").alias("tt"))
         wd = Window.partitionBy("source", F.floor(F.col("slot") / per_day)).orderBy("slot")
         by_day = s.withColumn("t", F.lead("slot").over(wd)).withColumn("tt", F.lead("first_ms").over(wd)).select("source", F.col("slot").alias("f"), F.col("last_ms").alias("ft"), "t", "tt")
-        long = over_night.unionByName(by_day).where((F.col("tt") - F.col("ft") > max_gap_ms) & (F.col("t") - F.col("f") > 1))
+        long = over_night.unionByName(by_day).withColumn("gap", F.try_subtract("tt", "ft")).where((F.col("gap") > max_gap_ms) & (F.col("t") - F.col("f") > 1))
         res = res.unionByName(
-            long.select("source", ((F.col("f") + 1) * slot_ms).alias("slot_ms"), F.lit("pause").alias("state"), F.lit(None).cast("double").alias("value"), (F.col("t") - F.col("f") - 1).alias("n_slots"), (F.col("tt") - F.col("ft")).alias("gap_ms"))
+            long.select("source", ((F.col("f") + 1) * slot_ms).alias("slot_ms"), F.lit("pause").alias("state"), F.lit(None).cast("double").alias("value"), (F.col("t") - F.col("f") - 1).alias("n_slots"), F.col("gap").alias("gap_ms"))
         )
     return res.withColumnRenamed("source", source)
