@@ -21,8 +21,8 @@ NEAREST = """
 with l as (select distinct * exclude (g) from lt), r as (select distinct e, t from rt),
 b as (select l.*, r.t as back from l asof left join r on l.e = r.e and l.t >= r.t),
 f as (select b.*, r.t as ahead from b asof left join r on b.e = r.e and b.t <= r.t)
-select * exclude (back, ahead), case when ahead is null or t - back <= ahead - t then back else ahead end as hit
-from f where least(t - back, ahead - t) <= {tolerance}
+select * exclude (back, ahead), case when ahead is null or t::hugeint - back <= ahead::hugeint - t then back else ahead end as hit
+from f where least(t::hugeint - back, ahead::hugeint - t) <= {tolerance}
 """
 
 
@@ -53,9 +53,10 @@ def nearest_in_time(
     rt = right.select(F.col(entity).cast("bigint").alias("e"), F.col(right_time).cast("bigint").alias("t")).where("e is not null and t is not null")
     groups = max(1, (left.count() + right.count()) // group_rows)
     bucket = lambda t: F.floor(t / BUCKET_MS)
+    near = lambda t: bucket(F.coalesce(t, F.col("t")))  # noqa: E731  at the ends of the number range there is no neighbour
     g = F.pmod(F.xxhash64("e", "b"), F.lit(groups)).alias("g")
     a = lt.withColumn("b", bucket(F.col("t"))).select("e", "t", *names, g)
-    z = rt.withColumn("b", F.explode(F.array_distinct(F.array(bucket(F.col("t") - tolerance_ms), bucket(F.col("t") + tolerance_ms))))).select("e", "t", g)
+    z = rt.withColumn("b", F.explode(F.array_distinct(F.array(near(F.try_subtract("t", F.lit(tolerance_ms))), near(F.try_add("t", F.lit(tolerance_ms))))))).select("e", "t", g)
     kinds = dict(lt.dtypes)
     columns = [*names, "e", "t", "hit"]
     schema = ", ".join(f"{n} {kinds.get(n, 'bigint')}" for n in columns)

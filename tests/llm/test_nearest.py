@@ -39,5 +39,10 @@ def test_random_with_a_hot_entity_over_many_groups(spark):
     assert run(spark, left, right, group_rows=300) == brute(left, right)
 
 
+def test_filler_times(spark):
+    top = 2**63 - 1
+    assert run(spark, [(1, 1, top), (2, 1, -top)], [(1, top - 4), (1, -top), (1, 0)]) == [(1, 1, top, top - 4), (2, 1, -top, -top)]
+
+
 def test_empty_sides(spark):
     assert run(spark, [], [(1, 5)]) == [] and run(spark, [(1, 1, 5)], []) == [] and run(spark, [], []) == []
