@@ -1,24 +1,27 @@
 """Sparse systems by overlapping domain decomposition (restricted additive Schwarz), with an optional coarse level.
 
 Matrices and vectors are tables (i, j, v) and (i, v). Unknowns are split into blocks; each block is widened along the
-matrix graph and solved by a dense Cholesky factorisation, which is made once and kept with the block's row. A step
+matrix graph and solved by a sparse Cholesky factorisation, which is made once and kept with the block's row: unknowns
+are put in order of their distance from a corner of the block, which makes its matrix block-tridiagonal. A step
 sends each block the values just outside it, solves all blocks at once and keeps the owners' values.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Unknowns of a widened block; a dense factor of this size takes 128 MB.
+#: Numbers of a block's factor (128 MB): a grid block of about 230 by 230 unknowns. Split into more blocks beyond that.
+MAX_FACTOR = 1 << 24
+#: Unknowns that the driver solves densely: the coarse level, and direct solutions for comparison.
 MAX_BLOCK = 4000
 
 
@@ -106,31 +109,99 @@ def norms(a: DataFrame, x: DataFrame, b: DataFrame) -> tuple[float, float, DataF
     return rr, rr / bb if bb else rr, r
 
 
+def levels_of(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distance of each of n unknowns, in steps along the entries (r, c), from a far end of its part of the graph; parts follow each other."""
+    order = np.argsort(r, kind="stable")
+    to, start = c[order], np.searchsorted(r[order], np.arange(n + 1))
+
+    def walk(level: np.ndarray, first: int, base: int) -> tuple[int, int]:
+        front, k = np.array([first]), base
+        level[front] = k
+        while True:
+            size = start[front + 1] - start[front]
+            at = np.repeat(start[front], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            nxt = np.unique(to[at])
+            nxt = nxt[level[nxt] < 0]
+            if not len(nxt):
+                return int(front[0]), k
+            k += 1
+            level[nxt] = k
+            front = nxt
+
+    level, base = np.full(n, -1), 0
+    while (level < 0).any():
+        first = int(np.argmax(level < 0))
+        end, _ = walk(level.copy(), first, base)
+        _, top = walk(level, end, base)
+        base = top + 1
+    return level
+
+
+class Factor:
+    """Cholesky factor of a sparse symmetric positive definite matrix, block by block along its levels."""
+
+    def __init__(self, n: int, r: np.ndarray, c: np.ndarray, v: np.ndarray):
+        level = levels_of(n, r, c)
+        self.order = np.argsort(level, kind="stable")
+        size = np.bincount(level)
+        self.cut = np.r_[0, np.cumsum(size)]
+        if int((size * size).sum() + (size[1:] * size[:-1]).sum()) > MAX_FACTOR:
+            raise ValueError(f"a block of {n} unknowns has a factor of more than {MAX_FACTOR} numbers; use more blocks")
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n) - self.cut[level[self.order]]
+        by = np.argsort(level[r], kind="stable")
+        lr, lc, pr, pc, v = level[r][by], level[c][by], place[r][by], place[c][by], v[by]
+        at = np.searchsorted(lr, np.arange(len(size) + 1))
+        self.inv: list[np.ndarray] = []
+        self.low: list[np.ndarray] = []
+        for k, m in enumerate(size):
+            s = slice(at[k], at[k + 1])
+            d, here = np.zeros((m, m)), lc[s] == k
+            d[pr[s][here], pc[s][here]] = v[s][here]
+            w = np.zeros((m, size[k - 1] if k else 0))
+            if k:
+                back = lc[s] == k - 1
+                w[pr[s][back], pc[s][back]] = v[s][back]
+                w = w @ self.inv[-1].T
+                d -= w @ w.T
+            self.low.append(w)
+            self.inv.append(np.linalg.inv(np.linalg.cholesky(d)))
+
+    def solve(self, b: np.ndarray) -> np.ndarray:
+        r, y, x = b[self.order], [], np.empty(len(b))
+        for k, inv in enumerate(self.inv):
+            p = r[self.cut[k] : self.cut[k + 1]]
+            y.append(inv @ (p - self.low[k] @ y[-1] if k else p))
+        for k in range(len(y) - 1, -1, -1):
+            last = k == len(y) - 1
+            z = y[k] if last else y[k] - self.low[k + 1].T @ z
+            z = self.inv[k].T @ z
+            x[self.order[self.cut[k] : self.cut[k + 1]]] = z
+        return x
+
+
 def _setup(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
     """A block's factor and its couplings to the outside, pickled."""
-    inner = np.sort(f.loc[f["inside"], "i"].unique())
-    if len(inner) > MAX_BLOCK:
-        raise ValueError(f"block {key[0]} has {len(inner)} unknowns, more than {MAX_BLOCK}")
-    pos = pd.Series(np.arange(len(inner)), inner)
-    m = np.zeros((len(inner), len(inner)))
+    inner = np.sort(f["i"].unique())
     into = f["j_inside"].to_numpy()
-    r, c, v = pos[f["i"]].to_numpy(), f["j"].to_numpy(), f["v"].to_numpy()
-    m[r[into], pos[c[into]].to_numpy()] = v[into]
-    own = f.drop_duplicates("i").set_index("i").loc[inner, "own"].to_numpy(bool)
-    state = {"idx": inner, "own": own, "low": np.linalg.cholesky(m), "gr": r[~into], "gc": c[~into], "gv": v[~into]}
-    return pd.DataFrame({"sd": [key[0]], "state": [pickle.dumps(state)], "ghosts": [np.unique(c[~into]).astype(np.int64)]})
+    r, c, v = np.searchsorted(inner, f["i"].to_numpy()), f["j"].to_numpy(), f["v"].to_numpy()
+    own = np.zeros(len(inner), bool)
+    own[r] = f["own"].to_numpy()
+    factor = Factor(len(inner), r[into], np.searchsorted(inner, c[into]), v[into])
+    state = {"idx": inner, "own": own, "factor": factor, "gr": r[~into], "gc": c[~into], "gv": v[~into]}
+    return pd.DataFrame({"sd": [key[0]], "state": [cloudpickle.dumps(state)], "ghosts": [np.unique(c[~into]).astype(np.int64)]})
 
 
 def _solve(key: tuple, state: pd.DataFrame, vals: pd.DataFrame) -> pd.DataFrame:
     """Local solution with the outside held fixed; only the owners' values go on."""
     if state.empty:
         return pd.DataFrame({"i": pd.Series(dtype="int64"), "v": pd.Series(dtype="float64")})
-    s = pickle.loads(state["state"].iloc[0])
+    s = cloudpickle.loads(state["state"].iloc[0])
     x = vals[vals["kind"] == 0].set_index("i")["v"]
     b = vals[vals["kind"] == 1].set_index("i")["v"]
     rhs = b.reindex(s["idx"], fill_value=0.0).to_numpy().copy()
     np.subtract.at(rhs, s["gr"], s["gv"] * x.reindex(s["gc"], fill_value=0.0).to_numpy())
-    y = np.linalg.solve(s["low"].T, np.linalg.solve(s["low"], rhs))
+    y = s["factor"].solve(rhs)
     return pd.DataFrame({"i": s["idx"][s["own"]], "v": y[s["own"]]})
 
 
@@ -140,9 +211,9 @@ class Schwarz:
     def __init__(self, a: DataFrame, blocks: DataFrame, hops: int, coarse: DataFrame | None = None):
         self.a = cut(a)
         w = widened(self.a, blocks, hops)
-        rows = self.a.join(w, "i").withColumn("inside", F.lit(True))
+        rows = self.a.join(w, "i")
         rows = rows.join(w.select("sd", F.col("i").alias("j"), F.lit(True).alias("_in")), ["sd", "j"], "left").withColumn("j_inside", F.col("_in").isNotNull())
-        self.state = cut(rows.select("sd", "i", "j", "v", "own", "inside", "j_inside").groupBy("sd").applyInPandas(_setup, "sd int, state binary, ghosts array<bigint>"))
+        self.state = cut(rows.select("sd", "i", "j", "v", "own", "j_inside").groupBy("sd").applyInPandas(_setup, "sd int, state binary, ghosts array<bigint>"))
         self.need = cut(self.state.select("sd", F.explode("ghosts").alias("i"), F.lit(0).alias("kind")).unionByName(w.select("sd", "i", F.lit(1).alias("kind"))))
         self.p = None
         if coarse is not None:  # the coarse matrix is small: its size is that of a block at most

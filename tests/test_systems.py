@@ -150,6 +150,17 @@ def test_blocks_and_bounds():
     assert V.factor(6) == (2, 3) and V.bounds(10, 2) == [0, 5, 10] and V.bounds(10, 3) == [0, 4, 7, 10]
 
 
+def test_sparse_factor_against_dense():
+    rng = np.random.default_rng(3)
+    for n, p in ((1, 1.0), (30, 0.05), (60, 0.02), (80, 0.2)):
+        m = np.triu(rng.random((n, n)) < p, 1) * -rng.random((n, n))
+        m = m + m.T
+        np.fill_diagonal(m, np.abs(m).sum(1) + 1)
+        r, c = np.nonzero(m)
+        b = rng.normal(size=n)
+        assert np.allclose(V.Factor(n, r, c, m[r, c]).solve(b), np.linalg.solve(m, b))
+
+
 @pytest.mark.parametrize("coarse", [False, True])
 def test_schwarz_against_a_direct_solution(spark, coarse):
     n = 10
