@@ -65,12 +65,15 @@ def grid_blocks(spark: SparkSession, n: int, nsd: int) -> DataFrame:
 def widened(a: DataFrame, blocks: DataFrame, hops: int) -> DataFrame:
     """(sd, i, own): each block with all unknowns at most so many steps away in the matrix graph."""
     e = a.where("i <> j").select(F.col("i").alias("a0"), F.col("j").alias("b0"))
-    front = seen = cut(blocks.select("sd", "i").withColumn("own", F.lit(True)))
-    for _ in range(hops):
-        nxt = front.join(e, front.i == e.a0).select("sd", F.col("b0").alias("i")).distinct().join(seen, ["sd", "i"], "left_anti").withColumn("own", F.lit(False))
-        front = cut(nxt)
-        seen = cut(seen.unionByName(front))
-    return seen
+    rings = [cut(blocks.select("sd", "i"))]
+    for _ in range(hops):  # the matrix is symmetric, so a ring's neighbours lie in the rings beside it
+        near = rings[-1] if len(rings) == 1 else rings[-1].unionByName(rings[-2])
+        nxt = rings[-1].join(e, rings[-1].i == e.a0).select("sd", F.col("b0").alias("i")).distinct()
+        rings.append(cut(nxt.join(near, ["sd", "i"], "left_anti")))
+    out = rings[0].withColumn("own", F.lit(True))
+    for r in rings[1:]:
+        out = out.unionByName(r.withColumn("own", F.lit(False)))
+    return out
 
 
 def multiply(a: DataFrame, x: DataFrame) -> DataFrame:
