@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import one_row
+
 MAX_LIMIT = 1000
 
 
@@ -59,4 +61,4 @@ def page(df: DataFrame, keys: dict[str, Column], order: str, descending: bool, t
     key = keys.get(order, F.col(tie))
     rows = df.withColumn("sort_value", key).orderBy(F.col("sort_value").desc_nulls_last() if descending else F.col("sort_value").asc_nulls_first(), F.col(tie).desc())
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    return rows.offset(offset).limit(limit).crossJoin(F.broadcast(total))
+    return rows.offset(offset).limit(limit).crossJoin(one_row(total))

@@ -77,13 +77,13 @@ def global_instance(tree: DataFrame) -> DataFrame:
     return tree.join(p, "parent_id").select("node_id", F.when(F.col("depth") == 0, 0).otherwise(F.col("_s") + F.col("local_id")).alias("self_id"))
 
 
-def to_global(tree: DataFrame, rows: DataFrame, kind: str, local: str, out: str, max_rows: int = 1_000_000) -> DataFrame:
-    """Definition rows (block, local, ...) at every instantiation, with node_id and the global id.
+def to_global(tree: DataFrame, rows: DataFrame, kind: str, local: str, out: str, carry: tuple[str, ...] = (), max_rows: int = 1_000_000) -> DataFrame:
+    """Definition rows (block, local, ...) at every instantiation, with node_id, the global id and the node's `carry` columns.
 
     Instances: start + local, local 0 is the block itself and left out here; nets: start + local, 0 is a hole;
     vias: start + local - 1. Locals out of range are dropped.
     """
-    t, _ = broadcast_if_small(tree.select("node_id", "block", F.col(f"{kind}_start").alias("_s"), F.col(f"{kind}_count").alias("_c")), max_rows)
+    t, _ = broadcast_if_small(tree.select("node_id", "block", F.col(f"{kind}_start").alias("_s"), F.col(f"{kind}_count").alias("_c"), *carry), max_rows, written=True)
     j = rows.join(t, "block")
     low, shift = F.col(local) >= 1, F.lit(1 if kind == "via" else 0)
     return j.where(low & (F.col(local) - shift < F.col("_c"))).withColumn(out, F.col("_s") + F.col(local) - shift).drop("_s", "_c")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, one_row
 
 SHARD_MS = 86_400_000
 
@@ -67,7 +67,7 @@ def carried(df: DataFrame, key: str, time_ms: str, columns: list[str], bucket_ms
     n = ticks.withColumn("no", F.row_number().over(order))
     runs = b.join(n, "bucket")
     last = n.agg(F.max("no").alias("_z"))
-    runs = runs.withColumn("_n", F.lead("no").over(Window.partitionBy(key).orderBy("no"))).crossJoin(F.broadcast(last))
+    runs = runs.withColumn("_n", F.lead("no").over(Window.partitionBy(key).orderBy("no"))).crossJoin(one_row(last))
     cells = runs.withColumn("no2", F.explode(F.sequence("no", F.coalesce(F.col("_n") - 1, F.col("_z")))))
     return cells.select(key, "no2", *columns, (F.col("no") == F.col("no2")).alias("fresh")).join(n.withColumnRenamed("no", "no2"), "no2").drop("no2")
 
@@ -105,8 +105,11 @@ def phases(df: DataFrame, time: str, value: str, n: int = 10) -> DataFrame:
     span = df.agg(F.max(time).alias("dur"), F.count(F.lit(1)).alias("m"))
     p = span.withColumn("k", F.when(F.col("m") < n, 1).otherwise(n)).where("m > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     p = p.select((F.col("i") + 1).alias("phase"), F.expr("dur * i div k").alias("lo"), F.expr("case when i = k - 1 then dur else dur * (i + 1) div k - 1 end").alias("hi"))
-    j = F.broadcast(p).join(df.select(F.col(time).alias("_t"), F.col(value).alias("_v")), F.col("_t").between(F.col("lo"), F.col("hi")), "left")
-    return j.groupBy("phase", "lo", "hi").agg(F.floor(F.sum("_v") / F.count("_v")).cast("bigint").alias("avg"), F.max("_v").alias("peak"))
+    spans = p.agg(F.array_sort(F.collect_list(F.struct("phase", "lo", "hi"))).alias("_p"))  # at most n of them
+    x = df.select(F.col(time).alias("_t"), F.col(value).alias("_v")).crossJoin(one_row(spans))
+    at = F.get(F.filter("_p", lambda s: (s["lo"] <= F.col("_t")) & (F.col("_t") <= s["hi"])), F.lit(0))["phase"]
+    per = x.groupBy(at.alias("phase")).agg(F.floor(F.sum("_v") / F.count("_v")).cast("bigint").alias("avg"), F.max("_v").alias("peak"))
+    return p.join(per, "phase", "left").select("phase", "lo", "hi", "avg", "peak")
 
 
 def quota(df: DataFrame, key: str, order: list[str], limit: Column) -> DataFrame:
@@ -141,8 +144,10 @@ def prefix_cuts(load: DataFrame, index: str, value: str, n: int) -> DataFrame:
     run = c.withColumn("acc", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     tot = c.agg(F.sum("v").alias("total"), (F.max("i") + 1).alias("m"))
     ks = tot.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    hit = run.crossJoin(F.broadcast(ks)).where((F.col("acc") + F.col("total") * 1e-9 >= F.col("total") * F.col("k") / n) & (F.col("k") > 0) & (F.col("k") < n))
-    at = hit.groupBy("k").agg((F.min("i") + 1).alias("at"))
+    # the shares that the running sum has reached at each bin; the bin where a share is reached first has its cut
+    hit = run.crossJoin(one_row(tot)).where("total > 0").withColumn("hi", F.least(F.floor((F.col("acc") + F.col("total") * 1e-9) * n / F.col("total")).cast("int"), F.lit(n - 1)))
+    hit = hit.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0))).where("hi > lo")
+    at = hit.select(F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("k"), (F.col("i") + 1).alias("at"))
     return ks.join(at, "k", "left").select("k", F.when(F.col("k") == 0, F.lit(0)).when(F.col("k") == n, F.col("m")).otherwise(F.coalesce("at", "m")).cast("bigint").alias("cut"))
 
 
@@ -162,4 +167,5 @@ def dense_ids(df: DataFrame, order: list[str], name: str, start: int = 0, shards
     local = d.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = running_before(sizes, ["_p"], "_c").select("_p", "before")
-    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("before") + F.col("_n") - 1 + start).drop("_p", "_n", "before")
+    joined = local.join(F.broadcast(before), "_p")  # one row for each of the n ranges
+    return joined.withColumn(name, F.col("before") + F.col("_n") - 1 + start).drop("_p", "_n", "before")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import hierarchy as H
 from ..operators import ordered as O
 from ..operators import spatial as G
-from ..session import cut, table
+from ..session import broadcast_if_small, cut, one_row, table
 from .base import Register
 
 R = Register()
@@ -67,7 +67,8 @@ def ordered_by(part: str, *order: str) -> Window:
 def nets(spark: SparkSession, d: str) -> DataFrame:
     seg = table(spark, d, "customer", "c_mktsegment").distinct()
     b = instances(spark, d).select("block").distinct()
-    x = b.join(F.broadcast(seg), (F.col("block") != "chip") | (F.col("c_mktsegment") < "H"))
+    segs = seg.agg(F.array_sort(F.collect_set("c_mktsegment")).alias("s"))  # a handful of segment names
+    x = b.crossJoin(one_row(segs)).select("block", F.explode("s").alias("c_mktsegment")).where("block <> 'chip' or c_mktsegment < 'H'")
     return x.select("block", F.row_number().over(ordered_by("block", "c_mktsegment")).cast("bigint").alias("local_id"), F.col("c_mktsegment").alias("name"))
 
 
@@ -111,7 +112,7 @@ def flat(spark: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
     """Every instance at every position: node, global id, path and place."""
     t = t or tree(spark, d)
     i = instances(spark, d).select("block", "local_id", F.col("name").alias("iname"), "child", F.col("dx").alias("ix"), F.col("dy").alias("iy"), "k")
-    f = H.to_global(t, i, "inst", "local_id", "gid").join(F.broadcast(t.select("node_id", "path", "dx", "dy", "orient")), "node_id")
+    f = H.to_global(t, i, "inst", "local_id", "gid", ("path", "dx", "dy", "orient"))
     x, y = G.place_point(F.col("ix"), F.col("iy"), F.col("dx"), F.col("dy"), F.col("orient"))
     path = F.concat("path", F.when(F.col("path") == "", "").otherwise("/"), "iname")
     return f.select("node_id", "gid", F.col("iname").alias("name"), path.alias("path"), "k", "child", x.alias("x"), y.alias("y"))
@@ -141,10 +142,10 @@ def _(spark, d):
     # a path splits into its node's path and a leaf name; both are looked up
     nodes = tree(spark, d)
     f = flat(spark, d, nodes)
-    t = nodes.select(F.col("path").alias("node_path"), "block", "inst_start")
+    t, _ = broadcast_if_small(nodes.select(F.col("path").alias("node_path"), "block", "inst_start"), 500_000, written=True)
     leaf = instances(spark, d).select("block", F.col("name").alias("leaf"), "local_id")
     p = f.select("path", F.regexp_replace("path", "/?[^/]*$", "").alias("node_path"), F.substring_index("path", "/", -1).alias("leaf"))
-    return p.join(F.broadcast(t), "node_path").join(leaf, ["block", "leaf"]).select("path", (F.col("inst_start") + F.col("local_id")).alias("gid"), "block")
+    return p.join(t, "node_path").join(leaf, ["block", "leaf"]).select("path", (F.col("inst_start") + F.col("local_id")).alias("gid"), "block")
 
 
 @R("wn05_dense_ids", "select n_name as name, row_number() over (order by n_nationkey) as id from (select n_name, min(n_nationkey) n_nationkey from nation group by 1)")
@@ -265,7 +266,8 @@ LOCAL = """, loc as (select i.block, i.dx // 100 as col, i.dy // 100 as row, cou
 @R("ag36_hierarchical_histogram", DESIGN + LOCAL + f", h as (select row_number() over () id, v, least({_bx[0]}, {_bz[0]}) + t.dx xl, least({_bx[1]}, {_bz[1]}) + t.dy yl from tree t join loc l on t.block = l.block)" + SHARE.replace("99)", "199)", 1).replace("99) + 1)) c", "199) + 1)) c").replace("79)", "99)") + " select c as col, w as row, cast(sum(base + case when k <= lft then 1 else 0 end) as bigint) as n from n group by c, w")
 def _(spark, d):
     loc = instances(spark, d).where("child is null").groupBy("block", F.call_function("div", "dx", F.lit(100)).alias("col"), F.call_function("div", "dy", F.lit(100)).alias("row")).agg(F.count(F.lit(1)).alias("v"))
-    j = loc.join(F.broadcast(tree(spark, d).select("block", "dx", "dy", "orient")), "block")
+    nodes, _ = broadcast_if_small(tree(spark, d).select("block", "dx", "dy", "orient"), 1_000_000, written=True)
+    j = loc.join(nodes, "block")
     x, y = F.col("col") * 100, F.col("row") * 100
     b = G.place_box([x, y, x + 100, y + 100], F.col("dx"), F.col("dy"), F.col("orient"))
     return G.scatter(j.select("v", *(c.alias(n) for c, n in zip(b, XY))), [], "v", XY, (0, 0), (100, 100), (200, 100))
@@ -416,7 +418,7 @@ def _(spark, d):
     over = G.overlap_join(p, q, ("cxl", "cyl", "cxh", "cyh"), ("qcxl", "qcyl", "qcxh", "qcyh"), 2500).where("pid < qid").agg(F.count(F.lit(1)).alias("overlapping"))
     area = p.agg((F.sum((F.col("cxh") - F.col("cxl")) * (F.col("cyh") - F.col("cyl"))) - (F.max("cxh") - F.min("cxl")) * (F.max("cyh") - F.min("cyl"))).alias("uncovered"))
     rep = tree(spark, d).groupBy("path").count().where("count > 1").agg(F.count(F.lit(1)).alias("repeated_paths"))
-    return over.crossJoin(area).crossJoin(rep)
+    return over.crossJoin(one_row(area)).crossJoin(one_row(rep))  # three counts side by side
 
 
 @R("ag50_cell_counts", DESIGN + "select block, count(*) as n, count(child) as n_blocks, count(*) filter (orient >= 4) as n_mirrored from inst group by block")
@@ -443,4 +445,4 @@ def _(spark, d):
 @R("pf24_width_default", RECTS + "select id, cast(case when orient > 0 then orient else layer * 10 end as integer) as width from r where layer in (1, 2)")
 def _(spark, d):
     layer = spark.createDataFrame([(1, 10), (2, 20)], "layer int, default_width int")
-    return rects(spark, d).join(F.broadcast(layer), "layer").select("id", F.when(F.col("orient") > 0, F.col("orient")).otherwise(F.col("default_width")).alias("width"))
+    return rects(spark, d).join(layer, "layer").select("id", F.when(F.col("orient") > 0, F.col("orient")).otherwise(F.col("default_width")).alias("width"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import filters as P
 from ..operators import ordered as O
-from ..session import broadcast_if_small, table
+from ..session import broadcast_if_small, one_row, table
 from .base import Register
 
 R = Register()
@@ -233,7 +233,7 @@ ph as (select i + 1 as phase, dur * i // k as lo, case when i = k - 1 then dur e
 select cast(phase as integer) as phase, lo, hi, cast(floor(sum(total) / count(total)) as bigint) as avg, max(total) as peak from ph left join r on t between lo and hi group by phase, lo, hi""")
 def _(spark, d):
     x = _totals(spark, d)
-    r = x.crossJoin(F.broadcast(x.agg(F.min("tick").alias("_a")))).select((F.col("tick") - F.col("_a")).alias("t"), "total")
+    r = x.crossJoin(one_row(x.agg(F.min("tick").alias("_a")))).select((F.col("tick") - F.col("_a")).alias("t"), "total")
     return O.phases(r, "t", "total")
 
 
@@ -241,9 +241,11 @@ def _(spark, d):
 select db, a as first_ms, z as last_ms, cast(floor(sum(total) / count(total)) as bigint) as avg, max(total) as peak from b left join x on tick between a and z group by db, a, z""")
 def _(spark, d):
     b = table(spark, d, IO, "object_name", "epoch_ms").groupBy(S.before_last("object_name", ":").alias("db")).agg(F.min("epoch_ms").alias("first_ms"), F.max("epoch_ms").alias("last_ms"))
-    b, _ = broadcast_if_small(b, 100_000)
-    j = _totals(spark, d).join(b, F.col("tick").between(F.col("first_ms"), F.col("last_ms")), "right")
-    return j.groupBy("db", "first_ms", "last_ms").agg(F.floor(F.sum("total") / F.count("total")).cast("bigint").alias("avg"), F.max("total").alias("peak"))
+    day = lambda c: F.floor(F.col(c) / O.SHARD_MS)  # noqa: E731  spans and ticks meet by the day
+    x = _totals(spark, d).withColumn("day", day("tick"))
+    j = b.withColumn("day", F.explode(F.sequence(day("first_ms"), day("last_ms")))).join(x, "day", "left")
+    inside = F.when(F.col("tick").between(F.col("first_ms"), F.col("last_ms")), F.col("total"))
+    return j.groupBy("db", "first_ms", "last_ms").agg(F.floor(F.sum(inside) / F.count(inside)).cast("bigint").alias("avg"), F.max(inside).alias("peak"))
 
 
 HOUR = 3_600_000
@@ -336,7 +338,7 @@ def _(spark, d):
     io = table(spark, d, IO, "object_name", "direction", "epoch_ms", "bytes")
     x = io.groupBy("object_name").agg(F.count_if(F.col("direction") == "r").alias("n_reads"), F.max("epoch_ms").alias("last_ms"), F.max("bytes").alias("size"))
     now = io.agg((F.max("epoch_ms") + 1000).alias("t"))
-    return x.crossJoin(F.broadcast(now)).select("object_name", "n_reads", F.round(F.col("n_reads") * 1000.0 / (F.col("t") - F.col("last_ms")) * F.when(F.col("size") > 1_000_000, 0.5).otherwise(1.0), 9).alias("score"))
+    return x.crossJoin(one_row(now)).select("object_name", "n_reads", F.round(F.col("n_reads") * 1000.0 / (F.col("t") - F.col("last_ms")) * F.when(F.col("size") > 1_000_000, 0.5).otherwise(1.0), 9).alias("score"))
 
 
 @R("wn10_cursor", "select worker_id, max(greatest(exec_start_ms, completed_ms)) as cursor_ms from tasks where exec_start_ms > 0 group by worker_id")
@@ -395,7 +397,7 @@ def _(spark, d):
     two_hosts = hosts.orderBy("a").limit(2).agg(F.array_sort(F.collect_list(F.struct("a", "host"))).alias("hosts"))
     second = c.join(hosts, "host").where(F.col("rank") > F.col("a")).groupBy("host").agg(F.min("rank").alias("z"))
     src = h.select("source").distinct().join(w.select(F.col("worker_id").alias("source"), "host"), "source", "left").withColumn("host", F.coalesce("host", F.lit("")))
-    j = src.crossJoin(F.broadcast(two_hosts)).join(hosts, "host", "left").join(second, "host", "left")
+    j = src.crossJoin(one_row(two_hosts)).join(hosts, "host", "left").join(second, "host", "left")
     other = F.get(F.filter("hosts", lambda x: x["host"] != F.col("host")), F.lit(0))["a"]["id"]
     same = F.when(F.col("a.id") != F.col("source"), F.col("a.id")).otherwise(F.col("z.id"))
     return h.join(j.select("source", F.coalesce(other, same).alias("target")), "source").where("target is not null").select("object_name", "source", "target")

@@ -31,7 +31,7 @@ def _catalog(spark: SparkSession) -> Catalog:
 def _(spark, d):
     db = _catalog(spark).create("star", role="design")
     db.write("customers", table(spark, d, "customer", "c_nationkey"), provenance("customer", d))
-    return db.read("customers").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+    return db.read("customers").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R("sc02_write_once", "select 'same' as second_write, count(*) as n from orders")

@@ -59,13 +59,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """(df, whether it may be broadcast): df is written once and its rows are counted.
+def one_row(df: DataFrame) -> DataFrame:
+    """The single row of an aggregate without keys, under a broadcast hint."""
+    return F.broadcast(df.limit(1))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, written: bool = False) -> tuple[DataFrame, bool]:
+    """(df, whether it may be broadcast): df is written once (unless it is `written` already) and its rows are counted.
 
     Up to max_rows rows it comes back under a broadcast hint; beyond, as it is, and
     the caller's join shuffles (with AQE's split of skewed partitions).
     """
-    df = cut(df)
+    df = df if written else cut(df)
     if df.count() <= max_rows:
         return F.broadcast(df), True
     return df, False
