@@ -28,7 +28,7 @@ from f where least(t::hugeint - back, ahead::hugeint - t) <= {tolerance}
 
 def _match(tolerance: int, columns: list[str]):
     def run(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        with duckdb.connect(config={"threads": 1, "memory_limit": "600MB"}) as con:
+        with duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""}) as con:
             con.register("lt", lt)
             con.register("rt", rt)
             res = con.sql(NEAREST.format(tolerance=tolerance)).to_arrow_table()
