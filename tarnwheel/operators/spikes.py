@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 BUCKET_MS = 1_800_000
-CHUNK, HALO, GROUP_ROWS = 1024, 24, 50_000
+CHUNK, HALO, GROUP_ROWS = 1024, 24, 20_000
 #: Readings of a profile row; components kept as normal; scatters from the low-rank part to be a candidate.
 WIDTH, RANK, CANDIDATE = 8, 2, 5.0
 #: Scatters from the levels before and after; longest spike; readings of a stuck run; share of unchanged neighbours above which a metric is coarse.
