@@ -52,7 +52,7 @@ def decode(bitmaps: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if isinstance(bitmaps, pa.ChunkedArray):
         bitmaps = bitmaps.combine_chunks()
     sizes = np.asarray(pa.compute.binary_length(bitmaps).fill_null(0), np.int64) // 8
-    data = np.frombuffer(b"".join(bitmaps.to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
+    data = np.frombuffer(b"".join(x or b"" for x in bitmaps.to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
     return np.repeat(np.arange(len(sizes)), sizes), data[:, 0], data[:, 0] + data[:, 1] + 1
 
 
