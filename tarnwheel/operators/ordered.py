@@ -42,6 +42,31 @@ def with_previous(df: DataFrame, key: str, time: str, columns: list[str], shard:
     return d.select(*df.columns, *(prev.getField(c).alias(f"prev_{c}") for c in columns))
 
 
+def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str], max_age: int | None = None, shard: int = SHARD_MS) -> DataFrame:
+    """left with asof_<column> of the key's latest right row at or before left_time; null where there is none.
+
+    columns are of the right side and may include right_time. Of right rows with one time the largest in order of the columns
+    counts. max_age: an older match is none. Left rows with a null key or time match nothing; every left row comes out once.
+
+    Rows meet within (key, time shard); what a shard starts with is the last right row of an earlier shard, found in the
+    table of the shards' last rows. A key's whole history is never in one task.
+    """
+    take = [right_time, *(c for c in columns if c != right_time)]
+    r = right.select(F.col(key).alias("_k"), F.struct(*take).alias("_r")).where(F.col("_k").isNotNull() & F.col(f"_r.`{right_time}`").isNotNull())
+    r = r.withColumn("_t", F.col(f"_r.`{right_time}`")).withColumn("_s", F.floor(F.col("_t") / shard))
+    l = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_l")).withColumn("_s", F.floor(F.col("_t") / shard))
+    tails = r.groupBy("_k", "_s").agg(F.max("_r").alias("_e"))
+    seen = tails.unionByName(l.select("_k", "_s").distinct().withColumn("_e", F.lit(None).cast(tails.schema["_e"].dataType))).groupBy("_k", "_s").agg(F.max("_e").alias("_e"))
+    before = seen.withColumn("_b", F.last("_e", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))).drop("_e")
+    both = r.select("_k", "_s", "_t", "_r", F.lit(None).cast(l.schema["_l"].dataType).alias("_l")).unionByName(l.select("_k", "_s", "_t", F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), "_l"))
+    w = Window.partitionBy("_k", "_s").orderBy(F.asc("_t"), F.asc_nulls_last("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_in", F.last("_r", ignorenulls=True).over(w)).where("_l is not null").join(before, ["_k", "_s"], "left")
+    hit = F.coalesce("_in", "_b")
+    if max_age is not None:
+        hit = F.when(F.col("_t") - hit.getField(right_time) <= max_age, hit)
+    return found.withColumn("_h", hit).select(*(F.col(f"_l.`{c}`").alias(c) for c in left.columns), *(F.col(f"_h.`{c}`").alias(f"asof_{c}") for c in columns))
+
+
 def rates(df: DataFrame, key: str, time_ms: str, counter: str) -> DataFrame:
     """df with `rate` per second: growth since the row before over the time between, 0 after a restart, one decimal; null at the first."""
     d = with_previous(df, key, time_ms, [time_ms, counter])

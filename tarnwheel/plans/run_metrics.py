@@ -223,6 +223,14 @@ def _(spark, d):
     return O.totals_at_ticks(s, "worker_id", "epoch_ms", "proc_rss_bytes", TICK, ends, drop_before_end=True)
 
 
+@R("jn17_asof_rows", """with t as (select distinct task_id, worker_id, exec_start_ms from tasks where exec_start_ms > 0), s as (select worker_id w, epoch_ms e, max(coalesce(kind, -1)) k from worker_samples group by 1, 2)
+select task_id, worker_id, exec_start_ms, e as asof_epoch_ms, k as asof_kind from t asof left join s on t.worker_id = s.w and t.exec_start_ms >= s.e""")
+def _(spark, d):
+    t = distinct(spark, d, T, "task_id", "worker_id", "exec_start_ms").where("exec_start_ms > 0")
+    s = table(spark, d, SA, "worker_id", "epoch_ms", "kind").withColumn("kind", F.coalesce("kind", F.lit(-1)))
+    return O.asof(t, s, "worker_id", "exec_start_ms", "epoch_ms", ["epoch_ms", "kind"])
+
+
 @R("ag21_window_stats", f"{TOTALS} select cast(floor(sum(total) / count(*)) as bigint) as avg, max(total) as peak from x where tick between 1738560000000 and 1738600000000")
 def _(spark, d):
     return _totals(spark, d).agg(*O.window_stats(None, "tick", "total", F.lit(1738560000000), F.lit(1738600000000)))

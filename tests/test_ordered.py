@@ -26,6 +26,23 @@ def test_previous_row_across_shards(spark):
     assert rows(O.with_previous(df, "k", "t", ["t"], shard=500).select("t", F.coalesce("prev_t", F.lit(-1)))) == sorted(want)
 
 
+def test_asof_across_shards_against_brute_force(spark):
+    rnd = random.Random(5)
+    left = [(rnd.randrange(3), rnd.randrange(5000), i) for i in range(200)] + [(None, 5, 900), (1, None, 901)]
+    right = [(rnd.randrange(3), rnd.randrange(5000), rnd.randrange(9)) for _ in range(60)] + [(1, None, 1), (None, 7, 1)]
+    l, r = spark.createDataFrame(left, "k int, t bigint, v bigint"), spark.createDataFrame(right, "k int, m bigint, v bigint")
+    want = {}
+    for k, t, i in left:
+        c = [(m, v) for q, m, v in right if q == k and k is not None and t is not None and m is not None and m <= t]
+        want[i] = max(c) if c else (None, None)
+    got = {x["v"]: (x["asof_m"], x["asof_v"]) for x in O.asof(l, r, "k", "t", "m", ["m", "v"], shard=300).collect()}
+    assert got == want
+    near = {x["v"]: x["asof_m"] for x in O.asof(l, r, "k", "t", "m", ["m"], max_age=20, shard=300).collect()}
+    times = {i: t for _, t, i in left}
+    assert near == {i: m if m is not None and times[i] - m <= 20 else None for i, (m, _) in want.items()}
+    assert O.asof(l, r.limit(0), "k", "t", "m", ["v"]).where("asof_v is null").count() == 202
+
+
 def test_rates_after_a_restart(spark):
     df = spark.createDataFrame([(1, 0, 100), (1, 1000, 400), (1, 3000, 50)], "k int, t bigint, c bigint")
     assert rows(O.rates(df, "k", "t", "c").select("t", F.coalesce("rate", F.lit(-1.0)))) == [(0, -1.0), (1000, 300.0), (3000, 0.0)]
