@@ -53,3 +53,17 @@ def test_als_recovers_a_rank_one_pattern():
 def test_empty_and_repeats(spark):
     assert series(spark, []).count() == 0
     assert series(spark, [(1, 5, 5), (1, 5, 5)]).count() == 1
+
+
+def test_held_out_cells_are_near_what_was_read(spark):
+    """Runs of slots are taken out of real series; the filled counters are compared with the readings taken out."""
+    from pyspark.sql import functions as F
+
+    s = spark.read.parquet("/root/testdata/sf0.01/worker_samples.parquet").select("worker_id", "epoch_ms", "net_read_bytes").where("net_read_bytes >= 0")
+    s = s.withColumn("slot", F.floor(F.col("epoch_ms") / M))
+    out = F.pmod(F.xxhash64("worker_id", F.floor(F.col("slot") / 4)), F.lit(9)) == 0
+    truth = G.slots(s, "worker_id", "epoch_ms", "net_read_bytes", M).select("source", (F.col("slot") * M).alias("slot_ms"), F.col("value").alias("true"))
+    got = G.regular_series(s.where(~out), "worker_id", "epoch_ms", "net_read_bytes", pauses=False).where("state = 'filled'")
+    j = got.join(truth, (F.col("worker_id") == F.col("source")) & (got["slot_ms"] == truth["slot_ms"])).withColumn("err", F.abs(F.col("value") - F.col("true")) / F.greatest(F.col("true"), F.lit(1)))
+    n, mid = j.agg(F.count(F.lit(1)), F.percentile_approx("err", 0.5)).first()
+    assert n > 300 and mid < 0.02
