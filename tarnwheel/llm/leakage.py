@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 MIN_WORDS, MIN_CHARS, BY_CHARS = 12, 26, ("zh", "ja")
 SHARD_TOKENS = 1_000_000
+#: Places of matches that are followed at once.
+MATCHES = 2_000_000
 #: Characters of test items that one task holds; more items are searched in further passes.
 BLOCK_CHARS = 16_000_000
 OUT = "doc bigint, item bigint, longest bigint, doc_token bigint, item_token bigint"
@@ -99,11 +101,10 @@ class Items:
         table = np.asarray(known.fill_null(-2)).astype(np.int64) + 1
         return table[np.asarray(d.indices)]
 
-    def search(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(suffix, place, length) of each leftmost beginning of a match in tokens (0 between documents)."""
-        none = np.zeros(0, np.int64)
+    def search(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(suffix, place, length) of each leftmost beginning of a match in tokens (0 between documents), MATCHES places at a time."""
         if not len(tokens) or not len(self.at):
-            return none, none, none
+            return
         sa = suffix_array(tokens, self.depth)
         live = np.arange(len(self.at))
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(sa))
@@ -117,6 +118,12 @@ class Items:
             if not len(live):
                 break
         live, lo, hi = (np.concatenate(x) for x in zip(*done))
+        part = np.cumsum(hi - lo) // MATCHES
+        for k in np.unique(part):
+            mine = part == k
+            yield self._places(tokens, sa, live[mine], lo[mine], hi[mine])
+
+    def _places(self, tokens: np.ndarray, sa: np.ndarray, live: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = hi - lo
         s = np.repeat(live, n)
         p = sa[np.repeat(lo, n) + np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)]
@@ -164,15 +171,15 @@ def _find(words: Items, chars: Items, shard_tokens: int):
                     tokens = use.encode(seq)
                     begin = np.array(start, np.int64)
                     tokens[begin[1:] - 1] = 0
-                    s, p, size = use.search(tokens)
-                    if not len(s):
-                        continue
-                    k = np.searchsorted(begin, p, "right") - 1
-                    doc, own = np.array(owner, np.int64)[k], use.owner[s]
-                    order = np.lexsort((p, -size, own, doc))
-                    first = order[np.r_[True, (doc[order][1:] != doc[order][:-1]) | (own[order][1:] != own[order][:-1])]]
-                    cols = doc[first], use.item[own[first]], size[first], (p - begin[k])[first], (use.at[s] - use.begin[own])[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["doc", "item", "longest", "doc_token", "item_token"])
+                    for s, p, size in use.search(tokens):
+                        if not len(s):
+                            continue
+                        k = np.searchsorted(begin, p, "right") - 1
+                        doc, own = np.array(owner, np.int64)[k], use.owner[s]
+                        order = np.lexsort((p, -size, own, doc))
+                        first = order[np.r_[True, (doc[order][1:] != doc[order][:-1]) | (own[order][1:] != own[order][:-1])]]
+                        cols = doc[first], use.item[own[first]], size[first], (p - begin[k])[first], (use.at[s] - use.begin[own])[first]
+                        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["doc", "item", "longest", "doc_token", "item_token"])
 
     return run
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from pathlib import Path
@@ -30,7 +31,7 @@ CLOSES = {"”": "“", "»": "«", "」": "「", "』": "『", "）": "（", ")
 OPENERS, CLOSERS, QUOTES = frozenset("“„«「『（([\"¿¡‘"), frozenset("”»」』）)]\"’"), frozenset("”»」』\"“")
 TOKEN = re.compile(rf"[^\s(«\[,;:!?\u201a-\u201f\u2026\u3000-\u3004\u3008-\u3011{CJK}\uff00-\uffef]*$")
 NEXT_WORD = re.compile(r"[^\W\d_][^\s.,;:!?।؟،。，…“”«»()]*")
-CLAUSE = re.compile(r"[^.!?…。．｡！？।؟|,，:：“”«»「」]*")
+CLAUSE = re.compile(r"[^.!?…。．｡！？।؟|,，:：“”«»「」]{0,61}")
 SPEECH_FOLLOWS = re.compile(r"\s*(?:[:：]|[,，]\s*[“«„「\"])")
 STRONG, DOTS = frozenset("!?。｡！？।॥؟۔|"), frozenset(".…")
 #: A name follows, or a number or an example: the point ends nothing. Those of MAY_END end a sentence where a new one follows.
@@ -68,6 +69,14 @@ def _kind(c: str) -> str:
     return "punct" if c in ",;:、，；：—–-،؛)»”」』）]/%&=+*~" else "other"
 
 
+def _ahead(p: str, a: int) -> str:
+    """The last character before a that is no white space."""
+    a -= 1
+    while a >= 0 and p[a].isspace():
+        a -= 1
+    return p[a] if a >= 0 else ""
+
+
 def _pairs(p: str, cut_short: bool) -> dict[int, int]:
     """Place of each closing quote or bracket of a paragraph -> place of the one that opens it.
 
@@ -75,20 +84,20 @@ def _pairs(p: str, cut_short: bool) -> dict[int, int]:
     """
     stack: list[tuple[str, int]] = []
     found: dict[int, int] = {}
+    waiting: Counter[str] = Counter()
     for m in PAIR.finditer(p):
         c, i = m.group(), m.start()
         want = CLOSES.get(c, c if c == '"' else None)
-        if want is not None:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == want:
-                    found[i] = stack[k][1]
-                    del stack[k:]
+        if want is not None and waiting[want]:
+            while True:
+                o, at = stack.pop()
+                waiting[o] -= 1
+                if o == want:
+                    found[i] = at
                     break
-            else:
-                if c in '“"':
-                    stack.append((c, i))
-        else:
+        elif want is None or c in '“"':
             stack.append((c, i))
+            waiting[c] += 1
     if cut_short and stack:
         found[len(p)] = stack[0][1]
     return found
@@ -165,7 +174,7 @@ def candidates(p: str, cut_short: bool = False) -> list[tuple[int, tuple]]:
             continue
         if mark in (".", "．") and p[a - 1 : a].isdigit() and p[b : b + 1].isdigit():
             continue
-        if mark[0] == "|" and not (p[:a].rstrip()[-1:] in (")", "”") or "\u0900" <= p[:a].rstrip()[-1:] <= "\u097f"):
+        if mark[0] == "|" and not (_ahead(p, a) in (")", "”") or "\u0900" <= _ahead(p, a) <= "\u097f"):
             continue
         j, closed = b, ""
         while j < n:
@@ -191,7 +200,7 @@ def candidates(p: str, cut_short: bool = False) -> list[tuple[int, tuple]]:
         if any(c in STRONG for c in mark):
             kind, prev = "strong", ""
         elif len(mark) > 1 or mark == "…":
-            kind, prev = "dots", "cjk" if _kind(p[:a].rstrip()[-1:]) == "cjk" else ""
+            kind, prev = "dots", "cjk" if _kind(_ahead(p, a)) == "cjk" else ""
         else:
             kind, prev = "dot", _before(p, a)
             if prev == "num" and gap != "none":

@@ -73,6 +73,16 @@ def test_long_repetitive_text_and_repeats(spark):
     assert rows(run(spark, docs, items), "d", "i", "longest") == [(1, 1, 40), (2, 2, 1)]
 
 
+def test_matches_in_parts_give_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    items = L.Items([(i, " ".join(rng.choice(["a", "b"], 9))) for i in range(6)], L.WORD, 3)
+    tokens = items.encode(list(rng.choice(["a", "b", "c"], 500)))
+    whole = [np.concatenate(x) for x in zip(*items.search(tokens))]
+    monkeypatch.setattr(L, "MATCHES", 40)
+    parts = list(items.search(tokens))
+    assert len(parts) > 5 and sorted(map(tuple, np.stack(whole, 1))) == sorted(map(tuple, np.stack([np.concatenate(x) for x in zip(*parts)], 1)))
+
+
 def test_clean_documents_and_empty_tables(spark):
     items = [(1, "b", "en")]
     d = spark.createDataFrame([(1, "a", "", 0), (2, "b", "", 0)], DOCS)

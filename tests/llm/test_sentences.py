@@ -86,3 +86,4 @@ def test_table(spark):
 def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "This is one sentence. " * 20_000)], "id bigint, text string")
     assert S.sentences(df, "id", "text").count() == 20_000
+    assert split("(“[" * 30_000 + ")”]" * 30_000) and split("a… b | " * 40_000) and len(split("“xx.” " * 50_000)) == 50_000
