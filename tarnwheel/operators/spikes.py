@@ -8,7 +8,9 @@ reading still sees those before and after it. Stretches are hashed into Arrow gr
 Per stretch and metric the readings, scaled by the source's own scatter, fold into a profile matrix: each row is a
 short profile of successive readings of the source's day. Robust principal components split it into a low-rank
 part (level, ramps, the two states of some workers) and a sparse part. Sparse cells are the candidates for spikes;
-an exact check against the levels before and after decides. Ranges and constant runs are tested separately.
+an exact check against the levels before and after decides. Ranges are tested separately. Of constant runs a stretch
+gives the long ones between and the two at its edges; runs are joined across edges, and whether the metric otherwise
+changes is judged from the counts of the whole source.
 """
 
 from __future__ import annotations
@@ -30,7 +32,13 @@ WIDTH, RANK, CANDIDATE = 8, 2, 5.0
 SPIKE, LONGEST, STUCK, COARSE = 10.0, 3, 8, 0.12
 LEAST_SAMPLES = 10
 FILLERS = (2**31 - 1, 2**31, 2**32 - 1, 2**32, 2**63 - 1, -(2**31), -(2**63))
-OUT = "source bigint, time_ms bigint, metric string, kind string"
+#: A case, or (without kind) a piece of the runs of equal readings.
+PIECE = {
+    "source": pa.int64(), "metric": pa.string(), "chunk": pa.int64(), "part": pa.int64(), "value": pa.int64(), "n": pa.int64(), "tail": pa.bool_(),
+    "own": pa.int64(), "same": pa.int64(), "stuck": pa.int64(), "runs": pa.int64(), "times": pa.list_(pa.int64()),
+}
+JUDGED = ["source", "time_ms", "metric", "kind", *list(PIECE)[2:]]
+OUT = "source bigint, time_ms bigint, metric string, kind string, chunk bigint, part bigint, value bigint, n bigint, tail boolean, own bigint, same bigint, stuck bigint, runs bigint, times array<bigint>"
 
 
 def filler(v: Column) -> Column:
@@ -117,21 +125,52 @@ def leaves_level(y: np.ndarray, at: np.ndarray, s: float) -> np.ndarray:
     return hit & keep
 
 
+def otherwise_changes(n, same, stuck, runs):
+    """Whether a metric, of which n readings are counted, changes from reading to reading outside its long runs; for numbers and for columns.
+
+    same: unchanged pairs in shorter runs; stuck, runs: readings in long runs, and how many those are. One that is coarse,
+    or idle for most of the time, does not.
+    """
+    pairs = n - 1 - (stuck - runs)
+    return (same <= COARSE * pairs) & (4 * (pairs - same) >= stuck)
+
+
+def _runs(v: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of equal values."""
+    return np.diff(np.r_[np.flatnonzero(np.r_[True, v[1:] != v[:-1]]), len(v)]) if len(v) else np.zeros(0, int)
+
+
 def stuck(v: np.ndarray) -> np.ndarray:
-    """Which of successive readings lie in a run of at least STUCK equal ones, where the metric otherwise changes."""
-    if len(v) < STUCK:
-        return np.zeros(len(v), bool)
-    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-    size = np.diff(np.r_[first, len(v)])
+    """Which of a source's successive readings lie in a run of at least STUCK equal ones, where the metric otherwise changes."""
+    size = _runs(v)
     long = size >= STUCK
-    if not long.any():
-        return np.zeros(len(v), bool)
-    pairs, same = len(v) - 1 - size[long].sum(), (size[~long] - 1).sum()
-    if same > COARSE * pairs or pairs - same < max(5, size[long].sum() / 4):  # coarse, or idle for most of the time
+    if not otherwise_changes(len(v), (size[~long] - 1).sum(), size[long].sum(), long.sum()):
         return np.zeros(len(v), bool)
     return np.repeat(long, size)
 
 
+def _pieces(v: np.ndarray, at: np.ndarray, wrong: np.ndarray) -> list[tuple]:
+    """What a stretch tells of the runs in its own readings, as (part, value, n, tail, own, same, stuck, runs, times).
+
+    Its first run (part 0) and its last one (2) may go on in the neighbours; the long runs between make up part 1. The
+    totals of what lies between stand at the first run. times: those to be given if the runs prove to be stuck.
+    """
+    size = _runs(v)
+    if not len(size):
+        return []
+    inner = size[1:-1]
+    long = inner >= STUCK
+    totals = len(v), (inner[~long] - 1).sum(), inner[long].sum(), long.sum()
+    ok, z = ~wrong, len(v) - size[-1]
+    out = [(0, v[0], size[0], len(size) == 1, *totals, at[: size[0]][ok[: size[0]]])]
+    if long.any():
+        mid = np.repeat(np.r_[False, long, False], size) & ok
+        out.append((1, 0, 0, False, 0, 0, 0, 0, at[mid]))
+    if len(size) > 1:
+        out.append((2, v[-1], size[-1], True, 0, 0, 0, 0, at[z:][ok[z:]]))
+    return out
+
+
 def _judge(metrics: list[str]):
     def run(t: pa.Table) -> pa.Table:
         col = {c: t.column(c) for c in t.column_names}
@@ -146,6 +185,7 @@ def _judge(metrics: list[str]):
         null = {m: np.asarray(col[m].combine_chunks().is_null())[order] for m in metrics}
         bad = {m: np.asarray(col["bad_" + m].combine_chunks().fill_null(False))[order] for m in metrics}
         found: list[tuple[np.ndarray, str, str]] = []
+        pieces: list[tuple] = []
         for a, z in zip(cut_at, ends):
             fresh = np.r_[True, at[a + 1 : z] != at[a : z - 1]]  # the first copy of a reading stands for all
             if fresh.sum() < LEAST_SAMPLES and total[a] < 8 * LEAST_SAMPLES:
@@ -158,7 +198,7 @@ def _judge(metrics: list[str]):
                 pos, mine = here[some], own[some]
                 v, wrong = vals[m][pos], bad[m][pos]
                 found.append((pos[wrong & mine], m, "range"))
-                found.append((pos[stuck(v) & mine & ~wrong], m, "stuck"))
+                pieces += [(src[a], m, chunk[a], *p) for p in _pieces(v[mine], at[pos[mine]], wrong[mine])]
                 y = v[~wrong].astype(float)
                 s = scatter(y)
                 if s:
@@ -168,11 +208,36 @@ def _judge(metrics: list[str]):
         i = np.concatenate([f[0] for f in found]) if found else np.zeros(0, int)
         n = [len(f[0]) for f in found]
         word = lambda k: pa.array(np.repeat(np.array([f[k] for f in found], object), n) if found else [], pa.string())
-        return pa.table([pa.array(src[i]), pa.array(at[i]), word(1), word(2)], names=["source", "time_ms", "metric", "kind"])
+        cases = pa.table([pa.array(src[i]), pa.array(at[i]), word(1), word(2)], names=["source", "time_ms", "metric", "kind"])
+        runs = pa.table([pa.array([p[k] for p in pieces], t) for k, t in enumerate(PIECE.values())], names=list(PIECE))
+        return pa.concat_tables([cases, runs], promote_options="default").select(JUDGED)
 
     return run
 
 
+def _stuck_runs(pieces: DataFrame) -> DataFrame:
+    """(source, time_ms, metric, kind): readings of the long runs of each metric that otherwise changes at its source.
+
+    Runs are joined across the edges of stretches and all counts are of the whole source; only two rows a stretch are put in order.
+    """
+    by = Window.partitionBy("source", "metric")
+    w = by.orderBy("chunk", "part")
+    goes_on = (F.col("part") == 0) & F.lag("tail", 1, False).over(w) & F.coalesce(F.col("value") == F.lag("value").over(w), F.lit(False))
+    edges = pieces.where("part != 1").drop("times").withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    edges = edges.withColumn("long", F.sum("n").over(Window.partitionBy("source", "metric", "run")) >= STUCK)
+    count = lambda inner, edge: F.sum(F.col(inner) + edge).over(by)
+    changes = otherwise_changes(
+        F.sum("own").over(by),
+        count("same", F.when(F.col("long"), 0).otherwise(F.col("n") - F.col("new"))),
+        count("stuck", F.when(F.col("long"), F.col("n")).otherwise(0)),
+        count("runs", F.when(F.col("long"), F.col("new")).otherwise(0)),
+    )
+    # the verdict of the first run also holds for the long runs between
+    part = F.explode(F.array(F.when(F.col("long"), F.col("part")), F.when(F.col("part") == 0, 1)))
+    hits = edges.withColumn("changes", changes).where("changes").select("source", "metric", "chunk", part.alias("part")).where("part is not null")
+    return pieces.join(hits, ["source", "metric", "chunk", "part"]).select("source", F.explode("times").alias("time_ms"), "metric", F.lit("stuck").alias("kind"))
+
+
 def wrong_readings(df: DataFrame, source: str, time_ms: str, impossible: Mapping[str, Column]) -> DataFrame:
     """(source, time_ms, metric, kind): readings that are impossible (`range`), a `spike` or `stuck`.
 
@@ -199,4 +264,6 @@ def wrong_readings(df: DataFrame, source: str, time_ms: str, impossible: Mapping
     rows = ranks.agg(F.sum("n")).first()[0] or 0
     groups = max(1, rows // GROUP_ROWS)
     joined = t.join(ranks.drop("n"), ["source", "bucket"]).withColumn("g", F.pmod(F.xxhash64("source", "chunk"), F.lit(groups)))
-    return joined.groupBy("g").applyInArrow(_judge(metrics), OUT).withColumnRenamed("source", source).withColumnRenamed("time_ms", time_ms)
+    judged = cut(joined.groupBy("g").applyInArrow(_judge(metrics), OUT))
+    cases = judged.where("kind is not null").select("source", "time_ms", "metric", "kind").unionByName(_stuck_runs(judged.where("kind is null").drop("time_ms", "kind")))
+    return cases.withColumnRenamed("source", source).withColumnRenamed("time_ms", time_ms)

@@ -71,3 +71,25 @@ def test_sparse_part_finds_what_stands_out(size):
     z[size // 2] += 40
     assert S.sparse_part(z)[size // 2]
     assert S.sparse_part(z).sum() <= 2 + size // 50
+
+
+@pytest.mark.parametrize("n, at, size", [(6000, 2100, 2600), (6000, 1000, 1100), (10, 1, 8), (13, 5, 8), (60, 6, 48)])
+def test_the_whole_of_a_frozen_run_counts(spark, n, at, size):
+    a = 1000 + 7 * np.arange(n) % 1009
+    a[at : at + size] = 5000
+    data = [(1, i * 1000, int(a[i]), None) for i in range(n)]
+    assert [t // 1000 for _, t, _, k in run(spark, data) if k == "stuck"] == list(range(at, at + size))
+    assert np.flatnonzero(S.stuck(a)).tolist() == list(range(at, at + size))
+
+
+def test_whether_a_metric_changes_is_judged_over_the_whole_source(spark):
+    rng = np.random.default_rng(8)
+    n = 5000
+    a, b = np.arange(n), rng.choice([0, 100, 200], n, p=[0.6, 0.3, 0.1])
+    a[900:] = 7  # idle for most of the time
+    b[:1500] = np.arange(1500)  # coarse but for a part
+    b[700:720] = 7
+    data = [(1, i * 1000, int(a[i]), int(b[i])) for i in range(n)]
+    assert not S.stuck(a).any()
+    want = [(1, i * 1000, m, "stuck") for m, v in (("a", a), ("b", b)) for i in np.flatnonzero(S.stuck(v))]
+    assert [r for r in run(spark, data) if r[3] == "stuck"] == sorted(want)
