@@ -31,7 +31,7 @@ CLOSES = {"”": "“", "»": "«", "」": "「", "』": "『", "）": "（", ")
 OPENERS, CLOSERS, QUOTES = frozenset("“„«「『（([\"¿¡‘"), frozenset("”»」』）)]\"’"), frozenset("”»」』\"“")
 TOKEN = re.compile(rf"[^\s(«\[,;:!?\u201a-\u201f\u2026\u3000-\u3004\u3008-\u3011{CJK}\uff00-\uffef]*$")
 NEXT_WORD = re.compile(r"[^\W\d_][^\s.,;:!?।؟،。，…“”«»()]*")
-CLAUSE = re.compile(r"[^.!?…。．｡！？।؟|,，:：“”«»「」]{0,61}")
+CLAUSE_STOP = re.compile(r"[.!?…。．｡！？।؟|,，:：“”«»「」]")
 SPEECH_FOLLOWS = re.compile(r"\s*(?:[:：]|[,，]\s*[“«„「\"])")
 STRONG, DOTS = frozenset("!?。｡！？।॥؟۔|"), frozenset(".…")
 #: A name follows, or a number or an example: the point ends nothing. Those of MAY_END end a sentence where a new one follows.
@@ -136,19 +136,36 @@ def _before(p: str, a: int) -> str:
     return "close" if c in CLOSERS else "word"
 
 
-def _said(p: str, k: int, nxt: str) -> bool:
+class _Clauses:
+    """Where the clauses of a paragraph end, asked for places in ascending order; every character is passed once."""
+
+    def __init__(self, p: str):
+        self.p, self.end, self.introduces = p, -1, False
+
+    def at(self, k: int) -> tuple[int, bool]:
+        """(end of the clause at k, whether it introduces the next quote)."""
+        if k > self.end:
+            m = CLAUSE_STOP.search(self.p, k)
+            self.end = m.start() if m else len(self.p)
+            self.introduces = bool(SPEECH_FOLLOWS.match(self.p, self.end))
+        return self.end, self.introduces
+
+
+def _said(p: str, k: int, nxt: str, clauses: _Clauses) -> bool:
     """Whether the clause that follows a quote only says who spoke."""
     if nxt == "cjk" and p[k] in "とっ":
         return True
-    m = CLAUSE.match(p, k)
-    if SPEECH_FOLLOWS.match(p, m.end()):  # the clause introduces the next quote
+    end, introduces = clauses.at(k)
+    if introduces:
         return False
-    clause = m.group()
     if nxt in ("lower", "upper", "nocase"):
         w = NEXT_WORD.match(p, k)
         if w and w.group().casefold() in SAID:
             return True
-    return len(clause) <= 60 and len(clause.split()) <= 6 and bool(SAID_AT_END.search(clause))
+    if end - k > 60:
+        return False
+    clause = p[k:end]
+    return len(clause.split()) <= 6 and bool(SAID_AT_END.search(clause))
 
 
 def candidates(p: str, cut_short: bool = False) -> list[tuple[int, tuple]]:
@@ -157,7 +174,7 @@ def candidates(p: str, cut_short: bool = False) -> list[tuple[int, tuple]]:
     pairs = _pairs(p, cut_short) if PAIR.search(p) else {}
     spans = sorted((o, c) for c, o in pairs.items())
     small = not any(c.isupper() for c in p) if EVENT.search(p) else False
-    n, last, reach, s = len(p), 0, -1, 0
+    n, last, reach, s, clauses = len(p), 0, -1, 0, _Clauses(p)
     for m in EVENT.finditer(p):
         a, b = m.span()
         if a < last:
@@ -208,7 +225,7 @@ def candidates(p: str, cut_short: bool = False) -> list[tuple[int, tuple]]:
                 if len(w) > 1 and w[-1].isdigit() and len(w[-1]) < 3 and w[-2].casefold() in ORDINAL_BEFORE:
                     prev = "ordinal"
         extra = ""
-        if closed == "quote" and nxt not in ("punct", "open", "paren") and _said(p, k, nxt):
+        if closed == "quote" and nxt not in ("punct", "open", "paren") and _said(p, k, nxt, clauses):
             extra = "said"
         elif nxt == "lower":
             w = NEXT_WORD.match(p, k)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tarnwheel.llm import sentence_training as T
@@ -87,3 +89,16 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "This is one sentence. " * 20_000)], "id bigint, text string")
     assert S.sentences(df, "id", "text").count() == 20_000
     assert split("(“[" * 30_000 + ")”]" * 30_000) and split("a… b | " * 40_000) and len(split("“xx.” " * 50_000)) == 50_000
+
+
+@pytest.mark.parametrize("clause", ["said the old harbour master to the men who were waiting outside by the door", "said Bo", "said " + "very " * 300 + "old Bo"])
+def test_a_clause_of_any_length_that_introduces_the_next_quote_begins_a_sentence(clause):
+    assert split(f"“Who is there?” {clause}: “Go home.”") == ["“Who is there?”", f"{clause}: “Go home.”"]
+    assert split(f"“Who is there?” {clause}. He left.") == [f"“Who is there?” {clause}.", "He left."]
+
+
+def test_clauses_are_passed_once():
+    p = '"a॥" b ' * 20_000 + "c" * 200_000
+    began = time.process_time()
+    S.candidates(p)
+    assert time.process_time() - began < 10
