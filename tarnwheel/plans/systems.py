@@ -473,6 +473,17 @@ def _(spark, d):
     return V.norms(a, x, b)[2].where("i < 50").select("i", (F.abs("v") < 1e-9).alias("solved"))
 
 
+@R("sv06_overlapping_solves", "select i, true as solved from range(100) t(i)")
+def _(spark, d):
+    # four overlapping blocks are told the solution just outside them and nothing else; their owners' values are the solution
+    a, b = _system(spark, 10)
+    s = V.Schwarz(a, V.grid_blocks(spark, 10, 4), 1)
+    ghosts = {r["i"] for r in s.need.where("kind = 0").select("i").distinct().collect()}
+    told = [(i, float(v) if i in ghosts else 1e6) for i, v in enumerate(V.exact(a, b, 100))]
+    x = s.step(spark.createDataFrame(told, "i bigint, v double"), b)
+    return V.norms(a, x, b)[2].select("i", (F.abs("v") < 1e-9).alias("solved"))
+
+
 @R("sv08_coarse_correction", "select i, true as closer from range(1) t(i)")
 def _(spark, d):
     a, b = _system(spark, 10)

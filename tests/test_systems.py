@@ -200,3 +200,13 @@ def test_cursors_follow_each_key(spark):
 def test_throttle(spark):
     df = spark.createDataFrame([(1, t) for t in (0, 100, 199, 200, 350, 401)], "k int, t bigint")
     assert [r[1] for r in rows(N.throttled(df, "k", "t", 200), "k", "t")] == [0, 200, 401]
+
+
+def test_overlapping_solves_use_their_ghosts_and_give_all_unknowns(spark, monkeypatch):
+    from tarnwheel.plans import registry
+
+    query = registry.queries()["sv06_overlapping_solves"]
+    assert rows(query(spark, "")) == [(i, True) for i in range(100)]
+    exact = V.exact
+    monkeypatch.setattr(V, "exact", lambda a, b, n: 0 * exact(a, b, n))  # told nothing of the outside, no block solves the whole
+    assert (False,) in rows(query(spark, ""), "solved")
