@@ -4,7 +4,8 @@ Readings are first reduced to one row per (source, slot). Sources are hashed int
 days; one Arrow group is a block's day, a source-by-time matrix of bounded size, with the slots within `reach` of
 the day's edges in both days. In it, the growth per slot (log scale, each source against its own mean) is
 factorised by alternating least squares over the observed cells. Observed cells stay exact; an empty slot between
-two readings is filled from the factors; a cell whose source or slot has too few observed cells stays marked.
+two readings is filled from the factors; a cell whose source or slot has too few observed cells stays marked. A slot
+needs one observed cell, unless the source is alone in its block: then there is no pattern but its own pace.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def _block(slot: int, max_gap_ms: int, rank: int, support: int):
         seen[row[c], at[c] + 1 - base] = True
         mean = np.where(seen.any(1), x.sum(1) / np.maximum(seen.sum(1), 1), 0.0)
         u, v = als(x - mean[:, None], seen, rank)
-        known = seen.sum(1) >= support
+        known, backed = seen.sum(1) >= support, (seen.sum(0) > 0) | (m == 1)
         out = [pd.DataFrame({"source": src, "slot_ms": at * slot, "state": "observed", "value": val, "n_slots": 1, "gap_ms": 0})]
         holes = np.flatnonzero((step > 1) & (gap <= max_gap_ms))
         if len(holes):
@@ -74,7 +75,7 @@ def _block(slot: int, max_gap_ms: int, rank: int, support: int):
             grown = growth[holes][h]
             share = np.where(total[h] > 0, run_sum / np.maximum(total[h], 1e-300), (j + 1) / k[h])
             filled = np.where(grown >= 0, val[i][h] + grown * share, val[i][h] + run_sum)  # after a restart the source's own pace goes on
-            ok, empty = known[r], j + 1 < k[h]
+            ok, empty = known[r] & backed[col], j + 1 < k[h]
             out.append(pd.DataFrame({"source": src[i][h], "slot_ms": (at[i][h] + 1 + j) * slot, "state": np.where(ok, "filled", "marked"), "value": np.where(ok, filled, np.nan), "n_slots": 1, "gap_ms": gap[holes][h]})[empty])
         res = pd.concat(out)
         res = res[res["slot_ms"] // DAY_MS == day]
@@ -99,7 +100,8 @@ def regular_series(
     state `observed`: the slot's latest usable reading (not null, not negative), exact. `filled` and `marked`: an
     empty slot between two successive usable readings at most max_gap_ms apart; gap_ms is that distance. It is
     filled from the low-rank model, within the growth between the two readings where there is any; it is marked
-    (value null) if the source has fewer than `support` observed steps in that day. `pause` (only with pauses): one
+    (value null) if the source has fewer than `support` observed steps in that day, or if there are other sources and none of
+    the block has an observed step into that slot. `pause` (only with pauses): one
     row for a longer gap, from its first empty slot on, n_slots slots long, value null.
     Rows with a null source or time are passed over; repeated rows change nothing; a single reading gives its slot;
     an empty table gives an empty result. slot_ms must divide a day.

@@ -67,3 +67,10 @@ def test_held_out_cells_are_near_what_was_read(spark):
     j = got.join(truth, (F.col("worker_id") == F.col("source")) & (got["slot_ms"] == truth["slot_ms"])).withColumn("err", F.abs(F.col("value") - F.col("true")) / F.greatest(F.col("true"), F.lit(1)))
     n, mid = j.agg(F.count(F.lit(1)), F.percentile_approx("err", 0.5)).first()
     assert n > 300 and mid < 0.02
+
+
+def test_slots_that_no_source_observes_are_marked(spark):
+    data = [(w, i * M, 10 * w * i) for w in (1, 2) for i in range(40) if not (20 <= i < 23) and not (w == 1 and i == 30)]
+    got = {(r[0], r[1] // M): r[2:] for r in rows(series(spark, data), "w", "slot_ms", "state", "value") if r[2] != "observed"}
+    assert {k: s for k, (s, _) in got.items()} == {(1, 30): "filled"} | {(w, i): "marked" for w in (1, 2) for i in (20, 21, 22)}
+    assert all((v is None) == (s == "marked") for s, v in got.values())
