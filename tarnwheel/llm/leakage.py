@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,11 @@ def narrow(tokens: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, d
     return first, np.maximum(first, bound(True))
 
 
+def _narrow_runs(tokens: list[str], wide: regex.Pattern) -> Iterator[list[str]]:
+    """The runs of tokens free of Han and kana."""
+    return (list(g) for is_wide, g in groupby(tokens, lambda c: bool(wide.search(c))) if not is_wide)
+
+
 class Items:
     """Test items as token sequences; suffixes shorter than what must match are left out."""
 
@@ -91,6 +97,9 @@ class Items:
         self.at = start[self.owner] + np.arange(len(self.owner)) - np.repeat(np.cumsum(count) - count, count) if len(seqs) else np.zeros(0, np.int64)
         self.need = need[self.owner] if len(seqs) else np.zeros(0, np.int64)
         self.depth = int(need.max()) if len(seqs) else 0
+        wide = regex.compile(WIDE)
+        #: Whether some item has a passage free of Han and kana.
+        self.narrow = any(any(len(run) >= k for run in _narrow_runs(s, wide)) for (_, s), k in zip(seqs, need))
 
     def encode(self, words: list[str]) -> np.ndarray:
         """Token numbers; words that no item has are all -1 and match nothing."""
@@ -164,7 +173,7 @@ def _find(words: Items, chars: Items, shard_tokens: int):
         for b in batches:
             pairs = [(d, folded(t)) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and d is not None]
             ids, texts = [x[0] for x in pairs], [x[1] for x in pairs]
-            for use, wanted in ((words, lambda t: True), (chars, lambda t: bool(wide.search(t)))):
+            for use, wanted in ((words, lambda t: True), (chars, lambda t: chars.narrow or bool(wide.search(t)))):
                 if not len(use.at):
                     continue
                 for seq, start, owner in pieces(ids, texts, use, wanted):

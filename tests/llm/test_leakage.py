@@ -88,3 +88,11 @@ def test_clean_documents_and_empty_tables(spark):
     d = spark.createDataFrame([(1, "a", "", 0), (2, "b", "", 0)], DOCS)
     assert rows(L.without_leaks(d, "d", run(spark, [(1, "a"), (2, "b")], items)), "d") == [(1,)]
     assert run(spark, [], items).count() == 0 and run(spark, [(1, "a")], []).count() == 0
+
+
+def test_passages_of_character_items_without_han_or_kana(spark):
+    latin, hangul = "Abcdefghijklm nopqrstuvwxyz0", "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허"
+    items = [(1, "他说 " + latin + " 早", "zh"), (2, "見" + hangul, "ja"), (3, "Run7!", "zh"), (4, "早ab" * 20, "zh")]
+    docs = [(1, "x, " + latin[:27].upper() + "."), (2, "x " + latin[:26]), (3, hangul[:26]), (4, hangul[:25]), (5, "so run 7 it"), (6, "ab" * 40)]
+    assert rows(run(spark, docs, items), "d", "i") == [(1, 1), (3, 2), (5, 3)]
+    assert not L.Items([(4, "早ab" * 20)], L.SYMBOL, 26).narrow
