@@ -74,7 +74,7 @@ def best_fit(size: np.ndarray, capacity: int, max_docs: int, max_cost: float, we
             live = np.r_[live, k]
         room[k] -= d
         bins[i] = k
-        if room[k, 0] < least or room[k, 1] < 1:
+        if room[k, 0] < least or room[k, 1] < 1 or room[k, 2] < float(least) ** 2:
             live = live[live != k]
     return bins
 

@@ -66,8 +66,12 @@ def p5_days(spark: SparkSession, d: str) -> DataFrame:
     return _named(_summaries(spark, d)).select("module", "name", "day", "n")
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return pack(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+#: An attention cost that binds: a container full of documents of a quarter of its tokens each.
+ATTENTION = CAPACITY * CAPACITY // 4
+
+
+def _packed(spark: SparkSession, d: str, max_cost: float | None = None) -> DataFrame:
+    return pack(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", max_cost=max_cost)
 
 
 @query()
@@ -83,6 +87,20 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query()
+def p7_attention(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, ATTENTION)
+
+
+@query()
+def p7_attention_fill(spark: SparkSession, d: str) -> DataFrame:
+    over = F.col("cost") > ATTENTION
+    return fill(p7_attention(spark, d)).agg(
+        F.count(F.lit(1)).alias("n_containers"), F.sum("n_docs").alias("n_items"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.lit(CAPACITY) - F.col("n_tokens")).alias("unused"),
+        F.max(F.when(~over, F.col("cost"))).alias("costliest"), F.count_if(over).alias("n_alone_over"), F.count_if(over & (F.col("n_docs") > 1)).alias("n_over"),
+    )
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text", "lang"), "item_id", "text", "lang")
 
