@@ -62,17 +62,28 @@ def grid_blocks(spark: SparkSession, n: int, nsd: int) -> DataFrame:
     return x.select("i", (part(F.col("r"), bounds(n, pr)) * pc + part(F.col("c"), bounds(n, pc))).cast("int").alias("sd"))
 
 
-def widened(a: DataFrame, blocks: DataFrame, hops: int) -> DataFrame:
-    """(sd, i, own): each block with all unknowns at most so many steps away in the matrix graph."""
+def widened(a: DataFrame, blocks: DataFrame, hops: int, overlap: float = 0.0) -> DataFrame:
+    """(sd, i, own): each block with all unknowns at most so many steps away in the matrix graph.
+
+    A block that has grown by less than the share `overlap` of its own unknowns is widened by as many steps again.
+    """
     e = a.where("i <> j").select(F.col("i").alias("a0"), F.col("j").alias("b0"))
-    rings = [cut(blocks.select("sd", "i"))]
-    for _ in range(hops):  # the matrix is symmetric, so a ring's neighbours lie in the rings beside it
-        near = rings[-1] if len(rings) == 1 else rings[-1].unionByName(rings[-2])
-        nxt = rings[-1].join(e, rings[-1].i == e.a0).select("sd", F.col("b0").alias("i")).distinct()
-        rings.append(cut(nxt.join(near, ["sd", "i"], "left_anti")))
+
+    def grow(rings: list[DataFrame]) -> list[DataFrame]:
+        for _ in range(hops):  # the matrix is symmetric, so a ring's neighbours lie in the rings beside it
+            near = rings[-1] if len(rings) == 1 else rings[-1].unionByName(rings[-2])
+            nxt = rings[-1].join(e, rings[-1].i == e.a0).select("sd", F.col("b0").alias("i")).distinct()
+            rings.append(cut(nxt.join(near, ["sd", "i"], "left_anti")))
+        return rings
+
+    rings = grow([cut(blocks.select("sd", "i"))])
     out = rings[0].withColumn("own", F.lit(True))
     for r in rings[1:]:
         out = out.unionByName(r.withColumn("own", F.lit(False)))
+    if overlap and hops:
+        short = cut(out.groupBy("sd").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("o")).where(F.col("n") < (1 + overlap) * F.col("o")).select("sd"))
+        for r in grow([x.join(short, "sd", "left_semi") for x in rings[-2:]])[2:]:
+            out = out.unionByName(r.withColumn("own", F.lit(False)))
     return out
 
 

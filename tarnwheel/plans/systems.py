@@ -365,6 +365,14 @@ def _(spark, d):
     return x.select("i", F.round("v", 4).alias("v"), F.lit(steps).alias("steps"), F.lit(rel < 1e-6).alias("converged"))
 
 
+@R("sv07_schwarz_200")
+def _(spark, d):
+    a = V.poisson(spark, 200)
+    b = spark.range(40_000).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))
+    x, steps, rel = V.Schwarz(a, V.grid_blocks(spark, 200, 16), 8, V.bilinear(spark, 200, 15)).solve(b, 1e-8)
+    return x.select("i", F.round("v", 4).alias("v"), F.lit(steps).alias("steps"), F.lit(rel < 1e-8).alias("converged"))
+
+
 @R("st_window_first", "select user_id, min(event_id) as first_event from events group by user_id")
 def _(spark, d):
     return O.latest(table(spark, d, "events", "user_id", "event_id"), ["user_id"], ["event_id"], first=True).select("user_id", F.col("event_id").alias("first_event"))

@@ -210,3 +210,13 @@ def test_overlapping_solves_use_their_ghosts_and_give_all_unknowns(spark, monkey
     exact = V.exact
     monkeypatch.setattr(V, "exact", lambda a, b, n: 0 * exact(a, b, n))  # told nothing of the outside, no block solves the whole
     assert (False,) in rows(query(spark, ""), "solved")
+
+
+def test_blocks_that_grow_too_little_are_widened_twice(spark):
+    a = V.poisson(spark, 8)
+    b = spark.range(64).select(F.col("id").alias("i"), F.when(F.col("id") < 56, 0).otherwise(1).alias("sd"))  # seven rows and one
+    got = rows(V.widened(a, b, 1, 0.5), "sd", "i", "own")
+    want = [(0, i, i < 56) for i in range(64)] + [(1, i, i >= 56) for i in range(48, 64)]
+    assert got == want  # the large block grew by a seventh and has no more to take, the small one doubled
+    c = b.withColumn("sd", F.when(F.col("i") < 32, 0).otherwise(1))
+    assert rows(V.widened(a, c, 1, 0.5), "sd", "i") == rows(V.widened(a, c, 2), "sd", "i") != rows(V.widened(a, c, 1), "sd", "i")
