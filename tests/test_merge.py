@@ -59,14 +59,14 @@ def test_mapreduce_sum_finalizer_and_edges(spark):
 
 
 def test_words(spark):
-    df = spark.createDataFrame([("hello world hello",), ("world fly world",), (" Hello  fly hello ",), (None,), ("",)], "t string")
-    assert rows(M.word_counts(df, "t")) == [("fly", 2), ("hello", 4), ("world", 3)]
+    df = spark.createDataFrame([("oar rope oar  mast",), (None,), ("Mast keel mast mast",), ("",), (" keel oar ",)], "t string")
+    assert rows(M.word_counts(df, "t")) == [("keel", 2), ("mast", 4), ("oar", 3), ("rope", 1)]
 
 
-@pytest.mark.parametrize("x, y, want", [(0, 0, 0), (0, 10, 1), (2, 10, 21), (1, 5, 10.5), (0.5, 5, 5.5), (1, 0, 10), (-5, 99, 1), (99, -5, 20)])
+@pytest.mark.parametrize("x, y, want", [(3, 2, 7), (8, 2, 12), (5, 6, 13), (4, 2, 5), (3, 3, 7.25), (4, 4, 7.75), (6.5, 5, 12), (1, 70, 8), (60, -1, 12)])
 def test_interpolation_in_two_dimensions(spark, x, y, want):
     arr = lambda *v: F.array(*(F.lit(float(a)) for a in v))
-    v = L.interpolate([arr(0, 1, 2), arr(0, 10)], arr(0, 1, 10, 11, 20, 21), [F.lit(x), F.lit(y)])
+    v = L.interpolate([arr(3, 5, 8), arr(2, 6)], arr(7, 8, 3, 13, 12, 14), [F.lit(x), F.lit(y)])
     assert abs(spark.range(1).select(v).first()[0] - want) < 1e-12
 
 
@@ -85,7 +85,7 @@ def test_scalars(spark):
     assert one(S.floor_div(F.lit(-7).cast("bigint"), 2)) == -4 and one(S.floor_div(F.lit(7).cast("bigint"), 2)) == 3
     assert one(S.to_units(F.lit(-2.5), 1.0)) == -3
     assert one(S.strip_prefix(F.lit("a/b/c"), ["a"])) == "b/c" and one(S.strip_prefix(F.lit("a"), ["a"])) is None and one(S.strip_prefix(F.lit("ab/c"), ["a"])) is None
-    assert one(S.fnv1a(F.lit("hello"), 1 << 32)) == 0x4F9F2CAB
+    assert one(S.fnv1a(F.lit("a"), 1 << 32)) == 0xE40C292C
     assert one(S.grid_spec(F.lit("3x4"))).asDict() == {"x": 3, "y": 4} and one(S.grid_spec(F.lit("0x4"))) is None and one(S.grid_spec(F.lit("ax4"))) is None
     assert one(S.number_range(F.lit("1:2"))).asDict() == {"min": 1.0, "max": 2.0, "present": True} and one(S.number_range(F.lit("1:2:3"))) is None
     assert [one(S.size_text(F.lit(v))) for v in (4096, 480 << 20, 3 << 29)] == ["4KB", "480MB", "1.5GB"]

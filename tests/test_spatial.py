@@ -75,9 +75,9 @@ def test_points_outside_all_cores_go_to_the_nearest(spark):
 
 
 def test_partition_decision():
-    p = G.decide_partitions([124, 4, 64, 4], [196], (0, 0), (100, 100), 70, shape="2x1")
-    assert [(x[1], x[3]) for x in p] == [(0, 100), (100, 400)]
-    assert [(x[5], x[7]) for x in p] == [(G.INT_MIN, 240), (-40, G.INT_MAX)]
+    p = G.decide_partitions([9, 30, 2, 17, 12], [41, 29], (50, 0), (80, 80), 25, shape="2x1")
+    assert [(x[1], x[3]) for x in p] == [(50, 210), (210, 450)]
+    assert [(x[5], x[7]) for x in p] == [(G.INT_MIN, 260), (160, G.INT_MAX)]
     assert len(G.decide_partitions([0, 0], [0], (0, 0), (1, 1), 1, shape="2x1")) == 1
     assert len(G.decide_partitions([5, 5], [5, 5], (0, 0), (1, 1), 1, shape="axb", count=4)) == 4
     assert G.decide_partitions([], [], (0, 0), (1, 1), 1) == []
