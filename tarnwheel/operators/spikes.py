@@ -1,16 +1,20 @@
 """Wrong readings in measurements: impossible values, spikes and stuck runs, each against its source's normal.
 
-Work is cut by rank, not by source: readings are counted per (source, half hour), the running counts say where
-each half hour stands in its source's order, and stretches of about CHUNK successive readings are formed with HALO
-readings of the neighbours on both sides. So a source with a third of all rows becomes many equal groups and every
-reading still sees those before and after it. Stretches are hashed into Arrow groups of about GROUP_ROWS rows.
-
-Per stretch and metric the readings, scaled by the source's own scatter, fold into a profile matrix: each row is a
-short profile of successive readings of the source's day. Robust principal components split it into a low-rank
-part (level, ramps, the two states of some workers) and a sparse part. Sparse cells are the candidates for spikes;
-an exact check against the levels before and after decides. Ranges are tested separately. Of constant runs a stretch
-gives the long ones between and the two at its edges; runs are joined across edges, and whether the metric otherwise
-changes is judged from the counts of the whole source.
+Work is cut by rank, not by source: distinct reading times are counted per (source, half hour), the running counts say
+where each half hour stands in its source's order, and a rank inside the half hour puts every reading into its stretch
+of CHUNK successive readings, and with HALO readings also into the neighbour's. So a source with a third of all rows
+becomes many equal groups, the rows grow in line with the readings however dense a half hour is, and every reading
+still sees those before and after it. A half hour holds at most 1.8 million times. Stretches are hashed into Arrow
+groups of about GROUP_ROWS rows.
+
+Normal behaviour is the low-rank part of profile matrices, split off by robust principal components. A source seen on
+at least DAYS days has one matrix a metric, a row a day and a column a half hour: its low-rank part is the source's
+level at that time of day, and what is left of each reading goes on. In every stretch the readings (less that level),
+scaled by the source's own scatter, fold into a matrix of short profiles of WIDTH successive readings, whose low-rank
+part holds level, ramps and the two states of some workers. Sparse cells are the candidates for spikes; an exact check
+against the levels before and after decides. Ranges are tested separately. Of constant runs a stretch gives the long
+ones between and the two at its edges; runs are joined across edges, and whether the metric otherwise changes is judged
+from the counts of the whole source.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ BUCKET_MS = 1_800_000
 CHUNK, HALO, GROUP_ROWS = 1024, 24, 20_000
 #: Readings of a profile row; components kept as normal; scatters from the low-rank part to be a candidate.
 WIDTH, RANK, CANDIDATE = 8, 2, 5.0
+#: Days on which a source must be seen to have daily profiles, and days of one matrix.
+DAYS, BLOCK_DAYS = 5, 64
+SLOTS = 86_400_000 // BUCKET_MS
 #: Scatters from the levels before and after; longest spike; readings of a stuck run; share of unchanged neighbours above which a metric is coarse.
 SPIKE, LONGEST, STUCK, COARSE = 10.0, 3, 8, 0.12
 LEAST_SAMPLES = 10
@@ -59,30 +66,52 @@ def scatter(y: np.ndarray) -> float:
     return float(np.median(steps)) if len(steps) else 0.0
 
 
-def sparse_part(z: np.ndarray, width: int = WIDTH, rank: int = RANK, cutoff: float = CANDIDATE, rounds: int = 6) -> np.ndarray:
-    """Which of the scaled readings the low-rank part of their profile matrix does not explain.
+def low_rank(m: np.ndarray, low: np.ndarray, rank: int, cutoff: float, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(low-rank part, sparse cells) of a matrix, from a first guess of the low-rank part; cells that are NaN are unknown.
 
     Alternating projections: cells taken for sparse are filled from the low-rank part, so they cannot bend it.
     """
-    n = len(z)
-    rows = -(-n // width)
-    m = np.full(rows * width, np.nan)
-    m[:n] = z
-    m = m.reshape(rows, width)
-    if n < rows * width:
-        m[-1, n - rows * width :] = np.median(m[-1, : n - rows * width + width])
-    low = np.repeat(np.sort(m, axis=1)[:, (width - 1) // 2 : width // 2 + 1].mean(1)[:, None], width, 1)
-    out = np.abs(m - low) > cutoff
+    unknown = np.isnan(m)
+    out = unknown | (np.abs(m - low) > cutoff)
     for _ in range(rounds):
         filled = np.where(out, low, m)
         _, v = np.linalg.eigh(filled.T @ filled)
         v = v[:, -rank:]
         low = filled @ v @ v.T
-        now = np.abs(m - low) > cutoff
+        now = unknown | (np.abs(m - low) > cutoff)
         if (now == out).all():
             break
         out = now
-    return (out | (np.abs(m - low) > cutoff)).ravel()[:n]
+    return low, (out | (np.abs(m - low) > cutoff)) & ~unknown
+
+
+def sparse_part(z: np.ndarray, width: int = WIDTH, rank: int = RANK, cutoff: float = CANDIDATE) -> np.ndarray:
+    """Which of the scaled readings the low-rank part of their profile matrix does not explain."""
+    n = len(z)
+    rows = -(-n // width)
+    m = np.full(rows * width, np.nan)
+    m[:n] = z
+    m = m.reshape(rows, width)
+    if n < rows * width:
+        m[-1, n - rows * width :] = np.median(m[-1, : n - rows * width + width])
+    first = np.repeat(np.sort(m, axis=1)[:, (width - 1) // 2 : width // 2 + 1].mean(1)[:, None], width, 1)
+    return low_rank(m, first, rank, cutoff)[1].ravel()[:n]
+
+
+def day_levels(m: np.ndarray) -> np.ndarray:
+    """The normal level of each cell of a day-by-slot matrix (NaN: not seen): the low-rank part of its daily profiles.
+
+    Each day's own median is taken off first, so that slots of days without readings fall back to the day's level.
+    """
+    with np.errstate(all="ignore"):
+        base = np.array([np.median(r[~np.isnan(r)]) if (~np.isnan(r)).any() else np.nan for r in m])
+        base = np.where(np.isnan(base), np.median(base[~np.isnan(base)]), base)[:, None]
+        rest = m - base
+        shape = np.array([np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 0.0 for c in rest.T])[None, :]
+        off = np.abs(rest - shape)
+        scale = 1.4826 * np.median(off[~np.isnan(off)]) or 1.0
+        low, _ = low_rank(rest / scale, np.repeat(shape / scale, len(m), 0), RANK, CANDIDATE)
+    return base + low * scale
 
 
 def _levels(y: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,21 +207,22 @@ def _judge(metrics: list[str]):
         src, chunk, at = i64("source"), i64("chunk"), i64("time_ms")
         order = np.lexsort((*(i64(m) for m in reversed(metrics)), at, chunk, src))
         src, chunk, at = src[order], chunk[order], at[order]
-        r0, lo, hi, total = (i64(c)[order] for c in ("r0", "lo", "hi", "total"))
+        ranks, total = i64("rank")[order], i64("total")[order]
         cut_at = np.flatnonzero(np.r_[True, (src[1:] != src[:-1]) | (chunk[1:] != chunk[:-1])])
         ends = np.r_[cut_at[1:], len(src)]
         vals = {m: i64(m)[order] for m in metrics}
         null = {m: np.asarray(col[m].combine_chunks().is_null())[order] for m in metrics}
         bad = {m: np.asarray(col["bad_" + m].combine_chunks().fill_null(False))[order] for m in metrics}
+        level = {m: np.asarray(col["level_" + m].combine_chunks().fill_null(0.0))[order] for m in metrics if "level_" + m in col}
         found: list[tuple[np.ndarray, str, str]] = []
         pieces: list[tuple] = []
         for a, z in zip(cut_at, ends):
-            fresh = np.r_[True, at[a + 1 : z] != at[a : z - 1]]  # the first copy of a reading stands for all
-            if fresh.sum() < LEAST_SAMPLES and total[a] < 8 * LEAST_SAMPLES:
+            if total[a] < LEAST_SAMPLES:
                 continue
-            rank = r0[a:z].min() + np.arange(z - a)
+            fresh = np.r_[True, at[a + 1 : z] != at[a : z - 1]]  # the first copy of a reading stands for all
             here = a + np.flatnonzero(fresh)
-            own = ((rank >= lo[a]) & (rank < hi[a]))[fresh]
+            last = chunk[a] == stretches(total[a]) - 1
+            own = (ranks[here] >= chunk[a] * CHUNK) & (last | (ranks[here] < (chunk[a] + 1) * CHUNK))
             for m in metrics:
                 some = ~null[m][here]
                 pos, mine = here[some], own[some]
@@ -202,7 +232,8 @@ def _judge(metrics: list[str]):
                 y = v[~wrong].astype(float)
                 s = scatter(y)
                 if s:
-                    cand = np.flatnonzero(sparse_part((y - np.median(y)) / s))
+                    rest = y - level[m][pos[~wrong]] if m in level else y
+                    cand = np.flatnonzero(sparse_part((rest - np.median(rest)) / s))
                     found.append((pos[~wrong][leaves_level(y, cand, s) & mine[~wrong]], m, "spike"))
         found = [f for f in found if len(f[0])]
         i = np.concatenate([f[0] for f in found]) if found else np.zeros(0, int)
@@ -215,6 +246,11 @@ def _judge(metrics: list[str]):
     return run
 
 
+def stretches(total):
+    """Number of stretches of a source with so many distinct times; the last has half to one and a half of CHUNK."""
+    return max(1, (2 * total + CHUNK) // (2 * CHUNK))
+
+
 def _stuck_runs(pieces: DataFrame) -> DataFrame:
     """(source, time_ms, metric, kind): readings of the long runs of each metric that otherwise changes at its source.
 
@@ -238,12 +274,49 @@ def _stuck_runs(pieces: DataFrame) -> DataFrame:
     return pieces.join(hits, ["source", "metric", "chunk", "part"]).select("source", F.explode("times").alias("time_ms"), "metric", F.lit("stuck").alias("kind"))
 
 
+def _profiles(metrics: list[str]):
+    """Levels of the half hours of each (source, block of days) of a group, from its daily profile matrices."""
+
+    def run(t: pa.Table) -> pa.Table:
+        src, block, bucket = (np.asarray(t.column(c).combine_chunks()) for c in ("source", "block", "bucket"))
+        order = np.lexsort((bucket, block, src))
+        src, block, bucket = src[order], block[order], bucket[order]
+        value = {m: np.asarray(t.column(m).combine_chunks().cast(pa.float64()).fill_null(float("nan")))[order] for m in metrics}
+        first = np.flatnonzero(np.r_[True, (src[1:] != src[:-1]) | (block[1:] != block[:-1])])
+        out = {m: np.full(len(src), np.nan) for m in metrics}
+        for a, z in zip(first, np.r_[first[1:], len(src)]):
+            day, slot = bucket[a:z] // SLOTS, bucket[a:z] % SLOTS
+            days, row = np.unique(day, return_inverse=True)
+            for m in metrics:
+                if not np.isnan(value[m][a:z]).all():
+                    x = np.full((len(days), SLOTS), np.nan)
+                    x[row, slot] = value[m][a:z]
+                    out[m][a:z] = day_levels(x)[row, slot]
+        return pa.table([pa.array(src), pa.array(bucket), *(pa.array(out[m], from_pandas=True) for m in metrics)], names=["source", "bucket", *("level_" + m for m in metrics)])
+
+    return run
+
+
+def _daily_levels(t: DataFrame, metrics: list[str]) -> DataFrame | None:
+    """(source, bucket, level_...) for the sources seen on at least DAYS days; None where there are none."""
+    days = t.select("source", F.expr(f"bucket div {SLOTS}").alias("day")).distinct().groupBy("source").agg(F.count(F.lit(1)).alias("days"))
+    lasting = cut(days.where(F.col("days") >= DAYS).select("source", "days"))
+    rows = lasting.agg(F.sum("days")).first()[0]
+    if not rows:
+        return None
+    mean = [F.avg(F.when(~F.coalesce("bad_" + m, F.lit(False)), F.col(m))).alias(m) for m in metrics]
+    means = t.join(lasting.select("source"), "source", "left_semi").groupBy("source", "bucket").agg(*mean).withColumn("block", F.expr(f"bucket div {SLOTS * BLOCK_DAYS}"))
+    g = F.pmod(F.xxhash64("source", "block"), F.lit(max(1, rows * SLOTS // GROUP_ROWS)))
+    return means.groupBy(g.alias("g")).applyInArrow(_profiles(metrics), "source bigint, bucket bigint, " + ", ".join(f"level_{m} double" for m in metrics))
+
+
 def wrong_readings(df: DataFrame, source: str, time_ms: str, impossible: Mapping[str, Column]) -> DataFrame:
     """(source, time_ms, metric, kind): readings that are impossible (`range`), a `spike` or `stuck`.
 
     impossible: metric column -> condition under which its value cannot be. A reading may come out under more
     than one kind. Null readings are none; rows with a null source or time are passed over. Of several rows with
-    one source and time the first in order of the values counts, so repeated rows give one case. A source with
+    one source and time the first in order of the values counts, so repeated rows give one case, and ranks and the
+    number of samples count distinct times. A source with
     fewer than LEAST_SAMPLES samples gives no cases; a constant metric has no scatter and gives no spikes. Other
     columns are not read further. An empty table gives an empty result.
     """
@@ -253,17 +326,18 @@ def wrong_readings(df: DataFrame, source: str, time_ms: str, impossible: Mapping
         *(F.col(m).cast("bigint").alias(m) for m in metrics), *(c.alias("bad_" + m) for m, c in impossible.items()),
     ).where("source is not null and time_ms is not null").withColumn("bucket", F.floor(F.col("time_ms") / BUCKET_MS))
     w = Window.partitionBy("source")
-    counts = t.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    ranks = (
-        counts.withColumn("r0", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-        .withColumn("total", F.sum("n").over(w)).withColumn("k", F.greatest(F.lit(1), F.round(F.col("total") / CHUNK)).cast("bigint"))
-        .withColumn("chunk", F.explode(F.expr(f"sequence(greatest(r0 - {HALO}, 0) * k div total, least(r0 + n - 1 + {HALO}, total - 1) * k div total)")))
-        .select("source", "bucket", "chunk", "r0", "n", "total", F.expr("(chunk * total + k - 1) div k").alias("lo"), F.expr("((chunk + 1) * total + k - 1) div k").alias("hi"))
-    )
+    counts = t.select("source", "bucket", "time_ms").distinct().groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    ranks = counts.withColumn("r0", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("total", F.sum("n").over(w))
+    levels = _daily_levels(t, metrics)
+    if levels is not None:
+        ranks = ranks.join(levels, ["source", "bucket"], "left")
     ranks = cut(ranks)
     rows = ranks.agg(F.sum("n")).first()[0] or 0
-    groups = max(1, rows // GROUP_ROWS)
-    joined = t.join(ranks.drop("n"), ["source", "bucket"]).withColumn("g", F.pmod(F.xxhash64("source", "chunk"), F.lit(groups)))
+    inside = F.dense_rank().over(Window.partitionBy("source", "bucket").orderBy("time_ms"))
+    joined = t.withColumn("rank", inside.cast("bigint") - 1).join(ranks.drop("n"), ["source", "bucket"]).withColumn("rank", F.col("rank") + F.col("r0")).drop("r0", "bucket")
+    near = f"least((rank {{}}) div {CHUNK}, greatest((2 * total + {CHUNK}) div {2 * CHUNK}, 1) - 1)"
+    joined = joined.withColumn("chunk", F.explode(F.expr(f"sequence({near.format(f'- least(rank, {HALO})')}, {near.format(f'+ {HALO}')})")))
+    joined = joined.withColumn("g", F.pmod(F.xxhash64("source", "chunk"), F.lit(max(1, rows // GROUP_ROWS))))
     judged = cut(joined.groupBy("g").applyInArrow(_judge(metrics), OUT))
     cases = judged.where("kind is not null").select("source", "time_ms", "metric", "kind").unionByName(_stuck_runs(judged.where("kind is null").drop("time_ms", "kind")))
     return cases.withColumnRenamed("source", source).withColumnRenamed("time_ms", time_ms)

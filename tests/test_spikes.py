@@ -93,3 +93,54 @@ def test_whether_a_metric_changes_is_judged_over_the_whole_source(spark):
     assert not S.stuck(a).any()
     want = [(1, i * 1000, m, "stuck") for m, v in (("a", a), ("b", b)) for i in np.flatnonzero(S.stuck(v))]
     assert [r for r in run(spark, data) if r[3] == "stuck"] == sorted(want)
+
+
+def test_rows_grow_in_line_with_the_readings_of_a_dense_half_hour(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.lit(1).cast("bigint").alias("w"), F.col("id").alias("t"), (F.col("id") * 7919 % 1009 + 5000 + F.when(F.col("id") % 100_000 == 50_000, 90_000).otherwise(0)).alias("a"))
+    seen = []
+    judge = S._judge
+
+    def counted(metrics):
+        rows_of = spark.sparkContext.accumulator(0)
+        seen.append(rows_of)
+        inner = judge(metrics)
+
+        def run(t):
+            rows_of.add(t.num_rows)
+            return inner(t)
+
+        return run
+
+    S._judge = counted
+    try:
+        got = rows(S.wrong_readings(df, "w", "t", {"a": F.col("a") < 0}), "t", "kind")
+    finally:
+        S._judge = judge
+    assert got == [(k * 100_000 + 50_000, "spike") for k in range(10)]
+    assert n < seen[0].value < 1.1 * n
+
+
+def test_copies_do_not_use_up_the_neighbours_readings(spark):
+    a = noisy(2100, 9)
+    a[1022:1025] += 900
+    data = [(1, i * 1000, int(a[i]), None) for i in range(2100) for _ in range(30 if 1000 <= i < 1050 else 1)]
+    assert [t // 1000 for _, t, _, _ in run(spark, data)] == [1022, 1023, 1024]
+    assert run(spark, [(1, i, 10 + 990 * (i == 4), None) for i in range(9) for _ in range(20)]) == []
+
+
+def test_daily_profiles(spark):
+    rng = np.random.default_rng(4)
+    at = np.arange(0, 12 * 86_400_000, 300_000)
+    slot = at // S.BUCKET_MS % S.SLOTS
+    a = 3000 + 2000 * np.isin(slot, (9, 20, 33)) + 300 * np.sin(slot / 7) + rng.normal(0, 10, len(at))
+    hit = [400, 1711, 2902]
+    a[hit] += 900
+    data = [(1, int(t), int(v), None) for t, v in zip(at, a)]
+    assert [t // 300_000 for _, t, m, k in run(spark, data) if k == "spike"] == hit
+    means = np.array([a[(at // S.BUCKET_MS) == k].mean() for k in range(12 * S.SLOTS)]).reshape(12, S.SLOTS)
+    means[3, 5] += 4000
+    means[7, :20] = np.nan
+    low = S.day_levels(means)
+    want = 3000 + 2000 * np.isin(np.arange(S.SLOTS), (9, 20, 33)) + 300 * np.sin(np.arange(S.SLOTS) / 7)
+    assert np.abs(low - want)[np.arange(12) != 7].max() < 60 and np.abs(low - want).max() < 700
