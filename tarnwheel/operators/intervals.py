@@ -4,14 +4,17 @@ Each interval [start, end) is a run of set bits, one bit for each time unit (a
 millisecond). Bits are kept in bitmaps per entity and time shard, compressed to
 runs: pairs of 32-bit offsets. Bitmaps are united twice, where the rows are read
 and after one shuffle by (entity, shard), so that an entity with a third of all
-rows is spread over its shards. Set runs inside a shard are periods and clear
-runs between them gaps; only the first and last run of each shard go through a
-window per entity, which joins runs across shard edges.
+rows is spread over its shards. Shards that an interval fills make one run of a
+bitmap a level up, whose bits are whole shards; it is united in the same way, so
+an interval of any length is two pieces of bitmaps and one run above. Set runs
+inside a shard are periods and clear runs between them gaps, unless the shard is
+filled from above; only the first and last run of each shard and the runs from
+above go through a window per entity, which joins runs across shard edges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: Time units of a shard, as a power of two (2**22 ms are 70 minutes).
 SHARD_BITS = 22
-#: An entity with an interval over more shards than this (nine years) is merged in order of start instead.
-MAX_SHARDS = 1 << 16
 
 
 def unite(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,17 +58,19 @@ def decode(bitmaps: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (entity, start, end) become bitmaps, united within each batch; an interval over several shards is cut."""
+    """Rows (entity, start, end) become bitmaps of the shards in which they start and end, united within each batch; shards they fill are left out."""
     for b in batches:
         if not b.num_rows:
             continue
         e, s, t = (np.asarray(b.column(i)) for i in range(3))
         a, z = s >> SHARD_BITS, (t - 1) >> SHARD_BITS
-        n = z - a + 1
-        row = np.repeat(np.arange(len(e)), n)
-        shard = a[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        row, shard = np.r_[np.arange(len(e)), np.flatnonzero(z > a)], np.r_[a, z[z > a]]
         base = shard << SHARD_BITS
         lo, hi = np.maximum(s[row] - base, 0), np.minimum(t[row] - base, 1 << SHARD_BITS)
+        part = hi - lo < 1 << SHARD_BITS
+        if not part.any():
+            continue
+        row, shard, lo, hi = row[part], shard[part], lo[part], hi[part]
         order = np.lexsort((shard, e[row]))
         k, h = e[row][order], shard[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])]
@@ -134,52 +137,42 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, max_gap_m
     """
     t = df.select(F.col(entity).cast("bigint").alias("entity"), F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
     t = t.where("entity is not null and s >= 0 and e > s")
-    newest, span = t.agg(F.max("s"), F.max(F.col("e") - F.col("s"))).first()
-    if newest is None:
-        newest = span = 0
-    # After the newest start nothing begins, so all that is set there is one run for each entity: bits stop
-    # at that point, and the true end is put back on the period that reaches it.
-    stop = newest + 1
-    ends = t.where(F.col("e") > stop).groupBy("entity").agg(F.max("e").alias("true_end"))
-    t = t.withColumn("e", F.least("e", F.lit(stop)))
-    far = (F.col("e") - F.col("s")) > (MAX_SHARDS << SHARD_BITS)
-    true = lambda p: p.join(ends, "entity", "left").withColumn("end_ms", F.when(F.col("end_ms") == stop, F.coalesce("true_end", "end_ms")).otherwise(F.col("end_ms"))).drop("true_end")
-    res = None
-    if span > MAX_SHARDS << SHARD_BITS:
-        odd = t.where(far).select("entity").distinct()
-        res, t = _in_order(t.join(odd, "entity", "left_semi"), true), t.join(odd, "entity", "left_anti")
-    found = _by_bitmaps(t, true)
-    res = found if res is None else res.unionByName(found)
+    periods, gaps = _united(t)
+    res = periods.select("entity", F.lit("period").alias("kind"), "start_ms", "end_ms").unionByName(gaps.select("entity", F.lit("gap").alias("kind"), "start_ms", "end_ms"))
     if max_gap_ms is not None:
         res = res.where((F.col("kind") != "gap") | (F.col("end_ms") - F.col("start_ms") <= max_gap_ms))
     return res.withColumnRenamed("entity", entity)
 
 
-def _in_order(t: DataFrame, true: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The same for few odd entities: each one's intervals in order of start, against the furthest end so far."""
-    w = Window.partitionBy("entity").orderBy("s", "e")
-    x = t.withColumn("reach", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.withColumn("period", F.sum(F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    p = x.groupBy("entity", "period").agg(F.min("s").alias("start_ms"), F.max("e").alias("end_ms"))
-    g = p.withColumn("next", F.lead("start_ms").over(Window.partitionBy("entity").orderBy("start_ms"))).where("next is not null")
-    return true(p).select("entity", F.lit("period").alias("kind"), "start_ms", "end_ms").unionByName(g.select("entity", F.lit("gap").alias("kind"), F.col("end_ms").alias("start_ms"), F.col("next").alias("end_ms")))
-
-
-def _by_bitmaps(t: DataFrame, true: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Periods and gaps by bitmaps; true(): puts the true ends on periods, which need it only where they reach a shard's edge."""
+def _united(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(periods, gaps), each (entity, start_ms, end_ms), of intervals (entity, s, e)."""
     bits = t.mapInArrow(_bitmaps, "entity bigint, shard bigint, bits binary")
     runs = (
         bits.repartition("entity", "shard").sortWithinPartitions("entity", "shard")
         .mapInArrow(_runs, "entity bigint, shard bigint, kind string, start_ms bigint, end_ms bigint")
     )
-    w = Window.partitionBy("entity").orderBy("start_ms")
+    inside, edges = runs.where("kind <> 'edge'"), runs.where("kind = 'edge'").select("entity", "shard", "start_ms", "end_ms", F.lit(None).cast("bigint").alias("filled"))
+    # Only intervals at least as long as a shard can fill one.
+    above = (t.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 0) >= 1 << SHARD_BITS
+    if above:
+        first, last = F.shiftright(F.col("s") - 1, SHARD_BITS) + 1, F.shiftright("e", SHARD_BITS)
+        whole, _ = _united(t.select("entity", first.alias("s"), last.alias("e")).where("s < e"))
+        up = lambda c: F.shiftleft(c, SHARD_BITS)
+        edges = edges.unionByName(whole.select("entity", F.lit(None).cast("bigint").alias("shard"), up("start_ms").alias("start_ms"), up("end_ms").alias("end_ms"), F.col("end_ms").alias("filled")))
+    w = Window.partitionBy("entity").orderBy("start_ms", F.desc("end_ms"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     edges = (
-        runs.where("kind = 'edge'")
-        .withColumn("before", F.lag("end_ms").over(w)).withColumn("from", F.lag("shard").over(w))
-        .withColumn("fresh", F.when(F.col("before").isNull() | (F.col("start_ms") > F.col("before")), 1).otherwise(0))
+        edges.withColumn("reach", F.max("end_ms").over(before)).withColumn("from", F.lag("shard").over(w)).withColumn("filled", F.max("filled").over(before))
+        .withColumn("fresh", F.when(F.col("reach").isNull() | (F.col("start_ms") > F.col("reach")), 1).otherwise(0))
         .withColumn("period", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    whole = true(edges.groupBy("entity", "period").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))).select("entity", F.lit("period").alias("kind"), "start_ms", "end_ms")
-    between = edges.where("fresh = 1 and from < shard").select("entity", F.lit("gap").alias("kind"), F.col("before").alias("start_ms"), F.col("start_ms").alias("end_ms"))
-    inside = runs.where("kind <> 'edge'").select("entity", "kind", "start_ms", "end_ms")
-    return inside.unionByName(whole).unionByName(between)
+    if above:
+        full = edges.where(F.col("filled") > F.col("shard")).select("entity", "shard").distinct()
+        inside = inside.join(full, ["entity", "shard"], "left_anti")
+    inside = inside.select("entity", "kind", "start_ms", "end_ms")
+    joined = edges.groupBy("entity", "period").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    # what lies between two runs of one shard was listed there
+    between = edges.where((F.col("fresh") == 1) & F.col("reach").isNotNull() & ~F.coalesce(F.col("from") == F.col("shard"), F.lit(False)))
+    periods = inside.where("kind = 'period'").select("entity", "start_ms", "end_ms").unionByName(joined.select("entity", "start_ms", "end_ms"))
+    gaps = inside.where("kind = 'gap'").select("entity", "start_ms", "end_ms").unionByName(between.select("entity", F.col("reach").alias("start_ms"), F.col("start_ms").alias("end_ms")))
+    return periods, gaps

@@ -68,3 +68,23 @@ def test_filler_ends_and_starts(spark):
     assert run(spark, data) == brute(data)
     data += [(4, top - 5, top), (4, 7, 8), (4, 9, top - 9), (5, 1, top)]
     assert run(spark, data) == brute(data)
+
+
+def test_filled_shards_hide_what_lies_inside(spark):
+    rnd = random.Random(9)
+    b = 1 << I.SHARD_BITS
+    data = [(1, 5, 70_000 * b + 9), (1, 3 * b + 1, 3 * b + 2), (1, 3 * b + 5, 3 * b + 7), (1, 3 * b + 9, 3 * b + 12), (1, 70_000 * b + 20, 70_000 * b + 30), (1, 0, 2)]
+    assert run(spark, data) == brute(data)
+    for _ in range(1500):
+        s = rnd.choice([rnd.randrange(0, 60 * b), b * rnd.randrange(60)])
+        data.append((rnd.choice([2, 2, 3, 4, 5]), s, s + rnd.choice([1, 50, b // 9, b, 2 * b - rnd.randrange(3), 3 * b + 7])))
+    data += [(6, k * b, (k + 1) * b) for k in range(9)] + [(7, 2 * b, 4 * b), (7, 4 * b + 1, 4 * b + 2), (7, 4 * b + 5, 5 * b), (7, 5 * b, 6 * b), (7, 8 * b, 9 * b)]
+    assert run(spark, data) == brute(data)
+
+
+def test_one_interval_is_a_bounded_number_of_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_arrays([pa.array(np.full(3, 1)), pa.array([0, 7, 1 << 22]), pa.array([2**63 - 1, 2**60, 1 << 23])], names=["entity", "s", "e"])
+    assert sum(x.num_rows for x in I._bitmaps(iter([b]))) <= 6
