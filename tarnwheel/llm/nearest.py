@@ -1,19 +1,25 @@
 """Each record of one table with the nearest record in time of another, for the same entity.
 
-Both sides are hashed by (entity, time bucket) into Arrow groups of bounded size; records of the other side within
-the tolerance of a bucket's edge go to both buckets, so a group holds every candidate of its records and an entity
-with a third of all rows is spread over its buckets. In a group, DuckDB makes a backward and a forward as-of join
-and the nearer of the two candidates within the tolerance is taken.
+Both sides are counted per (entity, half hour). A half hour with more than GROUP_ROWS rows is cut into narrower cells
+(minutes, seconds, milliseconds, as far as needed), and left records of one cell that are still more are dealt out by hash, each part with the right
+records of the cell; so an entity with a third of all rows is spread and no group grows with the data. The counts also
+carry the first and last right time of each cell, from which every cell learns the nearest right time before and after
+it: these two go into its group besides its own records, so a tolerance of any length needs no more. Cells are hashed
+into Arrow groups. In a group, DuckDB makes a backward and a forward as-of join and the nearer of the two candidates
+within the tolerance is taken.
 """
 
 from __future__ import annotations
 
 import duckdb
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_MS = 1_800_000
+from ..session import cut
+
+#: Widths of cells, each a multiple of the next.
+WIDTHS_MS = (1_800_000, 60_000, 1_000, 1)
 #: Rows of both sides that a group holds on average.
 GROUP_ROWS = 100_000
 
@@ -37,6 +43,37 @@ def _match(tolerance: int, columns: list[str]):
     return run
 
 
+CELL = ["e", "cell"]
+
+
+def _cell(width: int) -> Column:
+    """Start of the cell; near the least number the time itself, as the start would lie beyond it."""
+    return F.coalesce(F.try_subtract("t", F.pmod("t", F.lit(width))), F.col("t"))
+
+
+def _stats(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Records of both sides in each cell, and the first and last right time."""
+    no = F.lit(None).cast("bigint")
+    both = left.select(*CELL, F.lit(1).alias("l"), F.lit(0).alias("r"), no.alias("t")).unionByName(right.select(*CELL, F.lit(0).alias("l"), F.lit(1).alias("r"), "t"))
+    return both.groupBy(*CELL).agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+
+
+def _cells(left: DataFrame, right: DataFrame, group_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(left, right, statistics of cells): both sides with their cells; more than group_rows rows are left in cells of a millisecond only."""
+    left, right = (df.withColumn("cell", _cell(WIDTHS_MS[0])) for df in (left, right))
+    full = F.col("l") + F.col("r") > group_rows
+    stats = cut(_stats(left, right))
+    for width in WIDTHS_MS[1:]:
+        dense = stats.where(full).select(*CELL, F.lit(True).alias("dense"))
+        if not dense.limit(1).count():
+            break
+        narrow = lambda df: df.join(dense, CELL, "left").withColumn("cell", F.when(F.col("dense"), _cell(width)).otherwise(F.col("cell")))  # noqa: B023, E731
+        left, right = narrow(left), narrow(right.distinct())
+        stats = cut(stats.where(~full).unionByName(_stats(left.where("dense"), right.where("dense"))))
+        left, right = left.drop("dense"), right.drop("dense")
+    return left, right, stats
+
+
 def nearest_in_time(
     left: DataFrame, right: DataFrame, entity: str, left_time: str, right_time: str, tolerance_ms: int, carry: list[str], matched: str, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
@@ -44,19 +81,29 @@ def nearest_in_time(
 
     Of two equally near ones the earlier. Left records without a right record within tolerance_ms give no row;
     nor do rows with a null entity or time on either side. Repeated rows on either side change nothing; an empty
-    side gives an empty result. Columns other than those named are not read, so their names cannot clash.
+    side gives an empty result. The tolerance may be of any length. Columns other than those named are not read, so their names cannot clash.
     """
-    if tolerance_ms >= BUCKET_MS:
-        raise ValueError("the tolerance must be shorter than a bucket")
     names = [f"c{i}" for i in range(len(carry))]
     lt = left.select(F.col(entity).cast("bigint").alias("e"), F.col(left_time).cast("bigint").alias("t"), *(F.col(c).alias(n) for c, n in zip(carry, names))).where("e is not null and t is not null")
     rt = right.select(F.col(entity).cast("bigint").alias("e"), F.col(right_time).cast("bigint").alias("t")).where("e is not null and t is not null")
-    groups = max(1, (left.count() + right.count()) // group_rows)
-    bucket = lambda t: F.floor(t / BUCKET_MS)
-    near = lambda t: bucket(F.coalesce(t, F.col("t")))  # noqa: E731  at the ends of the number range there is no neighbour
-    g = F.pmod(F.xxhash64("e", "b"), F.lit(groups)).alias("g")
-    a = lt.withColumn("b", bucket(F.col("t"))).select("e", "t", *names, g)
-    z = rt.withColumn("b", F.explode(F.array_distinct(F.array(near(F.try_subtract("t", F.lit(tolerance_ms))), near(F.try_add("t", F.lit(tolerance_ms))))))).select("e", "t", g)
+    lt, rt, stats = _cells(lt, rt, group_rows)
+    groups = max(1, (stats.agg(F.sum(F.col("l") + F.col("r"))).first()[0] or 0) // group_rows)
+    w = Window.partitionBy("e")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    beside = (
+        stats.withColumn("before", F.last("hi", True).over(upto(w.orderBy("cell")))).withColumn("after", F.last("lo", True).over(upto(w.orderBy(F.desc("cell")))))
+        .where("l > 0").select(*CELL, F.explode(F.array("before", "after")).alias("t")).where("t is not null")
+    )
+    a, z = lt, rt.select(*CELL, "t").unionByName(beside)
+    hot = stats.where(F.col("l") > group_rows).select(*CELL, F.ceil(F.col("l") / group_rows).alias("salts"))
+    salt = F.lit(0)
+    if hot.limit(1).count():  # more left records than a group holds in the narrowest cell
+        salts = F.coalesce("salts", F.lit(1))
+        a = a.join(hot, CELL, "left").withColumn("salt", F.pmod(F.xxhash64("t", *names), salts))
+        z = z.join(hot, CELL, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+        salt = F.col("salt")
+    g = F.pmod(F.xxhash64(*CELL, salt), F.lit(groups)).alias("g")
+    a, z = a.select("e", "t", *names, g), z.select("e", "t", g)
     kinds = dict(lt.dtypes)
     columns = [*names, "e", "t", "hit"]
     schema = ", ".join(f"{n} {kinds.get(n, 'bigint')}" for n in columns)

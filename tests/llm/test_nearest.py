@@ -1,5 +1,7 @@
 import random
 
+from pyspark.accumulators import AccumulatorParam
+
 from tarnwheel.llm import nearest as N
 
 from ..conftest import rows
@@ -34,8 +36,8 @@ def test_random_with_a_hot_entity_over_many_groups(spark):
     w = lambda: 17 if rnd.random() < 0.5 else rnd.randrange(4)
     left = [(i, w(), rnd.randrange(20_000_000)) for i in range(1500)]
     right = [(w(), rnd.randrange(20_000_000)) for _ in range(4000)]
-    left += [(9999, 17, k * N.BUCKET_MS) for k in range(1, 5)]
-    right += [(17, k * N.BUCKET_MS - 3) for k in range(1, 5)]
+    left += [(9999, 17, k * N.WIDTHS_MS[0]) for k in range(1, 5)]
+    right += [(17, k * N.WIDTHS_MS[0] - 3) for k in range(1, 5)]
     assert run(spark, left, right, group_rows=300) == brute(left, right)
 
 
@@ -46,3 +48,41 @@ def test_filler_times(spark):
 
 def test_empty_sides(spark):
     assert run(spark, [], [(1, 5)]) == [] and run(spark, [(1, 1, 5)], []) == [] and run(spark, [], []) == []
+
+
+def test_any_tolerance(spark):
+    rnd = random.Random(3)
+    left = [(i, rnd.randrange(3), rnd.randrange(-40_000_000, 90_000_000)) for i in range(300)]
+    right = [(rnd.randrange(3), rnd.randrange(-40_000_000, 90_000_000)) for _ in range(40)]
+    for tol in (0, 3_600_000, 10**12):
+        assert run(spark, left, right, tol) == brute(left, right, tol)
+
+
+def test_a_dense_half_hour_is_cut(spark, monkeypatch):
+    rnd = random.Random(5)
+    left = [(i, 17, rnd.randrange(1_000, 3_000)) for i in range(3000)] + [(i, 17, 2_000) for i in range(4000, 5000)]
+    left += [(i, 17, rnd.randrange(20_000_000)) for i in range(6000, 6300)]
+    right = [(17, rnd.randrange(900, 3_100)) for _ in range(2000)] + [(17, 2_500)] * 1500 + [(17, rnd.randrange(20_000_000)) for _ in range(200)]
+    most = spark.sparkContext.accumulator(0, Most())
+    match = N._match
+
+    def watched(tolerance, columns):
+        inner = match(tolerance, columns)
+
+        def f(lt, rt):
+            most.add(lt.num_rows + rt.num_rows)
+            return inner(lt, rt)
+
+        return f
+
+    monkeypatch.setattr(N, "_match", watched)
+    assert run(spark, left, right, 500, group_rows=150) == brute(left, right, 500)
+    assert 0 < most.value < 1500
+
+
+class Most(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
