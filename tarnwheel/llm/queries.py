@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from .leakage import leaks, without_leaks
 from .nearest import nearest_in_time
 from .packing import CAPACITY, fill, pack
-from .quantiles import combine, daily_summaries, percentiles
+from .quantiles import PRECISION, combine, daily_summaries, percentiles, subtract
 from .sentences import sentences
 
 QUERIES, SQL = {}, {}
@@ -66,6 +66,31 @@ def p5_days(spark: SparkSession, d: str) -> DataFrame:
     return _named(_summaries(spark, d)).select("module", "name", "day", "n")
 
 
+TASKS_SQL = "with t as (select distinct task_id, module, name, started_ms, cpu_time_ms from tasks where started_ms is not null and cpu_time_ms is not null)"
+
+
+@query(f"""{TASKS_SQL}
+select module, name, count(*) as n from t where started_ms // 86400000 < (select max(started_ms // 86400000) from t) group by all""")
+def p5_without_last_day(spark: SparkSession, d: str) -> DataFrame:
+    days = cut(_summaries(spark, d))
+    last = days.agg(F.max("day")).first()[0]
+    return _named(subtract(combine(days), combine(days.where(F.col("day") == last)))).select("module", "name", "n")
+
+
+@query(f"""{TASKS_SQL}
+select count(*) as n_groups, 4 * count(*) as n_percentiles, 0::bigint as n_over from (select distinct module, name from t)""")
+def p5_rank_error(spark: SparkSession, d: str) -> DataFrame:
+    """Groups, percentiles, and how many of these are further from their rank than 1 % of the group."""
+    found = percentiles(combine(_summaries(spark, d))).groupBy("k1", "k2", "n").agg(F.collect_list(F.struct("q", "value")).alias("p"))  # four to a group
+    t = table(spark, d, "tasks", "task_id", "module", "name", "started_ms", "cpu_time_ms").where("started_ms is not null and cpu_time_ms is not null").distinct()
+    counts = t.groupBy(F.col("module").alias("m"), F.col("name").alias("x"), F.col("cpu_time_ms").alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    j = counts.join(found, F.col("m").eqNullSafe(F.col("k1")) & F.col("x").eqNullSafe(F.col("k2"))).select("k1", "k2", "n", "v", "w", F.explode("p").alias("p"))
+    reach = F.col("p.value") + F.abs(F.col("p.value")) * 2.0 ** (1 - PRECISION)  # values of one code
+    ranks = j.groupBy("k1", "k2", "n", "p.q").agg(F.sum(F.when(F.col("v") < F.col("p.value"), F.col("w")).otherwise(0)).alias("lo"), F.sum(F.when(F.col("v") <= reach, F.col("w")).otherwise(0)).alias("hi"))
+    off = F.greatest(F.col("lo") / F.col("n") - F.col("q"), F.col("q") - F.col("hi") / F.col("n"))
+    return ranks.agg(F.count_distinct(F.struct("k1", "k2")).alias("n_groups"), F.count(F.lit(1)).alias("n_percentiles"), F.count_if(off > 0.01).alias("n_over"))
+
+
 #: An attention cost that binds: a container full of documents of a quarter of its tokens each.
 ATTENTION = CAPACITY * CAPACITY // 4
 

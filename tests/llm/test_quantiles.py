@@ -68,3 +68,39 @@ def test_days_combine_and_nulls_repeats_and_clashes(spark):
     assert got[("m", "n", 0.5)][0] == 900 and abs(got[("m", "n", 0.5)][1] - 449) <= 9
     assert Q.combine(s, 2).count() == 4
     assert Q.percentiles(Q.combine(Q.daily_summaries(df.limit(0), "module", "name", "t", "v", "id"))).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, Q.LISTED, Q.LISTED + 1, 20_000])
+def test_listed_summaries_have_the_counters_of_their_values(n):
+    r = np.random.default_rng(n)
+    v = r.permutation(3 * n)[:n] - n
+    s = Q.Summary()
+    for part in np.array_split(v, 3):
+        s.add(Q.encode(part), np.ones(len(part), np.int64))
+    c = np.zeros(Q.SIZE, np.int64)
+    Q.merge(c, s.packed())
+    assert (c == sketch(v)).all() and s.n() == n and (s.packed()[:1] == b"L") == (0 < n <= Q.LISTED)
+    s.merge(sketch_blob(v[: n // 2]), -1)
+    c[:] = 0
+    Q.merge(c, s.packed())
+    assert (c == sketch(v[n // 2 :])).all()
+
+
+def sketch_blob(v):
+    return Q.pack(sketch(v))
+
+
+def test_deleting_days_gives_what_the_others_give(spark):
+    day = 86_400_000
+    data = [("m" if i % 5 else None, "n", day * (i % 4), i * 7919 % 10007, i) for i in range(4000)] + [("k", "n", day * 3, 5, 9999)]
+    df = spark.createDataFrame(data, "module string, name string, t bigint, v bigint, id bigint")
+    s = Q.daily_summaries(df, "module", "name", "t", "v", "id").cache()
+    get = lambda x: sorted(((r["k1"] or "", r["n"], r["q"], r["value"]) for r in Q.percentiles(x).collect()))
+    assert get(Q.subtract(Q.combine(s), Q.combine(s.where("day = 3")))) == get(Q.combine(s.where("day < 3")))
+    assert len(get(Q.subtract(s, s.where("day < 3")))) == 12
+
+
+def test_a_heavy_value_beside_the_target():
+    r = np.random.default_rng(6)
+    v = np.r_[np.full(90_000, 123_456), r.integers(123_400, 123_456, 4_000), r.integers(123_457, 124_000, 6_000)]
+    assert rank_error(sketch(v), v) <= 0.01
