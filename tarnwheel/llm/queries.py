@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import cut, one_row, table
 from .leakage import leaks, without_leaks
 from .nearest import nearest_in_time
-from .packing import CAPACITY, fill, pack
+from .packing import CAPACITY, MAX_DOCS, fill, pack
 from .quantiles import PRECISION, combine, daily_summaries, percentiles, subtract
 from .sentences import sentences
 
@@ -126,6 +126,18 @@ def p7_attention_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("select count(*) as n_docs, 0::bigint as n_split, 0::bigint as n_over_tokens, 0::bigint as n_over_docs, 0::bigint as n_over_cost from documents")
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed, and how often the packing under the attention cost breaks a rule: a document that would fit is split, or a container holds too much."""
+    packed = cut(p7_attention(spark, d))
+    docs = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("n"), F.count_if(F.col("piece") == 0).alias("whole"))
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / CAPACITY))
+    d_row = docs.agg(F.sum("whole").alias("n_docs"), F.count_if(F.col("k") != F.col("whole") * pieces).alias("n_split"))
+    over = F.col("cost") > ATTENTION
+    c_row = fill(packed).agg(F.count_if(F.col("n_tokens") > CAPACITY).alias("n_over_tokens"), F.count_if(F.col("n_docs") > MAX_DOCS).alias("n_over_docs"), F.count_if(over & (F.col("n_docs") > 1)).alias("n_over_cost"))
+    return d_row.crossJoin(one_row(c_row))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text", "lang"), "item_id", "text", "lang")
 

@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -56,3 +57,41 @@ def test_very_long_text_and_empty_table(spark):
 def test_fill(spark):
     df = spark.createDataFrame([(1, 5), (1, 6), (2, 3)], "container bigint, n_tokens bigint")
     assert sorted(tuple(r) for r in P.fill(df).collect()) == [(1, 2, 11, 61), (2, 1, 3, 9)]
+
+
+def slow(size, capacity, max_docs, max_cost, weights, score):
+    """Best fit by looking at every container; of those with one room in tokens the one with the least (norm) or most (dot) attention cost left."""
+    w = np.asarray(weights) / np.array([capacity, max_docs, max_cost])
+    bins, open_ = [0] * len(size), []
+    for i in np.argsort(-size, kind="stable"):
+        d = np.array([size[i], 1.0, float(size[i]) ** 2])
+        room = {}
+        for k, r in enumerate(open_):
+            if (r >= d).all():
+                key = (r[2], r[1], k)
+                if r[0] not in room or (key < room[r[0]] if score == "norm" else key > room[r[0]]):
+                    room[r[0]] = key
+        value = lambda r: (((np.array([r, room[r][1], room[r][0]]) - d) * w) ** 2).sum() if score == "norm" else -(np.array([r, room[r][1], room[r][0]]) * d * w * w).sum()  # noqa: B023, E731
+        k = room[min(sorted(room), key=value)][2] if room else len(open_)
+        if k == len(open_):
+            open_.append(np.array([capacity, max_docs, max_cost], float))
+        open_[k] -= d
+        bins[i] = k
+    return bins
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("max_cost", [200.0**2, 200.0**2 / 4, 9_000.0])
+def test_rooms_find_what_a_look_at_every_container_finds(score, max_cost):
+    size = np.random.default_rng(3).integers(0, 120, 400)
+    assert P.best_fit(size, 200, 9, max_cost, score=score).tolist() == slow(size, 200, 9, max_cost, P.WEIGHTS, score)
+
+
+def test_work_grows_in_line_with_the_items():
+    size = np.random.default_rng(5).integers(1, 400, 24_000)
+    took = []
+    for n in (3_000, 24_000):
+        began = time.process_time()
+        P.best_fit(size[:n], 2048, 256, 2048.0**2 / 4)
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0]
