@@ -76,13 +76,28 @@ def test_long_repetitive_text_and_repeats(spark):
 def test_matches_in_parts_give_the_same(monkeypatch):
     rng = np.random.default_rng(4)
     items = L.Items([(i, " ".join(rng.choice(["a", "b"], 9))) for i in range(6)], L.WORD, 3)
-    tokens = items.encode(list(rng.choice(["a", "b", "c"], 500)))
-    whole = [np.concatenate(x) for x in zip(*items.search(tokens))]
+    shard = L._Shard("words", 3)
+    shard.add(1, " ".join(rng.choice(["a", "b", "c"], 500)))
+    b = shard.row()
+    vocabulary, tokens, sa = (np.frombuffer(b.column(k)[0].as_py(), t) for k, t in ((3, "<i8"), (4, "<i4"), (5, "<i4")))
+    whole = [np.concatenate(x) for x in zip(*items.search(tokens, sa, vocabulary))]
     monkeypatch.setattr(L, "MATCHES", 40)
-    parts = list(items.search(tokens))
+    parts = list(items.search(tokens, sa, vocabulary))
     assert len(parts) > 5 and sorted(map(tuple, np.stack(whole, 1))) == sorted(map(tuple, np.stack([np.concatenate(x) for x in zip(*parts)], 1)))
 
 
+def test_shards_are_written_once_and_searched_often(spark, tmp_path):
+    docs = [(d, f"w1 w{d} w2 w3 w{d % 3} w5") for d in range(50)] + [(90, "早上技师在办公室外称了木箱")]
+    df = spark.createDataFrame([(*x, "z", 1) for x in docs], DOCS)
+    L.suffix_shards(df, "d", "text", shard_tokens=60).write.parquet(f"{tmp_path}/shards")
+    stored = spark.read.parquet(f"{tmp_path}/shards")
+    assert stored.where("kind = 'words'").count() > 3
+    for items in ([(1, "w2 w3 w1", "en"), (2, "技师在办公室", "zh")], [(3, "w7 w2", "en")]):
+        t = spark.createDataFrame([(*x, "z") for x in items], ITEMS)
+        got = rows(L.search(lambda k: stored.where(f"kind = '{k}'"), t, "i", "q", "lang"), "doc", "item", "longest")
+        assert got == rows(run(spark, docs, items), "d", "i", "longest") and got
+
+
 def test_clean_documents_and_empty_tables(spark):
     items = [(1, "b", "en")]
     d = spark.createDataFrame([(1, "a", "", 0), (2, "b", "", 0)], DOCS)
