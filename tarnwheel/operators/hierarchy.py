@@ -9,10 +9,26 @@ from ..session import broadcast_if_small, cut
 from .ordered import dense_ids
 from .spatial import compose
 
-MAX_DEPTH = 64
+#: Ids of a block in which running sums are made, as a power of two.
+SUM_BITS = 16
 
 
-def build_tree(blocks: DataFrame, instances: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def running_sums(df: DataFrame, order: str, columns: list[str], bits: int = SUM_BITS) -> DataFrame:
+    """df with <column>_before: the sum of a column over all rows before, in order of a dense id from 0.
+
+    Sums are made inside blocks of ids; only one row a block goes through a window over all.
+    """
+    d = df.withColumn("_b", F.shiftright(order, bits))
+    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy("_b").agg(*(F.sum(c).alias(f"_t{i}") for i, c in enumerate(columns)))
+    ahead = totals.select("_b", *(F.coalesce(F.sum(f"_t{i}").over(w), F.lit(0)).alias(f"_a{i}") for i in range(len(columns))))
+    sums = [(F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in columns]
+    d = d.select("*", *sums).join(ahead, "_b")
+    return d.select(*df.columns, *((F.col(f"{c}_before") + F.col(f"_a{i}")).alias(f"{c}_before") for i, c in enumerate(columns)))
+
+
+def build_tree(blocks: DataFrame, instances: DataFrame) -> DataFrame:
     """Nodes of the instance tree, one for each way to reach a definition from the root.
 
     blocks: block, n_instances, n_nets, n_vias; of repeated names the first row by n_instances counts. instances:
@@ -36,7 +52,7 @@ def build_tree(blocks: DataFrame, instances: DataFrame, max_depth: int = MAX_DEP
     level = b.where(F.col("block") == roots[0]["block"]).select(
         "block", F.array().cast("array<bigint>").alias("key"), F.array("block").alias("seen"), F.lit("").alias("name"), F.lit("").alias("path"), zero.alias("local_id"), zero.alias("dx"), zero.alias("dy"), F.lit(0).alias("orient")
     )
-    levels, depth = [level], 0
+    levels = [level]
     while True:
         p = level.select(F.col("block").alias("pb"), "key", "seen", "path", *(F.col(c).alias("p" + c) for c in ("dx", "dy", "orient")))
         nxt = p.join(e, p.pb == e.block)
@@ -48,8 +64,7 @@ def build_tree(blocks: DataFrame, instances: DataFrame, max_depth: int = MAX_DEP
         n, again = nxt.agg(F.count(F.lit(1)), F.bool_or("again")).first()
         if not n:
             break
-        depth += 1
-        if depth > max_depth or again:
+        if again:
             raise ValueError("the hierarchy has a cycle")
         level = nxt.drop("again")
         levels.append(level)
@@ -60,8 +75,9 @@ def build_tree(blocks: DataFrame, instances: DataFrame, max_depth: int = MAX_DEP
     up = t.select(F.col("key").alias("pkey"), F.col("node_id").alias("parent_id"))
     t = t.withColumn("pkey", F.when(F.size("key") > 0, F.slice("key", 1, F.greatest(F.size("key") - 1, F.lit(0)))).otherwise(F.col("key"))).join(up, "pkey").drop("pkey").join(b, "block")
     t = t.withColumn("inst_count", F.col("n_instances") + 1).withColumn("net_count", F.col("n_nets") + 1).withColumn("via_count", F.col("n_vias"))
-    ahead = Window.orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)  # over the nodes, which are few beside the instances
-    t = t.select("*", *(F.coalesce(F.sum(f"{k}_count").over(ahead), F.lit(0)).alias(f"{k}_start") for k in ("inst", "net", "via")))
+    t = running_sums(t, "node_id", [f"{k}_count" for k in ("inst", "net", "via")])
+    for k in ("inst", "net", "via"):
+        t = t.withColumnRenamed(f"{k}_count_before", f"{k}_start")
     return cut(t.select("node_id", "parent_id", "depth", "block", "name", "path", "local_id", "dx", "dy", "orient", *(f"{k}_{x}" for k in ("inst", "net", "via") for x in ("start", "count"))))
 
 
@@ -101,7 +117,7 @@ def owner_of(ids: DataFrame, id_col: str, ranges: DataFrame, start: str, count:
     return ids.join(j.select(id_col, *carry), id_col, "left")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root): connected components of an edge list, root the smallest id; self edges name single members.
 
     Large and small stars in turn: each round links every node to the smallest it can see, in time and space of
@@ -123,14 +139,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     mark = lambda e: e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
     was = mark(e)
-    for _ in range(max_rounds):
+    while True:
         e = cut(star(star(e, True), False))
         now = mark(e)
         if now == was:
             break
         was = now
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(e.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
@@ -154,14 +168,15 @@ def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def nearest_match(edges: DataFrame, start: DataFrame, match: DataFrame, max_hops: int = MAX_DEPTH) -> DataFrame:
+def nearest_match(edges: DataFrame, start: DataFrame, match: DataFrame) -> DataFrame:
     """(start, id, hops): for each start the nearest reachable match, by hops, then by the order of declaration along the way.
 
-    edges: a, b, ord. A node reached twice keeps its first way.
+    edges: a, b, ord. A node reached twice keeps its first way; the search ends when nothing new is reached, at any depth.
     """
     seen = cut(start.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops"), F.array().cast("array<bigint>").alias("way")))
-    front = seen
-    for h in range(1, max_hops + 1):
+    front, h = seen, 0
+    while True:
+        h += 1
         nxt = front.join(edges, front.id == edges.a).select("start", F.col("b").alias("id"), F.concat("way", F.array(F.col("ord").cast("bigint"))).alias("way"))
         nxt = nxt.groupBy("start", "id").agg(F.min("way").alias("way")).join(seen.select("start", "id"), ["start", "id"], "left_anti")
         front = cut(nxt.select("start", "id", F.lit(h).alias("hops"), "way"))

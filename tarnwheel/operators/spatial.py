@@ -1,7 +1,7 @@
 """Rectangles, placements, histograms on grids and load-balanced partitions.
 
-Points and rectangles never meet each other pair by pair. Small things of known number (partitions, transforms) are
-arrays of literals in the row's own expression; two large sides meet through the grid cells they touch.
+Points and rectangles never meet each other pair by pair. Partitions cut both axes into ranges; a point finds its range
+on each axis and meets the partitions of that cell only. Two large sides meet through the grid cells they touch.
 """
 
 from __future__ import annotations
@@ -9,13 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import floor_div
+from ..session import one_row
 
-#: Partitions that may be written into an expression; the decision yields at most as many as the grid has bins.
-MAX_PARTITIONS = 4096
 INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 
 # Orientations: fixed values of the placement format. 0-3 turn left by so many quarters, 4-7 mirror x first.
@@ -133,27 +132,117 @@ def scatter(df: DataFrame, keys: list[str], value: str, rect: Sequence[str], ori
     return d.groupBy(*keys, "col", "row").agg(F.sum("n").alias("n"))
 
 
-def partition_array(parts: Sequence[tuple]) -> Column:
-    """Partitions (pid, core xl yl xh yh, extended xl yl xh yh) as an array for assign_points."""
-    if len(parts) > MAX_PARTITIONS:
-        raise ValueError(f"more than {MAX_PARTITIONS} partitions")
-    names = ("pid", "xl", "yl", "xh", "yh", "exl", "eyl", "exh", "eyh")
-    return F.array(*(F.struct(*(F.lit(v).cast("bigint").alias(n) for n, v in zip(names, p))) for p in parts))
+class Cuts:
+    """The edges of partitions (pid, core xl yl xh yh, extended xl yl xh yh) on both axes, and what lies in the cells between.
+
+    Partitions come from the driver, so what is made of them here is bounded by what it holds already.
+    """
+
+    def __init__(self, spark: SparkSession, parts: Sequence[tuple]):
+        self.spark, self.parts = spark, [tuple(int(v) for v in p) for p in parts]
+        self.xs, self.ys = (sorted({p[k + o] for p in self.parts for o in (0, 2, 4, 6)}) for k in (1, 2))
+        self.nx, self.ny = ({v: i + 1 for i, v in enumerate(c)} for c in (self.xs, self.ys))
+
+    @staticmethod
+    def _range(v: Column, edges: list[int]) -> Column:
+        """How many edges lie at or below v; a binary search, written as a tree of comparisons in the row's expression."""
+
+        def tree(a: int, z: int) -> Column:
+            if a == z:
+                return F.lit(a)
+            mid = (a + z) // 2
+            return F.when(v >= edges[mid], tree(mid + 1, z)).otherwise(tree(a, mid))
+
+        if len(edges) <= 256:
+            return tree(0, len(edges))
+        return F.size(F.filter(F.lit(edges), lambda e: e <= v))
+
+    def x(self, v: Column) -> Column:
+        return self._range(v, self.xs)
+
+    def y(self, v: Column) -> Column:
+        return self._range(v, self.ys)
+
+    def _span(self, p: tuple, o: int) -> tuple[int, int, int, int]:
+        return self.nx[p[o]], self.ny[p[o + 1]], self.nx[p[o + 2]], self.ny[p[o + 3]]
+
+    def cells(self) -> DataFrame:
+        """(_cx, _cy, _core, _held): of each cell the first partition whose core holds it, and the ids of those whose extended box does."""
+        core: dict[tuple[int, int], int] = {}
+        held: dict[tuple[int, int], list[int]] = {}
+        for p in self.parts:
+            a, b, c, d = self._span(p, 1)
+            for i in range(a, c):
+                for j in range(b, d):
+                    core.setdefault((i, j), p[0])
+            a, b, c, d = self._span(p, 5)
+            for i in range(a, c):
+                for j in range(b, d):
+                    held.setdefault((i, j), []).append(p[0])
+        rows = [(*k, core.get(k), sorted(set(held.get(k, [])))) for k in sorted(core.keys() | held.keys())]
+        return self.spark.createDataFrame(rows, "_cx int, _cy int, _core bigint, _held array<bigint>")
+
+    def extended(self) -> DataFrame:
+        """(_cx, _cy, pid, _px, _py): the cells of each extended box, with its first one."""
+        rows = [(i, j, p[0], a, b) for p in self.parts for a, b, c, d in [self._span(p, 5)] for i in range(a, c) for j in range(b, d)]
+        return self.spark.createDataFrame(rows, "_cx int, _cy int, pid bigint, _px int, _py int")
+
+    def nearest(self, df: DataFrame, px: Column, py: Column) -> tuple[DataFrame, Column]:
+        """(df, the partition with the nearest core). Distances on an axis count up to 2**30; ties go to the smallest id.
+
+        Where the cores make up a grid with ids in order, the nearest ranges of both axes are found apart; else every core is looked at.
+        """
+        cap = F.lit(1 << 30).cast("bigint")
+
+        def away(lo: Column, hi: Column, v: Column) -> Column:
+            return F.least(F.when(v < lo, lo - v).otherwise(F.greatest(v - hi, F.lit(0))), cap)
+
+        cols, rows = sorted({(p[1], p[3]) for p in self.parts}), sorted({(p[2], p[4]) for p in self.parts})
+        ids = {(p[1], p[3], p[2], p[4]): p[0] for p in self.parts}
+        grid = [[ids.get((*c, *r)) for c in cols] for r in rows]
+        flat = [v for r in grid for v in r]
+        if None not in flat and len(self.parts) == len(flat) and flat == sorted(flat) and all(list(c) == sorted(c) for c in zip(*grid)):
+
+            def first(ranges: list[tuple[int, int]], v: Column) -> Column:
+                d = F.transform(F.arrays_zip(F.lit([r[0] for r in ranges]).cast("array<bigint>").alias("lo"), F.lit([r[1] for r in ranges]).cast("array<bigint>").alias("hi")), lambda r: away(r["lo"], r["hi"], v))
+                return F.array_position(d, F.array_min(d)).cast("int")
+
+            return df, F.element_at(F.lit(flat).cast("array<bigint>"), ((first(rows, py) - 1) * len(cols) + first(cols, px)).cast("int"))
+        table = self.spark.createDataFrame([p[:5] for p in self.parts], "pid bigint, xl bigint, yl bigint, xh bigint, yh bigint")
+        df = df.crossJoin(one_row(table.agg(F.collect_list(F.struct("*")).alias("_all"))))
+        d2 = lambda p: away(p["xl"], p["xh"], px) * away(p["xl"], p["xh"], px) + away(p["yl"], p["yh"], py) * away(p["yl"], p["yh"], py)
+        return df, F.array_min(F.transform("_all", lambda p: F.struct(d2(p).alias("d"), p["pid"].alias("pid"))))["pid"]
 
 
 def assign_points(df: DataFrame, x: str, y: str, parts: Sequence[tuple]) -> DataFrame:
-    """df with `primary` (the partition whose core holds the point, else the nearest core, ties by id) and `copies` (sorted ids of all whose extended box holds it, the primary among them)."""
-    px, py, cap = F.col(x).cast("bigint"), F.col(y).cast("bigint"), F.lit(1 << 30).cast("bigint")
-
-    def away(lo: Column, hi: Column, v: Column) -> Column:
-        return F.least(F.when(v < lo, lo - v).otherwise(F.greatest(v - hi, F.lit(0))), cap)
-
-    d = df.withColumn("_p", partition_array(parts))
-    core = F.filter("_p", lambda p: (p["xl"] <= px) & (px < p["xh"]) & (p["yl"] <= py) & (py < p["yh"]))
-    near = F.array_min(F.transform("_p", lambda p: F.struct((away(p["xl"], p["xh"], px) * away(p["xl"], p["xh"], px) + away(p["yl"], p["yh"], py) * away(p["yl"], p["yh"], py)).alias("d"), p["pid"].alias("pid"))))
-    d = d.withColumn("primary", F.coalesce(F.get(F.transform(core, lambda p: p["pid"]), F.lit(0)), near["pid"]))
-    held = F.transform(F.filter("_p", lambda p: (p["exl"] <= px) & (px < p["exh"]) & (p["eyl"] <= py) & (py < p["eyh"])), lambda p: p["pid"])
-    return d.withColumn("copies", F.array_sort(F.array_union(held, F.array("primary")))).drop("_p")
+    """df with `core` (the partition whose core holds the point, or null), `primary` (that, else the one with the nearest core, ties by id) and `copies` (sorted ids of all whose extended box holds it, the primary among them).
+
+    Any number of partitions; a point meets those of its own cell only, but for points outside all cores. At least one is needed.
+    """
+    if not len(parts):
+        raise ValueError("no partitions")
+    px, py = F.col(x).cast("bigint"), F.col(y).cast("bigint")
+    cuts = Cuts(df.sparkSession, parts)
+    d = df.withColumn("_cx", cuts.x(px)).withColumn("_cy", cuts.y(py)).join(cuts.cells(), ["_cx", "_cy"], "left")
+    d, near = cuts.nearest(d, px, py)
+    d = d.withColumn("core", F.col("_core")).withColumn("primary", F.coalesce("_core", near))
+    held = F.coalesce("_held", F.array().cast("array<bigint>"))
+    return d.withColumn("copies", F.array_sort(F.array_union(held, F.array("primary")))).select(*(F.col(f"`{c}`") for c in df.columns), "core", "primary", "copies")
+
+
+def copies_of(df: DataFrame, rect: Sequence[str], parts: Sequence[tuple]) -> DataFrame:
+    """df once for each partition whose extended box its rectangle overlaps, with `pid`; empty rectangles overlap nothing.
+
+    A pair is kept in the lowest cell that both touch.
+    """
+    if not len(parts):
+        raise ValueError("no partitions")
+    cuts = Cuts(df.sparkSession, parts)
+    c = [F.col(r).cast("bigint") for r in rect]
+    d = df.where((c[0] < c[2]) & (c[1] < c[3])).withColumn("_x0", cuts.x(c[0])).withColumn("_y0", cuts.y(c[1]))
+    d = d.withColumn("_cx", F.explode(F.sequence("_x0", cuts.x(c[2] - 1)))).withColumn("_cy", F.explode(F.sequence("_y0", cuts.y(c[3] - 1))))
+    j = d.join(cuts.extended(), ["_cx", "_cy"])
+    return j.where((F.col("_cx") == F.greatest("_x0", "_px")) & (F.col("_cy") == F.greatest("_y0", "_py"))).select(*(F.col(f"`{x}`") for x in df.columns), "pid")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, lrect: Sequence[str], rrect: Sequence[str], cell: int) -> DataFrame:

@@ -330,8 +330,7 @@ PARTS = "p as (select * from (values " + ", ".join(str(tuple(x)) for x in GIVEN)
 def _(spark, d):
     r = rects(spark, d).withColumn("x", F.col("xl") - 100)
     a = G.assign_points(r, "x", "yl", GIVEN)
-    core = F.filter(G.partition_array(GIVEN), lambda p: (p["xl"] <= F.col("x")) & (F.col("x") < p["xh"]) & (p["yl"] <= F.col("yl")) & (F.col("yl") < p["yh"]))
-    return a.select("id", F.get(F.transform(core, lambda p: p["pid"]), F.lit(0)).alias("core"), F.col("primary").alias("primary_pid"), F.size("copies").cast("bigint").alias("n_copies"))
+    return a.select("id", "core", F.col("primary").alias("primary_pid"), F.size("copies").cast("bigint").alias("n_copies"))
 
 
 @R("jn15_rect_overlap", RECTS + ", q as (select s_suppkey as sid, s_suppkey * 97 % 9000 as sxl, s_suppkey * 71 % 7000 as syl, s_suppkey * 97 % 9000 + 300 as sxh, s_suppkey * 71 % 7000 + 200 as syh from supplier) select id, sid from r join q on xl < sxh and sxl < xh and yl < syh and syl < yh")
@@ -345,9 +344,7 @@ COPIES = RECTS + f", {PARTS}, g as (select pid, id from r, p where xl < exh and
 
 def copies(spark: SparkSession, d: str) -> DataFrame:
     """Rectangles copied to every partition whose extended box they overlap."""
-    c = [F.col(x) for x in XY]
-    hit = F.filter(G.partition_array(GIVEN), lambda p: G.overlaps(c, [p["exl"], p["eyl"], p["exh"], p["eyh"]]))
-    return rects(spark, d).select("id", F.explode(F.transform(hit, lambda p: p["pid"])).alias("pid"))
+    return G.copies_of(rects(spark, d), XY, GIVEN).select("id", "pid")
 
 
 @R("jn15_partition_copies", COPIES + "select id, cast(pid as bigint) as pid from g")

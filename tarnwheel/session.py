@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Defaults for a session of our own; a session that exists already keeps its settings.
@@ -65,14 +65,32 @@ def one_row(df: DataFrame) -> DataFrame:
     return F.broadcast(df.limit(1))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, written: bool = False) -> tuple[DataFrame, bool]:
-    """(df, whether it may be broadcast): df is written once (unless it is `written` already) and its rows are counted.
+#: Bytes of values up to which a side may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
-    Up to max_rows rows it comes back under a broadcast hint; beyond, as it is, and
+
+def value_bytes(df: DataFrame) -> Column:
+    """About how many bytes the values of a row take."""
+    parts = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        text = c if kind in ("string", "binary") else F.to_json(F.struct(c)) if kind in ("array", "map", "struct") else None
+        parts.append(F.lit(16) if text is None else F.lit(16) + F.coalesce(F.octet_length(text), F.lit(0)))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total.cast("bigint")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, written: bool = False, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """(df, whether it may be broadcast): df is written once (unless it is `written` already), its rows and their bytes are counted.
+
+    Up to max_rows rows and max_bytes bytes it comes back under a broadcast hint; beyond, as it is, and
     the caller's join shuffles (with AQE's split of skewed partitions).
     """
     df = df if written else cut(df)
-    if df.count() <= max_rows:
+    n, size = df.agg(F.count(F.lit(1)), F.sum(value_bytes(df))).first()
+    if n <= max_rows and (size or 0) <= max_bytes:
         return F.broadcast(df), True
     return df, False
 

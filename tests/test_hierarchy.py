@@ -80,3 +80,16 @@ def test_nearest_match_prefers_fewer_hops_then_declaration(spark):
     assert rows(H.nearest_match(e, ids(1), ids(5, 6))) == [(1, 5, 2)]
     assert rows(H.nearest_match(e, ids(1), ids(4, 5))) == [(1, 4, 2)]
     assert rows(H.nearest_match(e, ids(1), ids(9))) == []
+
+
+def test_depth_has_no_bound(spark):
+    n = 80
+    edges = spark.createDataFrame([(k, k + 1, 0) for k in range(n)], "a bigint, b bigint, ord bigint")
+    hit = H.nearest_match(edges, spark.createDataFrame([(0,)], "id bigint"), spark.createDataFrame([(n,)], "id bigint"))
+    assert rows(hit, "start", "id", "hops") == [(0, n, n)]
+
+
+def test_running_sums_over_blocks(spark):
+    df = spark.range(50).select(F.col("id").alias("n"), (F.col("id") % 7).alias("v"))
+    got = rows(H.running_sums(df, "n", ["v"], 3), "n", "v_before")
+    assert got == [(k, sum(j % 7 for j in range(k))) for k in range(50)]

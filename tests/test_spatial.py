@@ -90,3 +90,35 @@ def test_segments_and_via_arrays(spark):
     assert [tuple(x) for x in s] == [(-2, -2, 12, 2), (8, -2, 12, 7)]
     v = spark.range(1).select(G.via_array(F.lit(0), F.lit(0), F.lit(2), F.lit(2), F.lit(3), F.lit(4))).first()[0]
     assert [tuple(x) for x in v] == [(0, 0), (3, 0), (0, 4), (3, 4)]
+
+
+def brute_points(points, parts):
+    away = lambda lo, hi, v: min(lo - v if v < lo else max(v - hi, 0), 1 << 30)
+    out = []
+    for x, y in points:
+        core = next((p[0] for p in parts if p[1] <= x < p[3] and p[2] <= y < p[4]), None)
+        near = min((away(p[1], p[3], x) ** 2 + away(p[2], p[4], y) ** 2, p[0]) for p in parts)[1]
+        primary = near if core is None else core
+        out.append((x, y, core, primary, sorted({primary} | {p[0] for p in parts if p[5] <= x < p[7] and p[6] <= y < p[8]})))
+    return sorted(out, key=str)
+
+
+def test_points_and_rectangles_against_every_partition(spark):
+    rnd = random.Random(6)
+    grid = [(j * 3 + i, i * 50, j * 40, i * 50 + 50, j * 40 + 40, i * 50 - 7, j * 40 - 7, i * 50 + 57, j * 40 + 47) for j in range(4) for i in range(3)]
+    loose = [(k, *(a := (rnd.randrange(100), rnd.randrange(100))), a[0] + 20, a[1] + 30, a[0] - 5, a[1] - 5, a[0] + 25, a[1] + 40) for k in range(9)]
+    points = [(rnd.randrange(-60, 220), rnd.randrange(-60, 220)) for _ in range(300)] + [(50, 200), (-9, 40), (2**40, 7), (-(2**40), -(2**40)), (100, 160)]
+    boxes = [(i, x, y, x + rnd.randrange(0, 120), y + rnd.randrange(0, 90)) for i, (x, y) in enumerate(points[:200])]
+    df, r = spark.createDataFrame([(*p, 5) for p in points], "x bigint, y bigint, _core int"), spark.createDataFrame(boxes, "i int, xl bigint, yl bigint, xh bigint, yh bigint")
+    for parts in (grid, loose):
+        got = [(t["x"], t["y"], t["core"], t["primary"], list(t["copies"])) for t in G.assign_points(df.drop("_core"), "x", "y", parts).collect()]
+        assert sorted(got, key=str) == brute_points(points, parts)
+        want = sorted((b[0], p[0]) for b in boxes for p in parts if b[1] < b[3] and b[2] < b[4] and b[1] < p[7] and p[5] < b[3] and b[2] < p[8] and p[6] < b[4])
+        assert rows(G.copies_of(r, ("xl", "yl", "xh", "yh"), parts), "i", "pid") == want
+
+
+def test_five_thousand_partitions(spark):
+    parts = [(j * 100 + i, i * 10, j * 10, i * 10 + 10, j * 10 + 10, i * 10 - 2, j * 10 - 2, i * 10 + 12, j * 10 + 12) for j in range(50) for i in range(100)]
+    df = spark.range(2000).select((F.col("id") * 7 % 1010).alias("x"), (F.col("id") * 13 % 505).alias("y"))
+    got = [(t["x"], t["y"], t["core"], t["primary"], list(t["copies"])) for t in G.assign_points(df, "x", "y", parts).collect()]
+    assert sorted(got[:40], key=str) == brute_points([(g[0], g[1]) for g in got[:40]], parts) and len(got) == 2000
