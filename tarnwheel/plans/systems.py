@@ -343,13 +343,23 @@ def _(spark, d):
     return V.widened(V.poisson(spark, GRID_N), V.grid_blocks(spark, GRID_N, 4), 2)
 
 
+@R("sv05_submatrix_ghosts", f"with {POISSON}, o as (select i, r, c, case when r < 10 then 0 else 2 end + case when c < 10 then 0 else 1 end sd from g), w as (select distinct o.sd, g.i from o join g on abs(o.r - g.r) + abs(o.c - g.c) <= 2), x as (select w.sd, a.i, a.j, a.v, exists (select 1 from w q where q.sd = w.sd and q.i = a.j) as inside from a join w on a.i = w.i) select sd, case when inside then 'matrix' else 'ghost' end as part, count(*) as n, sum(v) as total, count(distinct j) as n_ids from x group by all")
+def _(spark, d):
+    s = V.sub_systems(V.poisson(spark, GRID_N), V.grid_blocks(spark, GRID_N, 4), 2)
+    return s.groupBy("sd", F.when(F.col("inside"), "matrix").otherwise("ghost").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.count_distinct("j").alias("n_ids"))
+
+
 @R("jn26_triple_product", f"with {POISSON}, m as (select i, (r + 1) * 6.0 / 21 - 1 fr, (c + 1) * 6.0 / 21 - 1 fc from g), k as (select i, floor(fr) + a r, floor(fc) + b c, (case a when 1 then fr - floor(fr) else 1 - (fr - floor(fr)) end) * (case b when 1 then fc - floor(fc) else 1 - (fc - floor(fc)) end) v from m, range(2) x(a), range(2) y(b)), p as (select i, cast(r * 5 + c as bigint) j, v from k where v > 0 and r >= 0 and r < 5 and c >= 0 and c < 5) select p.j as i, q.j, round(cast(sum(p.v * a.v * q.v) as double), 6) as v from p join a on p.i = a.i join p q on a.j = q.i group by p.j, q.j having abs(sum(p.v * a.v * q.v)) > 1e-9")
-@R("fn21_bilinear", f"with {POISSON}, m as (select i, (r + 1) * 6.0 / 21 - 1 fr, (c + 1) * 6.0 / 21 - 1 fc from g), k as (select i, floor(fr) + a r, floor(fc) + b c, (case a when 1 then fr - floor(fr) else 1 - (fr - floor(fr)) end) * (case b when 1 then fc - floor(fc) else 1 - (fc - floor(fc)) end) v from m, range(2) x(a), range(2) y(b)), p as (select i, cast(r * 5 + c as bigint) j, v from k where v > 0 and r >= 0 and r < 5 and c >= 0 and c < 5) select p.j as i, q.j, round(cast(sum(p.v * a.v * q.v) as double), 6) as v from p join a on p.i = a.i join p q on a.j = q.i group by p.j, q.j having abs(sum(p.v * a.v * q.v)) > 1e-9")
 def _(spark, d):
     p = V.bilinear(spark, GRID_N, 5)
     return V.product(V.product(V.transposed(p), V.poisson(spark, GRID_N)), p).where("abs(v) > 1e-9").withColumn("v", F.round("v", 6))
 
 
+@R("fn21_bilinear", f"with {POISSON}, m as (select i, (r + 1) * 6.0 / 21 - 1 fr, (c + 1) * 6.0 / 21 - 1 fc from g), k as (select i, floor(fr) + a r, floor(fc) + b c, (case a when 1 then fr - floor(fr) else 1 - (fr - floor(fr)) end) * (case b when 1 then fc - floor(fc) else 1 - (fc - floor(fc)) end) v from m, range(2) x(a), range(2) y(b)) select i, cast(r * 5 + c as bigint) as j, round(cast(v as double), 6) as v from k where v > 1e-9 and r >= 0 and r < 5 and c >= 0 and c < 5")
+def _(spark, d):
+    return V.bilinear(spark, GRID_N, 5).where("v > 1e-9").withColumn("v", F.round("v", 6))
+
+
 @R("ag56_residual", f"with {POISSON}, x as (select i, (i % 7) * 0.5 v from g), ax as (select a.i, sum(a.v * x.v) s from a join x on a.j = x.i group by a.i) select round(sqrt(sum(pow(1 - s, 2))), 6) as residual, round(sqrt(sum(pow(1 - s, 2))) / sqrt(count(*)), 6) as relative, round(max(abs(1 - s)), 6) as largest from ax")
 def _(spark, d):
     x = spark.range(GRID_N * GRID_N).select(F.col("id").alias("i"), ((F.col("id") % 7) * 0.5).alias("v"))
@@ -357,20 +367,43 @@ def _(spark, d):
     return ax.agg(F.round(F.sqrt(F.sum(F.col("r") * F.col("r"))), 6).alias("residual"), F.round(F.sqrt(F.sum(F.col("r") * F.col("r"))) / F.sqrt(F.count(F.lit(1))), 6).alias("relative"), F.round(F.max(F.abs("r")), 6).alias("largest"))
 
 
-@R("sv07_schwarz")
+def solution(n: int) -> str:
+    """SQL of the solution u (i, v) of an n by n grid with ones on the right, by sine transforms along both axes."""
+    return f"""k as (select p, 2 - 2 * cos(p * pi() / {n + 1}) as l from range(1, {n + 1}) t(p)), s as (select p, r, sqrt(2.0::double / {n + 1}) * sin(p * pi() * (r + 1) / {n + 1}) as v from range(1, {n + 1}) t(p), range({n}) t2(r)),
+f as (select s.p, any_value(l) as l, sum(v) as w from s join k on s.p = k.p group by s.p), h as (select x.p, s.r as c, sum(s.v * x.w * y.w / (x.l + y.l)) as v from s join f y on s.p = y.p, f x group by x.p, s.r),
+u as (select s.r * {n} + h.c as i, sum(s.v * h.v) as v from s join h on s.p = h.p group by 1)"""
+
+
+def _system(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
+    return V.poisson(spark, n), spark.range(n * n).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))
+
+
+def _schwarz(spark: SparkSession, n: int, blocks: int, hops: int, coarse: int, tol: float) -> tuple[DataFrame, int, float]:
+    a, b = _system(spark, n)
+    return V.Schwarz(a, V.grid_blocks(spark, n, blocks), hops, V.bilinear(spark, n, coarse)).solve(b, tol)
+
+
+@R("sv07_schwarz", f"with {solution(50)} select i, round(v, 3) as v, true as converged from u")
 def _(spark, d):
-    a = V.poisson(spark, 12)
-    b = spark.range(144).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))
-    x, steps, rel = V.Schwarz(a, V.grid_blocks(spark, 12, 4), 2, V.bilinear(spark, 12, 4)).solve(b, 1e-6)
-    return x.select("i", F.round("v", 4).alias("v"), F.lit(steps).alias("steps"), F.lit(rel < 1e-6).alias("converged"))
+    x, _, rel = _schwarz(spark, 50, 4, 5, 15, 1e-9)
+    return x.select("i", F.round("v", 3).alias("v"), F.lit(rel <= 1e-9).alias("converged"))
+
+
+TOTALS = "select count(*) as n, round(max(v), 2) as largest, round(sum(v) / 1e6, 3) as total from u"
+
 
+def _totals(x: DataFrame) -> DataFrame:
+    return x.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("v"), 2).alias("largest"), F.round(F.sum("v") / 1e6, 3).alias("total"))
 
-@R("sv07_schwarz_200")
+
+@R("sv07_schwarz_200", f"with {solution(200)} {TOTALS}")
+def _(spark, d):
+    return _totals(_schwarz(spark, 200, 16, 8, 15, 1e-9)[0])
+
+
+@R("sv07_schwarz_500", f"with {solution(500)} {TOTALS}")
 def _(spark, d):
-    a = V.poisson(spark, 200)
-    b = spark.range(40_000).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))
-    x, steps, rel = V.Schwarz(a, V.grid_blocks(spark, 200, 16), 8, V.bilinear(spark, 200, 15)).solve(b, 1e-8)
-    return x.select("i", F.round("v", 4).alias("v"), F.lit(steps).alias("steps"), F.lit(rel < 1e-8).alias("converged"))
+    return _totals(_schwarz(spark, 500, 16, 16, 31, 1e-9)[0])
 
 
 @R("st_window_first", "select user_id, min(event_id) as first_event from events group by user_id")
@@ -468,56 +501,70 @@ def _(spark, d):
     return io.where("direction = 'r'").select("object_name").distinct().join(o, "object_name", "left").select("object_name", F.when(F.col("done"), "available").when(F.col("live"), "wait").otherwise("never").alias("verdict"))
 
 
-def _system(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
-    return V.poisson(spark, n), spark.range(n * n).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))
+VALUES = "select i, round(v, 6) as v from u"
 
 
-@R("sv06_local_solves", "select i, true as solved from range(100) t(i) where i < 50")
+@R("sv06_local_solves", f"with {solution(10)} {VALUES}")
 def _(spark, d):
     # one block over all: its local solution is the global one
     a, b = _system(spark, 10)
     s = V.Schwarz(a, spark.range(100).select(F.col("id").alias("i"), F.lit(0).alias("sd")), 0)
-    x = s.step(b.withColumn("v", F.lit(0.0)), b)
-    return V.norms(a, x, b)[2].where("i < 50").select("i", (F.abs("v") < 1e-9).alias("solved"))
+    return s.step(b.withColumn("v", F.lit(0.0)), b).withColumn("v", F.round("v", 6))
 
 
-@R("sv06_overlapping_solves", "select i, true as solved from range(100) t(i)")
+@R("sv06_overlapping_solves", f"with {solution(10)} {VALUES}")
 def _(spark, d):
     # four overlapping blocks are told the solution just outside them and nothing else; their owners' values are the solution
     a, b = _system(spark, 10)
     s = V.Schwarz(a, V.grid_blocks(spark, 10, 4), 1)
-    ghosts = {r["i"] for r in s.need.where("kind = 0").select("i").distinct().collect()}
-    told = [(i, float(v) if i in ghosts else 1e6) for i, v in enumerate(V.exact(a, b, 100))]
-    x = s.step(spark.createDataFrame(told, "i bigint, v double"), b)
-    return V.norms(a, x, b)[2].select("i", (F.abs("v") < 1e-9).alias("solved"))
+    x = spark.createDataFrame(list(enumerate(map(float, V.exact(a, b, 100)))), "i bigint, v double")
+    told = x.join(s.ghosts.select("i").distinct().withColumn("g", F.lit(True)), "i", "left").select("i", F.when(F.col("g"), F.col("v")).otherwise(1e6).alias("v"))
+    return s.step(told, b).withColumn("v", F.round("v", 6))
 
 
-@R("sv08_coarse_correction", "select i, true as closer from range(1) t(i)")
+@R("sv08_coarse_correction", """with recursive c as (select i, (i // 10 + 1) * 2.0 / 11 - 1 as fr, (i % 10 + 1) * 2.0 / 11 - 1 as fc from range(100) t(i)), p as (select i, (1 - abs(fr)) * (1 - abs(fc)) as v from c),
+ap as (select x.i, sum(case when x.i = y.i then 4.0 else -1.0 end * y.v) as v from p x join p y on abs(x.i // 10 - y.i // 10) + abs(x.i % 10 - y.i % 10) <= 1 group by x.i), e as (select (select sum(v) from p) / (select sum(p.v * ap.v) from p join ap on p.i = ap.i) as v)
+select p.i, round(cast(p.v * e.v as double), 6) as v from p, e""")
 def _(spark, d):
+    # a coarse level of one unknown, whose answer SQL can work out: from zero, ones on the right are the residual
     a, b = _system(spark, 10)
-    s = V.Schwarz(a, V.grid_blocks(spark, 10, 4), 1, V.bilinear(spark, 10, 3))
-    x = s.step(b.withColumn("v", F.lit(0.0)), b)
-    before, _, r = V.norms(a, x, b)
-    exact = V.exact(a, b, 100)
-    err = lambda y: max(abs(v - exact[i]) for i, v in y.collect())
-    return spark.createDataFrame([(0, bool(err(s.corrected(x, r)) < err(x)))], "i bigint, closer boolean")
+    s = V.Schwarz(a, V.grid_blocks(spark, 10, 4), 1, V.bilinear(spark, 10, 1))
+    return s.corrected(b.withColumn("v", F.lit(0.0)), b).withColumn("v", F.round("v", 6))
+
+
+@R("sv09_time_steps", f"with {solution(8)} select t, i, round(v * (1 + t / 1000), 5) as v from u, range(3) x(t)")
+def _(spark, d):
+    a, b = _system(spark, 8)
+    runs = V.Schwarz(a, V.grid_blocks(spark, 8, 2), 2).march(b, lambda x, t: b.withColumn("v", F.lit(1 + t / 1000)) if t < 3 else None, tol=1e-9)
+    out = None
+    for t, (x, _, _) in enumerate(runs):
+        x = x.select(F.lit(t).cast("bigint").alias("t"), "i", F.round("v", 5).alias("v"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@R("ud05_right_hand_sides", f"with {solution(6)}, g as (select i, i // 6 r, i % 6 c from range(36) t(i)), b1 as (select i, v from u), hh as (select s.p, q.p as q, sum(s.v * q.v * b1.v) / any_value(ks.l + kq.l) as w from b1 join g on b1.i = g.i join s on s.r = g.r join s q on q.r = g.c join k ks on ks.p = s.p join k kq on kq.p = q.p group by s.p, q.p) select 0::bigint as t, i, round(v, 5) as v from u union all select 1, g.i, round(sum(hh.w * s.v * q.v), 5) from g join s on s.r = g.r join s q on q.r = g.c join hh on hh.p = s.p and hh.q = q.p group by g.i")
+def _(spark, d):
+    # the right-hand side of the second time is the solution of the first
+    a, b = _system(spark, 6)
+    (x, _, _), (y, _, _) = V.Schwarz(a, V.grid_blocks(spark, 6, 2), 2).march(b, lambda x, t: x if t == 1 else None, tol=1e-9)
+    part = lambda t, z: z.select(F.lit(t).cast("bigint").alias("t"), "i", F.round("v", 5).alias("v"))
+    return part(0, x).unionByName(part(1, y))
 
 
-@R("sv09_time_steps", "select t, t = 0 or t = 1 as no_more_steps from range(2) u(t)")
-@R("ud05_right_hand_sides", "select t, t = 0 or t = 1 as no_more_steps from range(2) u(t)")
-@R("sm11_warm_start", "select t, t = 0 or t = 1 as no_more_steps from range(2) u(t)")
+@R("sm11_warm_start", f"with {solution(8)} select 'warm' as start, true as fewer_steps, round(sum(v) * 1.001, 4) as total from u")
 def _(spark, d):
+    # a right-hand side that has hardly changed takes fewer steps from the last solution than from zero
     a, b = _system(spark, 8)
-    runs = V.Schwarz(a, V.grid_blocks(spark, 8, 2), 2).march(b, lambda x, t: b.withColumn("v", F.lit(1.001)) if t == 1 else None, tol=1e-4)
-    steps = [k for _, k, _ in runs]
-    return spark.createDataFrame([(t, k <= steps[0]) for t, k in enumerate(steps)], "t bigint, no_more_steps boolean")
+    s = V.Schwarz(a, V.grid_blocks(spark, 8, 2), 2)
+    (_, cold, _), (x, warm, _) = s.march(b, lambda x, t: b.withColumn("v", F.lit(1.001)) if t == 1 else None, tol=1e-7)
+    return x.agg(F.round(F.sum("v"), 4).alias("total")).select(F.lit("warm").alias("start"), F.lit(warm < cold).alias("fewer_steps"), "total")
 
 
-@R("sv10_exact", "select i, true as solved from range(100) t(i)")
+@R("sv10_exact", f"with {solution(10)} {VALUES}")
 def _(spark, d):
     a, b = _system(spark, 10)
-    x = spark.createDataFrame([(i, float(v)) for i, v in enumerate(V.exact(a, b, 100))], "i bigint, v double")
-    return V.norms(a, x, b)[2].select("i", (F.abs("v") < 1e-9).alias("solved"))
+    return spark.createDataFrame(list(enumerate(map(float, V.exact(a, b, 100)))), "i bigint, v double").withColumn("v", F.round("v", 6))
 
 
 @R("sm12_last_bucket", "with s as (select distinct worker_id k, epoch_ms // 3600000 b from worker_samples), z as (select max(b) z from s), f as (select k, min(b) a from s group by k) select z as bucket, count(*) as n_workers from f, z where a <= z group by z")

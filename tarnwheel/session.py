@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def file_at(uri: str):
+    """(file system, path) of a file in the shared folder, for tasks that keep something of their own there."""
+    from pyarrow import fs
+
+    uri = re.sub(r"^file:/+", "file:///", uri)
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
