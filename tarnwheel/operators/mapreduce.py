@@ -1,7 +1,8 @@
 """Partition, process, merge and finalize with functions of any kind; the results travel as pickled values.
 
-Partitions are made once. The merge is a left fold in order of the partitions, in groups of FAN_IN until one value is
-left, so it may be any associative function; `full` folds all in one task. Where the function is a sum or the
+Partitions are made once, and the processor runs once for each: what it gives is written to the shared folder. The merge
+is a left fold in order of the partitions (of existing datasets: by dataset, then by batch), in groups of FAN_IN until
+one value is left, so it may be any associative function; `full` folds all in one task. Where the function is a sum or the
 like, groupBy().agg() on a DataFrame is the better way.
 """
 
@@ -12,12 +13,16 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .ordered import dense_ids
+
 FAN_IN = 8
 PARTS = "part bigint, value binary"
+BATCH = "frame int, task int, batch int, value binary"
 
 
 class MapReduce:
@@ -44,7 +49,7 @@ class MapReduce:
         """Existing datasets as partitions: the processor gets each one's rows as a list of dicts, batch by batch."""
         self._parts = None
         for i, df in enumerate(frames):
-            p = df.mapInPandas(_rows(i), PARTS)
+            p = df.mapInPandas(_rows(i), BATCH)
             self._parts = p if self._parts is None else self._parts.unionByName(p)
         return self
 
@@ -66,16 +71,16 @@ class MapReduce:
         if self._merge is None or self._process is None:
             raise ValueError("a processor and a merger are needed")
         if self._parts is not None:
-            parts, n = self._parts, None
+            done = cut(self._parts.mapInPandas(_each(self._process, ["frame", "task", "batch"]), BATCH))
+            done = dense_ids(done, ["frame", "task", "batch"], "part").select("part", "value")
+            n = done.count()
         else:
             if self._partition is None or data is None:
                 raise ValueError("a partitioner and data are needed, or existing partitions")
             made = list(self._partition(data))
             n = len(made)
             parts = self.spark.createDataFrame([(i, bytearray(cloudpickle.dumps(p))) for i, p in enumerate(made)], PARTS).repartitionByRange(max(1, n), "part")
-        done = parts.mapInPandas(_each(self._process), PARTS)
-        if n is None:
-            n = (done.agg(F.max("part")).first()[0] or -1) + 1
+            done = cut(parts.mapInPandas(_each(self._process, ["part"]), PARTS))
         merge = _fold(self._merge)
         if self._kind == "full":
             done = done.groupBy(F.col("part") * 0).applyInPandas(merge, PARTS)
@@ -100,16 +105,17 @@ class MapReduce:
 
 def _rows(i: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"part": [i], "value": [cloudpickle.dumps(f.to_dict("records"))]})
+        task = TaskContext.get().partitionId()
+        for k, f in enumerate(frames):
+            yield pd.DataFrame({"frame": [i], "task": [task], "batch": [k], "value": [cloudpickle.dumps(f.to_dict("records"))]})
 
     return run
 
 
-def _each(process: Callable):
+def _each(process: Callable, keys: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"part": f["part"], "value": [cloudpickle.dumps(process(cloudpickle.loads(v))) for v in f["value"]]})
+            yield f[keys].assign(value=[cloudpickle.dumps(process(cloudpickle.loads(v))) for v in f["value"]])
 
     return run
 

@@ -6,6 +6,7 @@ checkpoint, so the next drain goes on from there.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ordered import latest
-from ..session import shared_dir
+from ..session import cut, shared_dir
+from ..sources.catalog import Files
 
 
 def stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -49,22 +51,50 @@ def append_once(df: DataFrame, keys: list[str], event_time: str | None = None, l
 
 
 class Upserts:
-    """A table of the newest row per key, kept in two folders in turn, so a broken batch leaves the last state whole."""
+    """A table of the newest row per key in a shared folder, in BUCKETS buckets of keys.
+
+    A batch reads and writes only the buckets it touches. Which version of each bucket counts is written down last, in a
+    small file for each batch that is created once: a batch that breaks off leaves the state whole, one that comes again
+    is passed over, and another object on the same folder goes on from there. Versions that no longer count are deleted.
+    """
+
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, schema, key: list[str], order: list[str], folder: str | None = None):
         self.spark, self.schema, self.key, self.order = spark, schema, key, order
         self.folder = folder or folder_of(spark, "upserts")
-        self.at: int | None = None
+        self.files = Files(spark, self.folder)
+
+    def _state(self) -> tuple[int, dict[str, str]]:
+        """(number of the last batch, version of each bucket)."""
+        done = [n for n in self.files.names(f"{self.folder}/_batches") if n.endswith(".json")]
+        return (int(done[-1][:-5]), json.loads(self.files.read(f"{self.folder}/_batches/{done[-1]}"))) if done else (-1, {})
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        rows = batch if self.at is None else batch.unionByName(self.table())
-        latest(rows, self.key, self.order).write.mode("overwrite").parquet(f"{self.folder}/{number % 2}")
-        self.at = number % 2
+        last, at = self._state()
+        if number <= last:
+            return
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.BUCKETS)).cast("int")
+        rows = cut(batch.withColumn("_bucket", bucket))
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # BUCKETS at most
+        if touched:
+            old = [f"{self.folder}/{at[str(k)]}/_bucket={k}" for k in touched if str(k) in at]
+            if old:
+                rows = rows.drop("_bucket").unionByName(self.spark.read.schema(self.schema).parquet(*old)).withColumn("_bucket", bucket)
+            version = f"{number:012d}-{uuid.uuid4().hex[:8]}"
+            latest(rows, [*self.key, "_bucket"], self.order).repartition(F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.folder}/{version}")
+            now = {**at, **{str(k): version for k in touched}}
+        else:
+            now = at
+        self.files.create(f"{self.folder}/_batches/{number:012d}.json", json.dumps(now, sort_keys=True))
+        for version in set(at.values()) - set(now.values()):
+            self.files.delete(f"{self.folder}/{version}")
 
     def table(self) -> DataFrame:
-        if self.at is None:
+        _, at = self._state()
+        if not at:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.at}")
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/{v}/_bucket={k}" for k, v in sorted(at.items())))
 
 
 def replayed(log: DataFrame, name: str, order: list[str], added: str, committed: str) -> DataFrame:

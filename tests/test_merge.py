@@ -58,6 +58,28 @@ def test_mapreduce_sum_finalizer_and_edges(spark):
         M.MapReduce(spark).set_processor(sum).run([1])
 
 
+def test_mapreduce_over_datasets_keeps_the_order_of_batches_and_runs_once(spark):
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    calls = spark.sparkContext.accumulator(0)
+
+    def ids(part):
+        calls.add(1)
+        return [r["id"] for r in part]
+
+    try:
+        frames = [spark.range(0, 20, 1, 2), spark.range(100, 107, 1, 1), spark.range(0), spark.range(200, 201, 1, 1)]
+        for kind in ("summary", "full"):
+            calls.value = 0
+            got = M.MapReduce(spark).set_pre_partitioned(*frames).set_processor(ids).set_merger(lambda a, b: a + b, kind).run().get()
+            assert got == [*range(20), *range(100, 107), 200]
+            assert calls.value == 4 + 4 + 3 + 1
+        assert M.MapReduce(spark).set_pre_partitioned(spark.range(0)).set_processor(ids).set_merger(lambda a, b: a + b).run().get() is None
+        assert M.MapReduce(spark).set_pre_partitioned(spark.range(1)).set_processor(ids).set_merger(lambda a, b: a + b).run().get() == [0]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_words(spark):
     df = spark.createDataFrame([("oar rope oar  mast",), (None,), ("Mast keel mast mast",), ("",), (" keel oar ",)], "t string")
     assert rows(M.word_counts(df, "t")) == [("keel", 2), ("mast", 4), ("oar", 3), ("rope", 1)]

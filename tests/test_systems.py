@@ -251,3 +251,65 @@ def test_blocks_that_grow_too_little_are_widened_twice(spark):
     assert got == want  # the large block grew by a seventh and has no more to take, the small one doubled
     c = b.withColumn("sd", F.when(F.col("i") < 32, 0).otherwise(1))
     assert rows(V.widened(a, c, 1, 0.5), "sd", "i") == rows(V.widened(a, c, 2), "sd", "i") != rows(V.widened(a, c, 1), "sd", "i")
+
+
+def test_upserts_go_on_after_a_restart_and_pass_over_a_batch_that_comes_again(spark, tmp_path):
+    folder, schema = f"file://{tmp_path}/up", "k bigint, t bigint, v string"
+    rows_of = lambda *x: spark.createDataFrame(x, schema)
+    new = lambda: N.Upserts(spark, schema, ["k"], ["t"], folder)
+    new()(rows_of((1, 1, "a"), (2, 5, "b"), (2, 4, "x")), 0)
+    new()(rows_of((1, 3, "c"), (3, 1, "d")), 1)
+    want = [(1, 3, "c"), (2, 5, "b"), (3, 1, "d")]
+    assert rows(new().table()) == want
+    new()(rows_of((1, 9, "again")), 1)  # batch 1 comes again
+    assert rows(new().table()) == want
+    new()(rows_of().limit(0), 2)
+    assert rows(new().table()) == want
+
+    class Broken(N.Upserts):
+        def _state(self):
+            last, at = super()._state()
+            self.files.create = lambda p, text: 1 / 0
+            return last, at
+
+    with pytest.raises(ZeroDivisionError):
+        Broken(spark, schema, ["k"], ["t"], folder)(rows_of((2, 99, "lost")), 3)
+    assert rows(new().table()) == want
+    new()(rows_of((2, 99, "kept")), 3)
+    assert rows(new().table()) == [(1, 3, "c"), (2, 99, "kept"), (3, 1, "d")]
+
+
+def test_upserts_touch_only_the_buckets_of_their_keys(spark, tmp_path):
+    folder = f"file://{tmp_path}/up"
+    up = N.Upserts(spark, "k bigint, t bigint", ["k"], ["t"], folder)
+    up(spark.range(500).select(F.col("id").alias("k"), F.lit(1).cast("bigint").alias("t")), 0)
+    up(spark.createDataFrame([(7, 2)], "k bigint, t bigint"), 1)
+    _, at = up._state()
+    assert len(set(at.values())) == 2 and len(at) == up.BUCKETS and sum(v.startswith("000000000001") for v in at.values()) == 1
+    assert up.table().agg(F.count("k"), F.sum("t")).first() == (500, 501)
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/c")
+    a = c.create("d")
+    b = c.open("d")
+
+    class Slow:  # the other writer comes in while this one writes
+        def __init__(self, df, act):
+            self.df, self.act = df, act
+
+        @property
+        def write(self):
+            self.act()
+            return self.df.write
+
+    assert not a.write("x", Slow(spark.range(3), lambda: b.write("x", spark.range(5), "v")), "v")
+    assert a.read("x").count() == 5
+    assert a.write("y", Slow(spark.range(3), lambda: b.write("z", spark.range(2))), "v") and a.names() == ["x", "y", "z"]
+    with pytest.raises(ValueError):
+        a.write("w", Slow(spark.range(3), lambda: b.write("w", spark.range(5), "other")), "v")
+    with pytest.raises(FrozenError):
+        a.write("late", Slow(spark.range(3), b.freeze), "v")
+    assert b.names() == ["w", "x", "y", "z"] and b.frozen
+    with pytest.raises(ValueError):
+        c.create("e").set_var("n", 1) or c.open("e").set_var("n", 2)
