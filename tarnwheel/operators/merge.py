@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import dense_ids
+
 
 def linked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): every key of either side, `both`, `left` or `right`. Keys are reduced to distinct ones first; null keys match nothing and are left out."""
@@ -81,3 +83,21 @@ def role_counts(df: DataFrame, key: str, driver: Column, receiver: Column, other
     return df.groupBy(key).agg(
         F.count_if(driver & receiver).alias("hybrid"), F.count_if(driver & ~receiver).alias("driver"), F.count_if(receiver & ~driver).alias("receiver"), *(F.count_if(c).alias(n) for n, c in others.items())
     )
+
+
+def renumbered(names: DataFrame, key: str, given: str, order: list[str]) -> DataFrame:
+    """(key, id, kept): one id for each name. The id that a name's first row was given is kept if no name before it in order
+    claims the same; all other names get the free ids above the largest one given, in order. Names without an id too.
+    """
+    first = names.groupBy(key).agg(F.min(F.struct(*order, given)).alias("_f")).select(key, *(F.col(f"_f.`{c}`").alias(c) for c in order), F.col(f"_f.`{given}`").alias("_g"))
+    claims = first.where("_g is not null").groupBy("_g").agg(F.min(F.struct(*order, key)).getField(key).alias("_owner"))
+    j = first.join(claims, "_g", "left").withColumn("kept", F.coalesce(F.col("_owner") == F.col(key), F.lit(False)))
+    top = j.agg(F.max("_g")).first()[0]
+    new = dense_ids(j.where(~F.col("kept")).select(key, *order), [*order, key], "id", 0 if top is None else top + 1).select(key, F.col("id").cast("bigint").alias("id"), F.lit(False).alias("kept"))
+    return j.where("kept").select(key, F.col("_g").cast("bigint").alias("id"), "kept").unionByName(new)
+
+
+def rewritten(references: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
+    """references with the names in a column replaced by their ids; null where a name has none."""
+    m = ids.select(F.col(key).alias("_n"), F.col("id").alias("_i"))
+    return references.join(m, references[column] == m["_n"], "left").withColumn(column, F.col("_i")).drop("_n", "_i")

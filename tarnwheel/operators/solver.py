@@ -10,6 +10,7 @@ values have just arrived, so they take no pass of their own.
 
 from __future__ import annotations
 
+import io
 import math
 import pickle
 import sys
@@ -42,6 +43,32 @@ def poisson(spark: SparkSession, n: int) -> DataFrame:
     return x.select("i", (F.col("p.r") * n + F.col("p.c")).alias("j"), F.col("p.v").alias("v"))
 
 
+def stored_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(i, j, v): a matrix in an .npz file, as triplets (row, col, data), compressed rows (indptr, indices, data) or dense (matrix).
+
+    The file is read by the driver, as such files come from one machine; larger matrices are tables.
+    """
+    system, at = file_at(path)
+    with system.open_input_file(at) as f, np.load(io.BytesIO(f.read())) as z:
+        return matrix_of(spark, {k: z[k] for k in z.files})
+
+
+def matrix_of(spark: SparkSession, arrays: dict[str, np.ndarray]) -> DataFrame:
+    """(i, j, v): a matrix held by the driver, in one of the forms of stored_matrix; zeros are left out."""
+    if "matrix" in arrays:
+        i, j = np.nonzero(arrays["matrix"])
+        v = arrays["matrix"][i, j]
+    elif "indptr" in arrays:
+        i, j, v = np.repeat(np.arange(len(arrays["indptr"]) - 1), np.diff(arrays["indptr"])), arrays["indices"], arrays["data"]
+    elif "row" in arrays:
+        i, j, v = arrays["row"], arrays["col"], arrays["data"]
+    else:
+        raise ValueError("a matrix is needed: matrix, or indptr, indices and data, or row, col and data")
+    some = np.asarray(v) != 0
+    rows = pa.table([pa.array(np.asarray(x)[some].astype(t)) for x, t in ((i, np.int64), (j, np.int64), (v, np.float64))], names=["i", "j", "v"])
+    return spark.createDataFrame(rows)
+
+
 def factor(nsd: int) -> tuple[int, int]:
     """(rows, columns) of blocks: the factorisation closest to a square, rows the smaller."""
     r = next(k for k in range(math.isqrt(nsd), 0, -1) if nsd % k == 0)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..functions.schema import Rule
+from ..sources.catalog import Database, provenance
 
 Flow = Callable[..., DataFrame]
 
@@ -50,6 +51,25 @@ class Flows:
         return done[name]
 
 
+    def resume(self, name: str, db: Database, given: dict[str, DataFrame], made_from: str = "", **params) -> DataFrame:
+        """The flow's result, with every flow on the way written to a database: a run that broke off goes on behind what is there.
+
+        made_from stands for code and inputs; what another provenance made raises ValueError. `given` are not written.
+        """
+        done = dict(given)
+        for n in self.order(name, frozenset(done)):
+            by = provenance(n, made_from, sorted(params.items()))
+            if n not in db.names():
+                f, needs, rule = self.flows[n]
+                if rule is not None:
+                    rule(params)
+                db.write(n, f(*(done[x] for x in needs), **(params if rule is not None else {})), by)
+            elif db.made_by(n) != by:
+                raise ValueError(f"{n} is there already, made from something else")
+            done[n] = db.read(n)
+        return done[name]
+
+
 def chained(df: DataFrame, *handlers: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Row handlers one after the other, as one plan."""
     for h in handlers:

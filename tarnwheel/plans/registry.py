@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import design, problems, relations, run_metrics, systems
+from . import design, problems, relations, run_metrics, services, systems
 
-MODULES = [problems, run_metrics, design, relations, systems]
+MODULES = [problems, run_metrics, design, relations, systems, services]
 
 
 def queries() -> dict:

@@ -133,18 +133,6 @@ def _(spark, d):
     return _locality(spark, d)
 
 
-@R("tk06_worker_choice", LOCAL + "select task_id, worker_id, bytes from (select *, row_number() over (partition by task_id order by bytes desc, worker_id) n from s) where n = 1")
-def _(spark, d):
-    return _locality(spark, d).groupBy("task_id").agg(F.min(F.struct((-F.col("bytes")).alias("b"), "worker_id")).alias("m")).select("task_id", "m.worker_id", (-F.col("m.b")).alias("bytes"))
-
-
-@R("jn27_renumber", "with a as (select distinct c_mktsegment name from customer), b as (select distinct o_orderpriority name from orders), u as (select name from a union select name from b) select name, row_number() over (order by name) - 1 as id, name in (select name from a) as kept from u")
-def _(spark, d):
-    a = table(spark, d, "customer", "c_mktsegment").select(F.col("c_mktsegment").alias("name")).distinct().withColumn("kept", F.lit(True))
-    b = table(spark, d, "orders", "o_orderpriority").select(F.col("o_orderpriority").alias("name")).distinct().withColumn("kept", F.lit(False))
-    return O.dense_ids(a.unionByName(b).groupBy("name").agg(F.bool_or("kept").alias("kept")), ["name"], "id").select("name", "id", "kept")
-
-
 # outcomes
 
 OUTCOME = """with w as (select distinct object_name from object_io where direction = 'w'), p as (select distinct split_part(object_name, ':', 2) s from object_io where direction = 'w'), n as (select distinct object_name, bytes is null as const from object_io where direction = 'r'),
@@ -202,13 +190,11 @@ def _(spark, d):
 
 
 @R("ag47_role_counts", "select object_name, count(*) filter (direction = 'w' and duration_ms > 20) as hybrid, count(*) filter (direction = 'w' and not duration_ms > 20) as driver, count(*) filter (direction <> 'w' and duration_ms > 20) as receiver, count(*) filter (bytes is null) as unknown from object_io group by object_name")
-@R("pq03_net_roles", "select object_name, count(*) filter (direction = 'w' and duration_ms > 20) as hybrid, count(*) filter (direction = 'w' and not duration_ms > 20) as driver, count(*) filter (direction <> 'w' and duration_ms > 20) as receiver, count(*) filter (bytes is null) as unknown from object_io group by object_name")
 def _(spark, d):
     return J.role_counts(table(spark, d, IO, "object_name", "direction", "duration_ms", "bytes"), "object_name", F.col("direction") == "w", F.col("duration_ms") > 20, {"unknown": F.col("bytes").isNull()})
 
 
 @R("ag20_two_level_counters", "select module, status, count(*) as n, cast(sum(coalesce(read_bytes, 0)) as bigint) as read_bytes, grouping(module) + grouping(status) as level from tasks group by rollup (module, status)")
-@R("ag58_per_file_tables", "select module, status, count(*) as n, cast(sum(coalesce(read_bytes, 0)) as bigint) as read_bytes, grouping(module) + grouping(status) as level from tasks group by rollup (module, status)")
 def _(spark, d):
     t = table(spark, d, T, "module", "status", "read_bytes").rollup("module", "status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("read_bytes", F.lit(0))).alias("read_bytes"), (F.grouping("module") + F.grouping("status")).cast("bigint").alias("level"))
     return t
@@ -247,7 +233,6 @@ WORDS = r"with w as (select unnest(regexp_split_to_array(lower(text), '\s+')) w
 
 
 @R("ag10_word_count", WORDS)
-@R("ag11_tree_merge", WORDS)
 @R("tk08_word_order", WORDS + " order by n desc, word")
 def _(spark, d):
     return M.word_counts(table(spark, d, "documents", "text"), "text")
@@ -257,9 +242,7 @@ QUERIES["tk08_word_order"] = lambda spark, d: M.word_counts(table(spark, d, "doc
 
 
 def _by_functions(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    docs = table(spark, d, "documents", "lang", "source")
-    sources = sorted((r[0] for r in docs.select("source").distinct().collect()), key=str)  # one partition for each existing source
-    mr = M.MapReduce(spark).set_pre_partitioned(*(docs.where(F.col("source").eqNullSafe(s)) for s in sources))
+    mr = M.MapReduce(spark).set_pre_partitioned(table(spark, d, "documents", "lang"))
     count = lambda rows: {k: sum((r["lang"] or "none") == k for r in rows) for k in {r["lang"] or "none" for r in rows}}
     add = lambda a, b: {k: a.get(k, 0) + b.get(k, 0) for k in {**a, **b}}
     got = mr.set_processor(count).set_merger(add, kind).set_finalizer(lambda v: sorted(v.items())).run().get()
@@ -275,8 +258,6 @@ def _(spark, d):
 
 
 @R("ud02_mapreduce", LANGS)
-@R("ag13_finalizer", LANGS)
-@R("sc26_existing_partitions", LANGS)
 def _(spark, d):
     return _by_functions(spark, d, "summary")
 
@@ -396,7 +377,6 @@ def _(spark, d):
 
 
 @R("pq04_layer", "select r_regionkey, r_name from region where r_name = 'ASIA'")
-@R("pq09_find_cell", "select r_regionkey, r_name from region where r_name = 'ASIA'")
 def _(spark, d):
     return table(spark, d, "region", "r_regionkey", "r_name").where("r_name = 'ASIA'")
 

@@ -188,12 +188,15 @@ def _(spark, d):
 TWF_BODY = """concat('(CAUSED_BY "clk', user_id % 5, '" RISE\n', array_join(transform(array_sort(es), e -> if(e.event_type = 'error', concat('(NET "e', e.event_id, '" 1:2)'), format_string('(NET "e%d" %d:%d * * * * * * * C)', e.event_id, e.event_id % 100, e.event_id % 100 + 7))), '\n'), '\n)')"""
 
 
-def _twf(spark: SparkSession, d: str) -> DataFrame:
+def _twf_files(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events", "event_id", "user_id", "event_type").groupBy("user_id", F.call_function("div", "event_id", F.lit(5000)).alias("part")).agg(F.collect_list(F.struct("event_id", "event_type")).alias("es"))
     e = e.select("user_id", F.expr(TWF_BODY).alias("body"))
     clocks = "".join(f'(WAVEFORM "clk{k}" {k + 1}.0 (POSEDGE 0.0) (NEGEDGE 0.5))\n' for k in range(4))
-    files = _files(e, "user_id", "body", "user_id", f'(TIMING_WINDOWS\n(HEADER (DELIMITERS "/[]") (TIME_SCALE 1e-9))\n{clocks}', "\n)\n", 20)
-    return X.parse(X.split_texts(files, "twf", 20_000), "twf")
+    return _files(e, "user_id", "body", "user_id", f'(TIMING_WINDOWS\n(HEADER (DELIMITERS "/[]") (TIME_SCALE 1e-9))\n{clocks}', "\n)\n", 20)
+
+
+def _twf(spark: SparkSession, d: str) -> DataFrame:
+    return X.parse(X.split_texts(_twf_files(spark, d), "twf", 20_000), "twf")
 
 
 @R("sc18_timing_entries", "select 'e' || event_id as name, case when user_id % 5 < 4 then 'clk' || user_id % 5 end as clock, cast(event_id % 100 as double) as lo, cast(event_id % 100 + 7 as double) as hi from events where event_type <> 'error'")
@@ -229,7 +232,6 @@ UPSERT = "select task_id, max(created_ms) as created_ms from tasks group by task
 
 
 @R("sm02_merge_by_key", UPSERT)
-@R("sc22_metrics_sink", UPSERT)
 def _(spark, d):
     s = N.stream(spark, d, "tasks", max_files=4).select("task_id", "created_ms")
     up = N.Upserts(spark, s.schema, ["task_id"], ["created_ms"])
@@ -294,18 +296,10 @@ def _by_customer(orders: DataFrame) -> DataFrame:
 
 
 @R("ud01_flow", "select o_custkey, count(*) as n from orders where o_orderstatus = 'O' group by 1 having count(*) > 1")
-@R("ud04_registered_flow", "select o_custkey, count(*) as n from orders where o_orderstatus = 'O' group by 1 having count(*) > 1")
-@R("ud06_handlers", "select o_custkey, count(*) as n from orders where o_orderstatus = 'O' group by 1 having count(*) > 1")
 def _(spark, d):
     return _flows.run("by_customer", {"orders": table(spark, d, "orders", "o_custkey", "o_orderstatus")})
 
 
-@R("ud09_udtf", "select doc_id, count(*) as n from (select doc_id, unnest(regexp_split_to_array(text, '\\n')) l from documents where text is not null) where l <> '' group by doc_id")
-def _(spark, d):
-    t = table(spark, d, "documents", "doc_id", "text").where("text is not null")
-    return t.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).where("l <> ''").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 # solver: systems of its own, on grids of a fixed size
 
 GRID_N = 20
@@ -313,7 +307,6 @@ POISSON = f"g as (select i, i // {GRID_N} r, i % {GRID_N} c from range({GRID_N *
 
 
 @R("sv01_poisson", f"with {POISSON} select i, j, v from a")
-@R("sc21_matrix_source", f"with {POISSON} select i, j, v from a")
 def _(spark, d):
     return V.poisson(spark, GRID_N)
 
@@ -458,20 +451,6 @@ def _(spark, d):
     return f.select("file", *(F.regexp_like(plain, F.lit("^" + X.HEADERS[k])).alias(k) for k in ("lef", "def", "liberty", "twf")))
 
 
-@R("sc24_json_rows", "select status, '{\"status\":\"' || status || '\",\"n\":' || count(*) || '}' as body from tasks group by status")
-def _(spark, d):
-    return table(spark, d, "tasks", "status").groupBy("status").agg(F.count(F.lit(1)).alias("n")).select("status", F.to_json(F.struct("status", "n")).alias("body"))
-
-
-@R("sm05_micro_batches", UPSERT)
-@R("sm06_source_cadence", UPSERT)
-def _(spark, d):
-    s = N.stream(spark, d, "tasks", max_files=1).select("task_id", "created_ms")
-    up = N.Upserts(spark, s.schema, ["task_id"], ["created_ms"])
-    N.drain(s, up)
-    return up.table()
-
-
 @R("sm07_replay", "select count(*) as n from object_io")
 def _(spark, d):
     out, progress = N.folder_of(spark, "replayed"), N.folder_of(spark, "progress")
@@ -481,26 +460,6 @@ def _(spark, d):
     return spark.read.schema("id bigint").parquet(out).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R("sm09_ready_tasks", "with w as (select distinct object_name from object_io where direction = 'w'), r as (select distinct task_id, object_name from object_io where direction = 'r') select task_id, count(*) as n_inputs, count(*) filter (w.object_name is null) as n_missing, case when count(*) filter (w.object_name is null) = 0 then 'READY' else 'PENDING' end as state from r left join w on r.object_name = w.object_name group by task_id")
-def _(spark, d):
-    io = table(spark, d, "object_io", "task_id", "object_name", "direction")
-    w = io.where("direction = 'w'").select("object_name").distinct().withColumn("_w", F.lit(True))
-    j = io.where("direction = 'r'").select("task_id", "object_name").distinct().join(w, "object_name", "left")
-    x = j.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_inputs"), F.count_if(F.col("_w").isNull()).alias("n_missing"))
-    return x.withColumn("state", F.when(F.col("n_missing") == 0, "READY").otherwise("PENDING"))
-
-
-@R("sm10_availability", """with s as (select task_id, bool_or(status = 'COMPLETED') done, bool_or(status in ('PENDING', 'RUNNING')) live from tasks group by 1),
-o as (select object_name, bool_or(coalesce(done, false)) done, bool_or(coalesce(live, false)) live from object_io i left join s on i.task_id = s.task_id where direction = 'w' group by 1), r as (select distinct object_name from object_io where direction = 'r')
-select r.object_name, case when done then 'available' when live then 'wait' else 'never' end as verdict from r left join o on r.object_name = o.object_name""")
-def _(spark, d):
-    s = table(spark, d, "tasks", "task_id", "status").groupBy("task_id").agg(F.bool_or(F.col("status") == "COMPLETED").alias("done"), F.bool_or(F.col("status").isin("PENDING", "RUNNING")).alias("live"))
-    io = table(spark, d, "object_io", "task_id", "object_name", "direction")
-    no = F.lit(False)
-    o = io.where("direction = 'w'").join(s, "task_id", "left").groupBy("object_name").agg(F.bool_or(F.coalesce("done", no)).alias("done"), F.bool_or(F.coalesce("live", no)).alias("live"))
-    return io.where("direction = 'r'").select("object_name").distinct().join(o, "object_name", "left").select("object_name", F.when(F.col("done"), "available").when(F.col("live"), "wait").otherwise("never").alias("verdict"))
-
-
 VALUES = "select i, round(v, 6) as v from u"
 
 

@@ -193,6 +193,13 @@ class Database:
         self._temp.clear()
         self._new("_state", "frozen", self._listed("_sets"))
 
+    def made_by(self, name: str) -> str:
+        """The provenance of a dataset; KeyError without it."""
+        old = self._read("_sets", name)
+        if old is None:
+            raise KeyError(name)
+        return old["by"]
+
     def names(self) -> list[str]:
         return sorted([*self._datasets(), *self._temp])
 

@@ -409,9 +409,14 @@ def split_texts(df: DataFrame, form: str, size: int) -> DataFrame:
     return df.select("file", "text").mapInPandas(run, "file string, chunk int, text string")
 
 
+def repeated(form: str) -> tuple[str, ...]:
+    """Kinds of rows that the head of a file makes."""
+    return {"twf": ("waveform",), "liberty": ("library", "lu_table_template", "power_lut_template"), "lef": ("layer", "via", "via_rect"), "def": ("design", "diearea", "via", "via_rect")}[form]
+
+
 def parse(df: DataFrame, form: str) -> DataFrame:
     """(file, [chunk,] text) -> construct rows. Rows that a repeated head makes come from chunk 0 only."""
-    heads = {"twf": ("waveform",), "liberty": ("library", "lu_table_template", "power_lut_template"), "lef": ("layer", "via", "via_rect"), "def": ("design", "diearea", "via", "via_rect")}[form]
+    heads = repeated(form)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -425,15 +430,27 @@ def parse(df: DataFrame, form: str) -> DataFrame:
     return df.mapInPandas(run, ROWS)
 
 
-def read(spark: SparkSession, paths: str | list[str], form: str, chunk: int = 64 << 20) -> DataFrame:
-    """Construct rows of the files; each is read once, cut into chunks and parsed in parallel."""
-    raw = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
-    return parse(split_texts(raw, form, chunk).repartition("file", "chunk"), form)
+def parser(form: str):
+    """A Python table function (text) -> (kind, parent, name, attrs, nums), for LATERAL joins with a table of texts."""
+    rows = PARSERS[form]
+
+    @F.udtf(returnType="kind string, parent string, name string, attrs map<string,string>, nums array<double>")
+    class Parser:
+        def eval(self, text: str):
+            if text is not None:
+                yield from rows(text)
+
+    return Parser
 
 
 # typed tables
 
 
+def find(rows: DataFrame, kind: str, name: str) -> DataFrame:
+    """The rows of a construct by kind and name: a cell, a table template, a macro."""
+    return rows.where((F.col("kind") == kind) & (F.col("name") == name))
+
+
 def attr(name: str, kind: str = "string"):
     return F.col("attrs")[name].try_cast(kind).alias(name)
 

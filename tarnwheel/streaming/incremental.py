@@ -7,6 +7,7 @@ checkpoint, so the next drain goes on from there.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ordered import latest
+from ..operators.ordered import asof, latest, with_previous
 from ..session import cut, shared_dir
 from ..sources.catalog import Files
 
@@ -38,6 +39,22 @@ def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "ap
     q.awaitTermination()
 
 
+def paced(df: DataFrame, sink: Callable[[DataFrame, int], None], every: str = "500 milliseconds", checkpoint: str | None = None) -> int:
+    """Runs the stream with a micro-batch at most `every` so often, until all that is there now is done; the number of batches."""
+    seen: list[int] = []
+
+    def counted(batch: DataFrame, number: int) -> None:
+        sink(batch, number)
+        seen.append(number)
+
+    q = df.writeStream.foreachBatch(counted).option("checkpointLocation", checkpoint or folder_of(df.sparkSession, "progress")).trigger(processingTime=every).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return len(seen)
+
+
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives by now, as a table in the shared folder: all batches appended, or in complete mode the last."""
     out = folder_of(df.sparkSession, "stream")
@@ -80,9 +97,9 @@ class Upserts:
         if touched:
             old = [f"{self.folder}/{at[str(k)]}/_bucket={k}" for k in touched if str(k) in at]
             if old:
-                rows = rows.drop("_bucket").unionByName(self.spark.read.schema(self.schema).parquet(*old)).withColumn("_bucket", bucket)
+                rows = self._merged(rows.drop("_bucket"), self.spark.read.schema(self.schema).parquet(*old)).withColumn("_bucket", bucket)
             version = f"{number:012d}-{uuid.uuid4().hex[:8]}"
-            latest(rows, [*self.key, "_bucket"], self.order).repartition(F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.folder}/{version}")
+            self._picked(rows).repartition(F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.folder}/{version}")
             now = {**at, **{str(k): version for k in touched}}
         else:
             now = at
@@ -90,6 +107,12 @@ class Upserts:
         for version in set(at.values()) - set(now.values()):
             self.files.delete(f"{self.folder}/{version}")
 
+    def _merged(self, new: DataFrame, old: DataFrame) -> DataFrame:
+        return new.unionByName(old)
+
+    def _picked(self, rows: DataFrame) -> DataFrame:
+        return latest(rows, [*self.key, "_bucket"], self.order)
+
     def table(self) -> DataFrame:
         _, at = self._state()
         if not at:
@@ -97,6 +120,94 @@ class Upserts:
         return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/{v}/_bucket={k}" for k, v in sorted(at.items())))
 
 
+class _Firsts(Upserts):
+    """The first row per key that came."""
+
+    def _merged(self, new: DataFrame, old: DataFrame) -> DataFrame:
+        return new.join(old.select(*self.key), self.key, "left_anti").unionByName(old)
+
+    def _picked(self, rows: DataFrame) -> DataFrame:
+        return latest(rows, [*self.key, "_bucket"], [c for c in rows.columns if c not in (*self.key, "_bucket")], first=True)
+
+
+class MetricsSink:
+    """A sink with three kinds of writing: newest row per key, first row per key, and every row; one folder each, by batch.
+
+    sink(kind)(batch, number) is what a stream's foreachBatch calls; a batch that comes again changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, folder or folder_of(spark, "metrics")
+
+    def upsert(self, name: str, schema, key: list[str], order: list[str]) -> Upserts:
+        return Upserts(self.spark, schema, key, order, f"{self.folder}/{name}")
+
+    def ignore(self, name: str, schema, key: list[str]) -> Upserts:
+        """Rows whose key is there already are ignored; of those that come together the smallest counts."""
+        return _Firsts(self.spark, schema, key, [], f"{self.folder}/{name}")
+
+    def append(self, name: str) -> Callable[[DataFrame, int], None]:
+        return lambda batch, number: batch.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={number}")
+
+    def appended(self, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").drop("batch")
+
+
+class Arrivals:
+    """Which tasks are ready, as objects come and go: a task is ready when all its inputs are there, and not ready again when one is removed.
+
+    inputs: (task, object), one row each. A batch has object, present and a time; each object's last state counts. Only the
+    tasks of objects in the batch are looked at; newly() gives those that changed, with the batch.
+    """
+
+    STATE = "object string, at bigint, present boolean"
+
+    def __init__(self, spark: SparkSession, inputs: DataFrame, folder: str | None = None):
+        self.spark, self.inputs = spark, inputs
+        self.folder = folder or folder_of(spark, "arrivals")
+        self.objects = Upserts(spark, self.STATE, ["object"], ["at", "present"], f"{self.folder}/objects")
+        self.tasks = Upserts(spark, "task bigint, batch bigint, n_inputs bigint, n_missing bigint, ready boolean", ["task"], ["batch"], f"{self.folder}/tasks")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        self.objects(batch.select("object", "at", "present"), number)
+        there = self.objects.table().where("present").select("object", F.lit(True).alias("_there"))
+        touched = self.inputs.join(batch.select("object").distinct(), "object", "left_semi").select("task").distinct()
+        if number == 0:  # tasks whose inputs no batch names are counted once
+            touched = self.inputs.select("task").distinct()
+        j = self.inputs.join(touched, "task", "left_semi").join(there, "object", "left")
+        now = j.groupBy("task").agg(F.lit(number).cast("bigint").alias("batch"), F.count(F.lit(1)).alias("n_inputs"), F.count_if(F.col("_there").isNull()).alias("n_missing"))
+        self.tasks(now.withColumn("ready", F.col("n_missing") == 0), number)
+
+    def table(self) -> DataFrame:
+        """(task, batch, n_inputs, n_missing, ready): the state, and the batch at which each task was last looked at."""
+        return self.tasks.table()
+
+
+class Waiting:
+    """Waits for objects: `available` as soon as one look finds it so, `never` when it cannot be produced at `confirm` looks in succession."""
+
+    def __init__(self, names: DataFrame, confirm: int = 3):
+        self.confirm = confirm
+        self.state = cut(names.select("name").distinct().select("name", F.lit("wait").alias("verdict"), F.lit(0).alias("times")))
+
+    def look(self, seen: DataFrame) -> int:
+        """seen: (name, verdict: available, wait or never); the number of names that are still waited for."""
+        j = self.state.join(seen.select("name", F.col("verdict").alias("_v")), "name", "left")
+        settled = F.col("verdict") != "wait"
+        times = F.when(settled, F.col("times")).when(F.coalesce("_v", F.lit("never")) == "never", F.col("times") + 1).otherwise(0)
+        verdict = F.when(settled, F.col("verdict")).when(F.col("_v") == "available", "available").when(times >= self.confirm, "never").otherwise("wait")
+        self.state = cut(j.select("name", verdict.alias("verdict"), times.cast("int").alias("times")))
+        return self.state.where("verdict = 'wait'").count()
+
+    def until(self, probe: Callable[[], DataFrame], pause_s: float = 0.5, looks: int = 1000) -> DataFrame:
+        """Looks again and again until all is settled; TimeoutError after so many looks."""
+        for _ in range(looks):
+            if not self.look(probe()):
+                return self.state.select("name", "verdict")
+            time.sleep(pause_s)
+        raise TimeoutError(f"not settled after {looks} looks")
+
+
 def replayed(log: DataFrame, name: str, order: list[str], added: str, committed: str) -> DataFrame:
     """What a log of additions and removals leaves: the last committed record of each name, if it is an addition."""
     return latest(log.where(committed), [name], [*order, added]).where(added)
@@ -144,7 +255,8 @@ def decayed_stream(df: DataFrame, key: str, time_s: str, value: str, decay: floa
 def throttled(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
     """The first row of each key, and then each that comes at least `gap` after the last one kept.
 
-    What is kept depends on all before it, so a key goes through one task, with its times in order.
+    A row at least `gap` after the row before it is always kept, whatever was kept before, so each run of closer rows is
+    thinned by itself: a key's rows are spread over its runs.
     """
 
     def run(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
@@ -156,8 +268,11 @@ def throttled(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
         return pd.DataFrame({"k": k[0], "t": keep})
 
     kind = dict(df.dtypes)
-    d = df.select(F.col(key).alias("k"), F.col(time).alias("t")).where("t is not null").distinct()
-    return d.groupBy("k").applyInPandas(run, f"k {kind[key]}, t {kind[time]}").withColumnRenamed("k", key).withColumnRenamed("t", time)
+    d = df.select(F.col(key).alias("k"), F.col(time).alias("t")).where("k is not null and t is not null").distinct()
+    d = cut(with_previous(d, "k", "t", ["t"]))
+    starts = d.where(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") >= gap)).select("k", F.col("t").alias("s"))
+    runs = asof(d.select("k", "t"), starts, "k", "t", "s", ["s"])
+    return runs.groupBy("k", "asof_s").applyInPandas(run, f"k {kind[key]}, t {kind[time]}").withColumnRenamed("k", key).withColumnRenamed("t", time)
 
 
 def tumbling(df: DataFrame, time: str, size: str, keys: list[str], slide: str | None = None, late: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tarnwheel.operators import solver as V
 from tarnwheel.sources import formats as X
+from tarnwheel.sources import ranges as G
 from tarnwheel.sources.catalog import Catalog, FrozenError, provenance
 from tarnwheel.streaming import incremental as N
 
@@ -134,6 +135,35 @@ def test_chunked_is_whole(spark, form, text):
     assert parts.count() > 1 and pick(X.parse(parts, form)) == pick(whole)
 
 
+@pytest.mark.parametrize("form", ["twf", "liberty", "lef", "def"])
+@pytest.mark.parametrize("chunk", [300, 2_000, 1 << 20])
+def test_byte_ranges_are_whole_files(spark, tmp_path, form, chunk):
+    n = 60
+    text = {
+        "twf": '(TIMING_WINDOWS\n(HEADER (TIME_SCALE 1e-9))\n(WAVEFORM "k1" 4 (POSEDGE 0) (NEGEDGE 2))\n' + "".join(f'(CAUSED_BY "k{i % 2}" RISE\n(NET "n{i}" {i}:{i + 3} * * * * * * *)\n(NET "m{i}" 1:2)\n)\n' for i in range(n)) + ")\n",
+        "liberty": 'library (mill) {\n lu_table_template (t) { index_1 ("0, 1"); }\n' + "".join(f' cell (c{i}) {{ area : {i}.5; pin (A) {{ direction : input; }} }}\n' for i in range(n)) + "}\n",
+        "lef": "VERSION 5.8 ;\nLAYER M2\n TYPE ROUTING ;\n WIDTH 0.1 ;\nEND M2\n" + "".join(f"MACRO W{i}\n CLASS CORE ;\n SIZE {i}.0 BY 2.0 ;\nEND W{i}\n" for i in range(n)) + "END LIBRARY\n",
+        "def": "VERSION 5.8 ;\nDESIGN quay ;\nUNITS DISTANCE MICRONS 1000 ;\nCOMPONENTS 60 ;\n" + "".join(f" - u{i} W{i} + PLACED ( {i} 7 ) N ;\n" for i in range(n)) + "END COMPONENTS\nNETS 60 ;\n" + "".join(f" - n{i} ( u{i} A )\n   ( u{i + 1} B ) + USE SIGNAL ;\n" for i in range(n)) + "END NETS\nEND DESIGN\n",
+    }[form]
+    paths = []
+    for k in range(2):
+        (tmp_path / f"f{k}").write_text(text if k else text.replace("n7", "other7"))
+        paths.append(f"file://{tmp_path}/f{k}")
+    pick = lambda r: sorted(map(str, (tuple(x.asDict().items()) for x in r.drop("chunk").collect())))
+    whole = X.parse(spark.createDataFrame([(p, (tmp_path / p[-2:]).read_text()) for p in paths], "file string, text string"), form)
+    plan = G.plan(spark, paths, form, chunk)
+    assert pick(G.read_ranges(spark, paths, form, chunk)) == pick(whole)
+    longest = plan.agg(F.max(F.col("stop") - F.col("start"))).first()[0]
+    assert plan.count() > 20 and longest < 1300 if chunk == 300 else True
+
+
+def test_a_table_function_parses_texts(spark):
+    texts(spark, TWF, None).createOrReplaceTempView("made_texts")
+    spark.udtf.register("parse_twf", X.parser("twf"))
+    got = spark.sql("select t.file, p.kind, p.name from made_texts t, lateral parse_twf(t.text) p where p.kind = 'entry'")
+    assert rows(got, "name") == [("heron/q7",), ("otter",), ("reed",), ("wide/bank",)]
+
+
 def test_wrong_type_of_file(spark):
     with pytest.raises(ValueError, match="does not look like"):
         X.sniff(LEF, "liberty", "x.lef")
@@ -143,7 +173,7 @@ def test_wrong_type_of_file(spark):
 
 def test_read_from_disk(spark, tmp_path):
     (tmp_path / "a.lib").write_text(LIB)
-    assert X.cells(X.read(spark, str(tmp_path / "a.lib"), "liberty", 10)).count() == 2
+    assert X.cells(G.read_ranges(spark, [f"file://{tmp_path}/a.lib"], "liberty", 10)).count() == 2
 
 
 def test_blocks_and_bounds():
