@@ -297,10 +297,9 @@ def _profiles(metrics: list[str]):
     return run
 
 
-def _daily_levels(t: DataFrame, metrics: list[str]) -> DataFrame | None:
-    """(source, bucket, level_...) for the sources seen on at least DAYS days; None where there are none."""
-    days = t.select("source", F.expr(f"bucket div {SLOTS}").alias("day")).distinct().groupBy("source").agg(F.count(F.lit(1)).alias("days"))
-    lasting = cut(days.where(F.col("days") >= DAYS).select("source", "days"))
+def _daily_levels(t: DataFrame, counts: DataFrame, metrics: list[str]) -> DataFrame | None:
+    """(source, bucket, level_...) for the sources seen on at least DAYS days, by the counts of their half hours; None where there are none."""
+    lasting = counts.groupBy("source").agg(F.count_distinct(F.expr(f"bucket div {SLOTS}")).alias("days")).where(F.col("days") >= DAYS)
     rows = lasting.agg(F.sum("days")).first()[0]
     if not rows:
         return None
@@ -326,13 +325,12 @@ def wrong_readings(df: DataFrame, source: str, time_ms: str, impossible: Mapping
         *(F.col(m).cast("bigint").alias(m) for m in metrics), *(c.alias("bad_" + m) for m, c in impossible.items()),
     ).where("source is not null and time_ms is not null").withColumn("bucket", F.floor(F.col("time_ms") / BUCKET_MS))
     w = Window.partitionBy("source")
-    counts = t.select("source", "bucket", "time_ms").distinct().groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(t.select("source", "bucket", "time_ms").distinct().groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    rows = counts.agg(F.sum("n")).first()[0] or 0
     ranks = counts.withColumn("r0", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("total", F.sum("n").over(w))
-    levels = _daily_levels(t, metrics)
+    levels = _daily_levels(t, counts, metrics)
     if levels is not None:
         ranks = ranks.join(levels, ["source", "bucket"], "left")
-    ranks = cut(ranks)
-    rows = ranks.agg(F.sum("n")).first()[0] or 0
     inside = F.dense_rank().over(Window.partitionBy("source", "bucket").orderBy("time_ms"))
     joined = t.withColumn("rank", inside.cast("bigint") - 1).join(ranks.drop("n"), ["source", "bucket"]).withColumn("rank", F.col("rank") + F.col("r0")).drop("r0", "bucket")
     near = f"least((rank {{}}) div {CHUNK}, greatest((2 * total + {CHUNK}) div {2 * CHUNK}, 1) - 1)"
