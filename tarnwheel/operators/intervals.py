@@ -137,26 +137,26 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, max_gap_m
     """
     t = df.select(F.col(entity).cast("bigint").alias("entity"), F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
     t = t.where("entity is not null and s >= 0 and e > s")
-    periods, gaps = _united(t)
+    longest = t.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 0
+    periods, gaps = _united(t, longest)
     res = periods.select("entity", F.lit("period").alias("kind"), "start_ms", "end_ms").unionByName(gaps.select("entity", F.lit("gap").alias("kind"), "start_ms", "end_ms"))
     if max_gap_ms is not None:
         res = res.where((F.col("kind") != "gap") | (F.col("end_ms") - F.col("start_ms") <= max_gap_ms))
     return res.withColumnRenamed("entity", entity)
 
 
-def _united(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(periods, gaps), each (entity, start_ms, end_ms), of intervals (entity, s, e)."""
+def _united(t: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """(periods, gaps), each (entity, start_ms, end_ms), of intervals (entity, s, e) that are no longer than `longest`."""
     bits = t.mapInArrow(_bitmaps, "entity bigint, shard bigint, bits binary")
     runs = (
         bits.repartition("entity", "shard").sortWithinPartitions("entity", "shard")
         .mapInArrow(_runs, "entity bigint, shard bigint, kind string, start_ms bigint, end_ms bigint")
     )
     inside, edges = runs.where("kind <> 'edge'"), runs.where("kind = 'edge'").select("entity", "shard", "start_ms", "end_ms", F.lit(None).cast("bigint").alias("filled"))
-    # Only intervals at least as long as a shard can fill one.
-    above = (t.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 0) >= 1 << SHARD_BITS
+    above = longest >= 1 << SHARD_BITS  # no shorter interval fills a shard
     if above:
         first, last = F.shiftright(F.col("s") - 1, SHARD_BITS) + 1, F.shiftright("e", SHARD_BITS)
-        whole, _ = _united(t.select("entity", first.alias("s"), last.alias("e")).where("s < e"))
+        whole, _ = _united(t.select("entity", first.alias("s"), last.alias("e")).where("s < e"), longest >> SHARD_BITS)
         up = lambda c: F.shiftleft(c, SHARD_BITS)
         edges = edges.unionByName(whole.select("entity", F.lit(None).cast("bigint").alias("shard"), up("start_ms").alias("start_ms"), up("end_ms").alias("end_ms"), F.col("end_ms").alias("filled")))
     w = Window.partitionBy("entity").orderBy("start_ms", F.desc("end_ms"))
