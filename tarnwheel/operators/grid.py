@@ -21,9 +21,10 @@ SOURCES_PER_BLOCK = 64
 SERIES = "source bigint, slot_ms bigint, state string, value double, n_slots bigint, gap_ms bigint"
 
 
-def als(x: np.ndarray, seen: np.ndarray, rank: int = 2, rounds: int = 6, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def als(x: np.ndarray, seen: np.ndarray, rank: int = 2, rounds: int = 20, ridge: float = 1.0, still: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Factors (u, v) with x close to u @ v.T on the seen cells, by alternating ridge regressions.
 
+    It ends when a round lowers the ridge objective by less than the share `still`, at the latest after `rounds`.
     Deterministic: v starts from cosines. Rows or columns without seen cells get zeros.
     """
     m, n = x.shape
@@ -36,10 +37,14 @@ def als(x: np.ndarray, seen: np.ndarray, rank: int = 2, rounds: int = 6, ridge:
         gram = (w @ outer).reshape(-1, rank, rank) + eye
         return np.linalg.solve(gram, (y @ f)[:, :, None])[:, :, 0]
 
-    u = np.zeros((m, rank))
+    u, was = np.zeros((m, rank)), np.inf
     for _ in range(rounds):
         u = solve(v, w, y)
         v = solve(u, w.T, y.T)
+        now = float((w * (y - u @ v.T) ** 2).sum() + ridge * ((u * u).sum() + (v * v).sum()))
+        if was - now <= still * now:
+            break
+        was = now
     return u, v
 
 

@@ -6,28 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut
-from .ordered import dense_ids
+from .ordered import dense_ids, running_sums
 from .spatial import compose
 
-#: Ids of a block in which running sums are made, as a power of two.
-SUM_BITS = 16
-
-
-def running_sums(df: DataFrame, order: str, columns: list[str], bits: int = SUM_BITS) -> DataFrame:
-    """df with <column>_before: the sum of a column over all rows before, in order of a dense id from 0.
-
-    Sums are made inside blocks of ids; only one row a block goes through a window over all.
-    """
-    d = df.withColumn("_b", F.shiftright(order, bits))
-    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = d.groupBy("_b").agg(*(F.sum(c).alias(f"_t{i}") for i, c in enumerate(columns)))
-    ahead = totals.select("_b", *(F.coalesce(F.sum(f"_t{i}").over(w), F.lit(0)).alias(f"_a{i}") for i in range(len(columns))))
-    sums = [(F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in columns]
-    d = d.select("*", *sums).join(ahead, "_b")
-    return d.select(*df.columns, *((F.col(f"{c}_before") + F.col(f"_a{i}")).alias(f"{c}_before") for i, c in enumerate(columns)))
-
-
 def build_tree(blocks: DataFrame, instances: DataFrame) -> DataFrame:
     """Nodes of the instance tree, one for each way to reach a definition from the root.
 

@@ -87,9 +87,7 @@ def carried(df: DataFrame, key: str, time_ms: str, columns: list[str], bucket_ms
     No value before a key's first sample. Work grows with the cells that come out.
     """
     b = bucketed(df, key, time_ms, columns, bucket_ms)
-    ticks = b.select("bucket").distinct()
-    order = Window.orderBy("bucket")  # the buckets that occur, once each
-    n = ticks.withColumn("no", F.row_number().over(order))
+    n = cut(dense_ids(b.select("bucket").distinct(), ["bucket"], "no", 1).withColumn("no", F.col("no").cast("int")))
     runs = b.join(n, "bucket")
     last = n.agg(F.max("no").alias("_z"))
     runs = runs.withColumn("_n", F.lead("no").over(Window.partitionBy(key).orderBy("no"))).crossJoin(one_row(last))
@@ -116,7 +114,7 @@ def totals_at_ticks(df: DataFrame, key: str, time_ms: str, value: str, tick_ms:
     d = latest(d, ["k", "tick"], ["t", "off", "v"])
     grown = d.withColumn("dv", F.col("v") - F.coalesce(F.lag("v").over(Window.partitionBy("k").orderBy("tick")), F.lit(0)))
     per = grown.groupBy("tick").agg(F.sum("dv").alias("dv"))
-    return per.select((F.col("tick") * tick_ms).alias("tick"), F.sum("dv").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    return running_sums(per, "tick", ["dv"]).select((F.col("tick") * tick_ms).alias("tick"), (F.col("dv_before") + F.col("dv")).alias("total"))
 
 
 def window_stats(df: DataFrame, time: str, value: str, lo: Column, hi: Column) -> list[Column]:
@@ -137,10 +135,16 @@ def phases(df: DataFrame, time: str, value: str, n: int = 10) -> DataFrame:
     return p.join(per, "phase", "left").select("phase", "lo", "hi", "avg", "peak")
 
 
-def quota(df: DataFrame, key: str, order: list[str], limit: Column) -> DataFrame:
-    """The first `limit` rows of each key in order; a limit below 0 keeps all."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).withColumn("_l", limit).where("_l < 0 or _n <= _l").drop("_n", "_l")
+def quota(df: DataFrame, key: str, order: list[str], limit: Column, salts: int = 16) -> DataFrame:
+    """The first `limit` rows of each key in order; a limit below 0 keeps all, a null limit none.
+
+    Rows without a limit are not put in order. The others are thinned in `salts` parts of each key first, so a hot key is spread.
+    """
+    d = df.withColumn("_l", limit)
+    first = d.where("_l >= 0").withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    for by in ([key, "_s"], [key]):
+        first = first.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n <= _l")
+    return d.where("_l < 0").select(*df.columns).unionByName(first.select(*df.columns))
 
 
 def decayed(df: DataFrame, key: str, time_s: str, columns: list[str], decay: float, shard_s: int = 3600) -> DataFrame:
@@ -182,6 +186,25 @@ def running_before(df: DataFrame, order: list[str], value: str, partition: list[
     return df.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
+#: Numbers of a block in which running sums are made, as a power of two.
+SUM_BITS = 16
+
+
+def running_sums(df: DataFrame, order: str, columns: list[str], bits: int = SUM_BITS) -> DataFrame:
+    """df with <column>_before: the sum of a column over all rows before, in order of a whole number.
+
+    Sums are made inside blocks of 2**bits successive numbers; only one row a block goes through a window over all.
+    """
+    d = df.withColumn("_b", F.shiftright(order, bits))
+    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy("_b").agg(*(F.sum(c).alias(f"_t{i}") for i, c in enumerate(columns)))
+    ahead = totals.select("_b", *(F.coalesce(F.sum(f"_t{i}").over(w), F.lit(0)).alias(f"_a{i}") for i in range(len(columns))))
+    sums = [(F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in columns]
+    d = d.select("*", *sums).join(ahead, "_b")
+    return d.select(*df.columns, *((F.col(f"{c}_before") + F.col(f"_a{i}")).alias(f"{c}_before") for i, c in enumerate(columns)))
+
+
 def dense_ids(df: DataFrame, order: list[str], name: str, start: int = 0, shards: int | None = None) -> DataFrame:
     """df with consecutive ids in order, from start.
 

@@ -248,20 +248,36 @@ def copies_of(df: DataFrame, rect: Sequence[str], parts: Sequence[tuple]) -> Dat
 def overlap_join(left: DataFrame, right: DataFrame, lrect: Sequence[str], rrect: Sequence[str], cell: int) -> DataFrame:
     """Pairs of rows whose rectangles overlap, each once; column names of the two sides must differ.
 
-    Both sides go to the grid cells they touch and meet by an equi join on the cell. A pair that shares several cells
-    is kept in the one with the low corner of the overlap. Empty rectangles overlap nothing.
+    A rectangle belongs to the level whose cells (of cell * 2**level) are at least as long as its longer side, so it touches
+    four cells of it at most, whatever its size. Two rectangles meet in the cells of the higher one's level: each side goes to
+    its own level and to the higher ones that the other side uses. A pair that shares several cells is kept in the one with
+    the low corner of the overlap. Empty rectangles overlap nothing.
     """
-    def touched(df: DataFrame, rect: Sequence[str], a: str, b: str) -> DataFrame:
-        c = [F.col(r).cast("bigint") for r in rect]
-        d = df.where((c[0] < c[2]) & (c[1] < c[3]))
-        d = d.withColumn(a, F.explode(F.sequence(floor_div(c[0], cell), floor_div(c[2] - 1, cell))))
-        return d.withColumn(b, F.explode(F.sequence(floor_div(c[1], cell), floor_div(c[3] - 1, cell))))
 
-    l, r = touched(left, lrect, "_cx", "_cy"), touched(right, rrect, "_cx", "_cy")
-    j = l.join(r, ["_cx", "_cy"])
+    def levelled(df: DataFrame, rect: Sequence[str], name: str) -> DataFrame:
+        c = [F.col(r).cast("bigint") for r in rect]
+        side = F.greatest(c[2] - c[0], c[3] - c[1])
+        level = F.greatest(F.lit(0), F.ceil(F.log2(side / cell)))  # one too low or too high by rounding does no harm
+        return df.where((c[0] < c[2]) & (c[1] < c[3])).withColumn(name, level.cast("int"))
+
+    l, r = levelled(left, lrect, "_ll"), levelled(right, rrect, "_rl")
+    used = [sorted(x[0] for x in d.select(n).distinct().collect()) for d, n in ((l, "_ll"), (r, "_rl"))]  # 63 at most
+
+    def touched(df: DataFrame, rect: Sequence[str], name: str, other: list[int]) -> DataFrame:
+        c = [F.col(x).cast("bigint") for x in rect]
+        above = F.filter(F.lit(other).cast("array<int>"), lambda k: k > F.col(name)) if other else F.array().cast("array<int>")
+        d = df.withColumn("_k", F.explode(F.array_union(F.array(name), above)))
+        size = F.lit(cell) * F.expr("shiftleft(1L, _k)")
+        at = lambda v: F.call_function("div", v - F.pmod(v, size), size)
+        d = d.withColumn("_cx", F.explode(F.sequence(at(c[0]), at(c[2] - 1))))
+        return d.withColumn("_cy", F.explode(F.sequence(at(c[1]), at(c[3] - 1))))
+
+    j = touched(l, lrect, "_ll", used[1]).join(touched(r, rrect, "_rl", used[0]), ["_k", "_cx", "_cy"]).where(F.col("_k") == F.greatest("_ll", "_rl"))
     a, b = [F.col(c).cast("bigint") for c in lrect], [F.col(c).cast("bigint") for c in rrect]
-    own = (floor_div(F.greatest(a[0], b[0]), cell) == F.col("_cx")) & (floor_div(F.greatest(a[1], b[1]), cell) == F.col("_cy"))
-    return j.where(overlaps(a, b) & own).drop("_cx", "_cy")
+    size = F.lit(cell) * F.expr("shiftleft(1L, _k)")
+    low = lambda x, y: F.call_function("div", F.greatest(x, y) - F.pmod(F.greatest(x, y), size), size)
+    own = (low(a[0], b[0]) == F.col("_cx")) & (low(a[1], b[1]) == F.col("_cy"))
+    return j.where(overlaps(a, b) & own).drop("_k", "_cx", "_cy", "_ll", "_rl")
 
 
 # partition decision: on the marginals of a grid, which the driver holds

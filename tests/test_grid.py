@@ -74,3 +74,16 @@ def test_slots_that_no_source_observes_are_marked(spark):
     got = {(r[0], r[1] // M): r[2:] for r in rows(series(spark, data), "w", "slot_ms", "state", "value") if r[2] != "observed"}
     assert {k: s for k, (s, _) in got.items()} == {(1, 30): "filled"} | {(w, i): "marked" for w in (1, 2) for i in (20, 21, 22)}
     assert all((v is None) == (s == "marked") for s, v in got.values())
+
+
+def test_als_goes_on_until_its_objective_is_still():
+    rng = np.random.default_rng(2)
+    u, v = rng.normal(1, 1, (30, 2)), rng.normal(1, 1, (200, 2))
+    x = u @ v.T + rng.normal(0, 0.05, (30, 200))
+    seen = rng.random(x.shape) < 0.6
+    a, b = G.als(x, seen)
+    held = ~seen
+    assert np.sqrt(((x - a @ b.T)[held] ** 2).mean()) < 0.2 * np.sqrt(((x - x[seen].mean())[held] ** 2).mean())
+    one, more = (G.als(x, seen, rounds=k, still=0.0) for k in (1, 40))
+    gap = lambda f: ((x - f[0] @ f[1].T)[seen] ** 2).sum()
+    assert gap((a, b)) < gap(one) and gap((a, b)) < 1.2 * gap(more)

@@ -122,3 +122,14 @@ def test_five_thousand_partitions(spark):
     df = spark.range(2000).select((F.col("id") * 7 % 1010).alias("x"), (F.col("id") * 13 % 505).alias("y"))
     got = [(t["x"], t["y"], t["core"], t["primary"], list(t["copies"])) for t in G.assign_points(df, "x", "y", parts).collect()]
     assert sorted(got[:40], key=str) == brute_points([(g[0], g[1]) for g in got[:40]], parts) and len(got) == 2000
+
+
+def test_rectangles_of_all_sizes_overlap_as_in_a_full_comparison(spark):
+    rnd = random.Random(11)
+    make = lambda n: [(i, x := rnd.randrange(-5000, 5000), y := rnd.randrange(-5000, 5000), x + rnd.choice([0, 1, 7, 300, 9000]), y + rnd.choice([1, 5, 64, 2000])) for i in range(n)]
+    a, b = make(150), [*make(120), (999, -(2**40), -(2**40), 2**40, 2**40)]
+    l = spark.createDataFrame(a, "i int, xl bigint, yl bigint, xh bigint, yh bigint")
+    r = spark.createDataFrame(b, "j int, uxl bigint, uyl bigint, uxh bigint, uyh bigint")
+    want = sorted((p[0], q[0]) for p in a for q in b if p[1] < p[3] and max(p[1], q[1]) < min(p[3], q[3]) and q[1] < q[3] and max(p[2], q[2]) < min(p[4], q[4]))
+    assert rows(G.overlap_join(l, r, ("xl", "yl", "xh", "yh"), ("uxl", "uyl", "uxh", "uyh"), 64), "i", "j") == want
+    assert G.overlap_join(l.limit(0), r, ("xl", "yl", "xh", "yh"), ("uxl", "uyl", "uxh", "uyh"), 64).count() == 0
