@@ -13,10 +13,12 @@ marks are taken out; of these training has seen real ones (headings, texts cut s
 from __future__ import annotations
 
 import re
+import sys
+import types
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -60,9 +62,15 @@ def class_of(c: str) -> int:
     return DASH if kind == "Pd" else OTHER
 
 
-@cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class and lower case of each character of the basic plane."""
+    """Class and lower case of each character of the basic plane; made once in a process."""
+    kept = sys.modules.setdefault("_sentence_tables", types.ModuleType("_sentence_tables")).__dict__
+    if "tables" not in kept:
+        kept["tables"] = _made_tables()
+    return kept["tables"]
+
+
+def _made_tables() -> tuple[np.ndarray, np.ndarray]:
     low = np.arange(0x10000, dtype=np.uint32)
     cls = np.full(0x10000, OTHER, np.uint8)
     for o in range(0x10000):

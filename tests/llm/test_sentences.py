@@ -1,9 +1,14 @@
 import itertools
+import os
 import random
+import subprocess
+import sys
 import time
+from functools import partial
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from tarnwheel.llm import sentence_rules as R
 from tarnwheel.llm import sentence_training as T
@@ -137,3 +142,10 @@ def test_clauses_are_passed_once():
     MODEL.spans(p)
     R.candidates(p)
     assert time.process_time() - began < 10
+
+
+def test_the_function_travels_without_the_package(tmp_path):
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(partial(S._split, MODEL)))
+    code = "import pickle, pyarrow as pa; f = pickle.load(open('f', 'rb')); print([b.num_rows for b in f(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(['He came. She left.'])], names=['k', 't'])]))])"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert out.stdout.strip() == "[2]", out.stderr
