@@ -25,7 +25,7 @@ SAID = frozenset(
     "said asked replied answered wrote sagte fragte antwortete meinte dijo preguntó respondió dit demanda répondit "
     "сказал сказала спросил спросила ответил ответила قال قالت سأل سألت أجاب أجابت".split()
 )
-SAID_AT_END = re.compile(r"(?:说|问|道|答|说道|问道|ने कहा|ने पूछा|said|asked|replied|ถาม|พูด)\s*$")
+SAID_AT_END = re.compile(r"(?:说|问|道|答|说道|问道|ने\s+कहा|ने\s+पूछा|said|asked|replied|ถาม|พูด)\s*$")
 SPEECH_WORDS = frozenset("ने कहा पूछा".split())
 CONJUNCTIONS = frozenset("and or und oder y o et ou и или и/или & sowie".split())
 ORDINAL_BEFORE = frozenset("am vom zum der den dem des im beim ab bis seit".split())
@@ -174,7 +174,8 @@ def candidates(p: str, cut_short: bool = False) -> list[tuple[int, tuple]]:
         if any(c in STRONG for c in mark):
             kind, prev = "strong", ""
         elif len(mark) > 1 or mark == "…":
-            kind, prev = "dots", "cjk" if _kind(_ahead(p, a)) == "cjk" else ""
+            ended = mark[0] == "…" and mark[-1] in ".．"  # dots of omission with an end mark behind them
+            kind, prev = "dots", "cjk" if _kind(_ahead(p, a)) == "cjk" and not ended else ""
         else:
             kind, prev = "dot", _before(p, a)
             if prev == "num" and gap != "none":
@@ -205,7 +206,7 @@ def rule(f: tuple) -> int:
     if prev in ("title", "lead", "letter", "ordinal"):
         return 0
     if prev == "may_end":
-        return int(gap != "none" and (nxt in ("upper", "open", "nocase", "cjk", "thai") or (nxt == "lower" and extra == "small")))
+        return int(nxt == "upper" if gap == "none" else nxt in ("upper", "open", "nocase", "cjk", "thai") or (nxt == "lower" and extra == "small"))
     if nxt == "lower":
         return int(gap != "none" and extra != "and")
     if nxt == "digit":

@@ -165,13 +165,14 @@ def scrambled(p: str, rnd: random.Random) -> str:
 
 
 def stretch(p: str, rnd: random.Random) -> str:
-    """Some successive sentences of a paragraph; now and then the first letters are small or the blanks between are gone."""
+    """Some successive sentences of a paragraph; now and then first letters are small, the blanks between are gone, or lines are broken."""
     cuts = [0, *R.boundaries(p), len(p)]
     a = rnd.randrange(len(cuts) - 1)
     parts = [p[x:z].strip() for x, z in zip(cuts[a:], cuts[a + 1 : a + 1 + rnd.randrange(1, 5)])]
     if rnd.random() < 0.3:
         parts = [s[:1].lower() + s[1:] if rnd.random() < 0.5 else s for s in parts]
-    return ("" if rnd.random() < 0.1 else " ").join(parts)
+    q = ("" if rnd.random() < 0.1 else " ").join(parts)
+    return re.sub(r"(?<!\n) (?!\n)", lambda m: "\n" if rnd.random() < 0.15 else " ", q) if rnd.random() < 0.3 else q
 
 
 def scrambles(real: list[Labelled], copies: int = 2, seed: int = 2) -> list[Labelled]:
