@@ -13,6 +13,7 @@ from ..operators import hierarchy as H
 from ..operators import ordered as O
 from ..operators import spatial as G
 from ..session import broadcast_if_small, cut, one_row, table
+from ..sources.catalog import stored
 from .base import Register
 
 R = Register()
@@ -73,6 +74,11 @@ def nets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of a folder's tables, built once."""
+    return stored(spark, "tree", [f"{d}/{t}.parquet" for t in ("region", "nation", "customer")], lambda: built_tree(spark, d))
+
+
+def built_tree(spark: SparkSession, d: str) -> DataFrame:
     i = instances(spark, d)
     b = i.groupBy("block").agg(F.count(F.lit(1)).alias("n_instances")).join(nets(spark, d).groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block", "left")
     b = b.select("block", "n_instances", F.coalesce("n", F.lit(0)).alias("n_nets"), (F.col("n_instances") % 3).alias("n_vias"))
@@ -81,7 +87,7 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 
 @R("gh01_tree", DESIGN + "select node_id, parent_id, depth, block, name, path from tree")
 def _(spark, d):
-    return tree(spark, d).select("node_id", "parent_id", "depth", "block", "name", "path")
+    return built_tree(spark, d).select("node_id", "parent_id", "depth", "block", "name", "path")
 
 
 @R("gh02_transforms", DESIGN + "select node_id, dx, dy, orient from tree")

@@ -14,12 +14,14 @@ import json
 import time
 import uuid
 from collections import deque
+from collections.abc import Callable
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.schema import check_name
+from ..session import shared_dir
 
 
 class FrozenError(RuntimeError):
@@ -68,10 +70,31 @@ class Files:
     def names(self, p: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(p))) if self.exists(p) else []
 
+    def fingerprint(self, *paths: str) -> str:
+        """12 hexadecimal digits that change with the names, sizes and times of the files at the paths."""
+        seen = []
+        for p in paths:
+            for s in self._fs.listStatus(self._path(p)):
+                seen.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+        return provenance(*sorted(seen))
+
     def size(self, p: str) -> int:
         return int(self._fs.getContentSummary(self._path(p)).getLength())
 
 
+def stored(spark: SparkSession, name: str, paths: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written once to the shared folder for the files at the paths as they are now, and read from there afterwards."""
+    root = f"{shared_dir(spark)}/stored"
+    mark = f"{root}/{name}-{Files(spark, paths[0]).fingerprint(*paths)}.json"
+    files = Files(spark, root)
+    if not files.exists(mark):
+        folder = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+        make().write.parquet(folder)
+        if not files.create(mark, json.dumps(folder)):
+            files.delete(folder)
+    return spark.read.parquet(json.loads(files.read(mark)))
+
+
 def provenance(*parts: Any) -> str:
     """12 hexadecimal digits that stand for the code and inputs a dataset was made from."""
     return hashlib.sha256("\0".join(map(str, parts)).encode()).hexdigest()[:12]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tarnwheel.operators import solver as V
 from tarnwheel.sources import formats as X
 from tarnwheel.sources import ranges as G
-from tarnwheel.sources.catalog import Catalog, FrozenError, provenance
+from tarnwheel.sources.catalog import Catalog, FrozenError, provenance, stored
 from tarnwheel.streaming import incremental as N
 
 from .conftest import rows
@@ -343,3 +343,12 @@ def test_two_writers_at_once(spark, tmp_path):
     assert b.names() == ["w", "x", "y", "z"] and b.frozen
     with pytest.raises(ValueError):
         c.create("e").set_var("n", 1) or c.open("e").set_var("n", 2)
+
+
+def test_what_is_stored_is_made_once_for_each_state_of_its_files(spark, tmp_path):
+    src, made = f"file://{tmp_path}/t", []
+    make = lambda: made.append(1) or spark.read.parquet(src).where("id > 1")
+    spark.range(5).write.parquet(src)
+    assert [stored(spark, "x", [src], make).count() for _ in range(2)] == [3, 3] and len(made) == 1
+    spark.range(9).write.mode("append").parquet(src)
+    assert stored(spark, "x", [src], make).count() == 10 and len(made) == 2
