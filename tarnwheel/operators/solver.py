@@ -310,11 +310,42 @@ def _setup(folder: str):
         }
         _write(f"{folder}/block-{sd}", state)
         owners = np.unique(owner)
-        return pa.table([pa.array(np.full(len(owners), sd, np.int32)), pa.array(owners.astype(np.int32)), pa.array([ids[owner == k].astype("<i8").tobytes() for k in owners], pa.binary())], names=["to", "frm", "ids"])
+        part = _coarse_part(state)
+        return pa.table(
+            [pa.array(np.full(len(owners), sd, np.int32)), pa.array(owners.astype(np.int32)), pa.array([ids[owner == k].astype("<i8").tobytes() for k in owners], pa.binary()), pa.array([part if k == sd else None for k in owners], pa.binary())],
+            names=["to", "frm", "ids", "coarse"],
+        )
 
     return run
 
 
+def _coarse_part(state: dict) -> bytes:
+    """What a block's own rows give to the coarse matrix: entries (i, j, v), summed."""
+    i, j, v = state["p"]
+    if not len(i):
+        return b""
+    order = np.argsort(i, kind="stable")
+    i, j, v = i[order], j[order], v[order]
+    r, c, a = state["row"]
+    r = state["at"][r]
+    cuts = np.searchsorted(i, np.arange(len(state["ids"]) + 1))
+    width = np.diff(cuts)
+
+    def spread(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `of`, place among the entries of P) for each pair of a row in `of` and its entries."""
+        n = width[of]
+        k = np.repeat(np.arange(len(of)), n)
+        return at[k], cuts[of][k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+
+    e, p = spread(r, np.arange(len(r)))  # entry of A, entry of P in its row
+    k, q = spread(c[e], np.arange(len(e)))  # and entry of P in its column
+    e, p = e[k], p[k]
+    top = int(j.max()) + 1
+    code, inv = np.unique(j[p] * top + j[q], return_inverse=True)
+    total = np.bincount(inv, v[p] * a[e] * v[q])
+    return np.stack([(code // top).astype("<f8"), (code % top).astype("<f8"), total]).tobytes()
+
+
 def _senders(folder: str):
     """Writes which of its own values a block sends to whom."""
 
@@ -441,26 +472,23 @@ class Schwarz:
         self.p = None
         if coarse is not None:
             self.p = cut(coarse)
-            self.ac = self._coarse_matrix()
+            m = int(self.p.agg(F.max("j")).first()[0]) + 1
+            if m > MAX_BLOCK:
+                raise ValueError(f"the coarse level has more than {MAX_BLOCK} unknowns")
             near = self.w.select("sd", "i").unionByName(self.ghosts)
             no = F.lit(None).cast("boolean")
             rows = rows.unionByName(self.p.join(near, "i").select("sd", "i", "j", "v", no.alias("own"), no.alias("into"), F.lit(None).cast("int").alias("owner"), F.lit(True).alias("coarse")))
-        self.needs = cut(self._by(rows, "sd").applyInArrow(_setup(self.folder), "to int, frm int, ids binary"))
+        self.needs = cut(self._by(rows, "sd").applyInArrow(_setup(self.folder), "to int, frm int, ids binary, coarse binary"))
+        if coarse is not None:  # each block brings its part; together they are the coarse matrix, of m by m at most
+            self.ac = np.zeros((m, m))
+            for r in self.needs.where("to = frm").select("coarse").toLocalIterator():
+                i, j, v = np.frombuffer(r["coarse"], "<f8").reshape(3, -1)
+                np.add.at(self.ac, (i.astype(int), j.astype(int)), v)
         self._by(self.needs, "frm").applyInArrow(_senders(self.folder), "frm int").count()
 
     def _by(self, df: DataFrame, key: str):
         return df.repartition(self.parts, key).groupBy(key)
 
-    def _coarse_matrix(self) -> np.ndarray:
-        """The coarse matrix, on the driver; its size is looked at before it is brought there."""
-        ac = cut(product(product(transposed(self.p), self.a), self.p))
-        m = int(ac.agg(F.max("i")).first()[0]) + 1
-        if m > MAX_BLOCK:
-            raise ValueError(f"the coarse level has more than {MAX_BLOCK} unknowns")
-        rows, out = ac.toPandas(), np.zeros((m, m))
-        out[rows["i"], rows["j"]] = rows["v"]
-        return out
-
     def _right_hand_side(self, b: DataFrame) -> tuple[str, float]:
         """(name of its files, norm)."""
         name = f"rhs{uuid.uuid4().hex[:8]}"

@@ -378,7 +378,7 @@ def _schwarz(spark: SparkSession, n: int, blocks: int, hops: int, coarse: int, t
 
 @R("sv07_schwarz", f"with {solution(50)} select i, round(v, 3) as v, true as converged from u")
 def _(spark, d):
-    x, _, rel = _schwarz(spark, 50, 4, 5, 15, 1e-9)
+    x, _, rel = _schwarz(spark, 50, 4, 3, 25, 1e-9)
     return x.select("i", F.round("v", 3).alias("v"), F.lit(rel <= 1e-9).alias("converged"))
 
 

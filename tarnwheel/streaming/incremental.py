@@ -33,10 +33,20 @@ def folder_of(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _progress(spark: SparkSession, checkpoint: str | None) -> tuple[str, Callable[[], None]]:
+    """(folder of a stream's progress, what to do when it is done): a folder of our own is deleted."""
+    if checkpoint:
+        return checkpoint, lambda: None
+    own = folder_of(spark, "progress")
+    return own, lambda: Files(spark, own).delete(own) and None
+
+
 def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
-    """Runs the stream over everything there is now; each micro-batch goes to sink(batch, number)."""
-    q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint or folder_of(df.sparkSession, "progress")).trigger(availableNow=True).start()
+    """Runs the stream over everything there is now; each micro-batch goes to sink(batch, number). Without a checkpoint of the caller's the next drain begins anew."""
+    folder, done = _progress(df.sparkSession, checkpoint)
+    q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", folder).trigger(availableNow=True).start()
     q.awaitTermination()
+    done()
 
 
 def paced(df: DataFrame, sink: Callable[[DataFrame, int], None], every: str = "500 milliseconds", checkpoint: str | None = None) -> int:
@@ -47,11 +57,13 @@ def paced(df: DataFrame, sink: Callable[[DataFrame, int], None], every: str = "5
         sink(batch, number)
         seen.append(number)
 
-    q = df.writeStream.foreachBatch(counted).option("checkpointLocation", checkpoint or folder_of(df.sparkSession, "progress")).trigger(processingTime=every).start()
+    folder, done = _progress(df.sparkSession, checkpoint)
+    q = df.writeStream.foreachBatch(counted).option("checkpointLocation", folder).trigger(processingTime=every).start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
+    done()
     return len(seen)
 
 

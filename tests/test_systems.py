@@ -267,6 +267,15 @@ def test_without_convergence_there_is_no_result(spark):
     assert steps == 0 and rel <= 1e-8 and np.allclose([r[1] for r in rows(x, "i", "v")], np.linalg.solve(dense(8), np.ones(64)), atol=1e-6)
 
 
+def test_the_coarse_matrix_is_the_triple_product(spark):
+    a, p = V.poisson(spark, 12), V.bilinear(spark, 12, 4)
+    s = V.Schwarz(a, V.grid_blocks(spark, 12, 4), 1, p)
+    want = np.zeros((16, 16))
+    for i, j, v in rows(V.product(V.product(V.transposed(p), a), p), "i", "j", "v"):
+        want[i, j] = v
+    assert np.allclose(s.ac, want)
+
+
 def test_factors_are_not_in_the_messages(spark):
     s = V.Schwarz(V.poisson(spark, 16), V.grid_blocks(spark, 16, 4), 2)
     sent = s._next(s._start(None), s._right_hand_side(spark.range(256).select(F.col("id").alias("i"), F.lit(1.0).alias("v")))[0])
