@@ -44,23 +44,30 @@ def folded(text: str) -> str:
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the suffixes in the order of their first `depth` tokens at least; ties in order of place. Prefix doubling."""
+    """Places of the suffixes in the order of their first `depth` tokens at least; ties in order of place.
+
+    Prefix doubling, which begins with as many tokens as fit into one number. Tokens are small whole numbers from 0.
+    """
     n = len(tokens)
-    _, rank = np.unique(tokens, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    order, k = np.argsort(rank, kind="stable"), 1
-    while k < depth and n:
-        key = rank * (n + 2)
-        key[:-k] += rank[k:] if k < n else 0
+    if not n:
+        return np.zeros(0, np.int64)
+    bits = (int(tokens.max()) + 1).bit_length()
+    k = max(1, min(62 // bits, depth))
+    key = np.zeros(n, np.int64)
+    for j in range(k):  # 0 beyond the end
+        key <<= bits
+        key[: n - j] += tokens[j:].astype(np.int64) + 1 if j < n else 0
+    while True:
         order = np.argsort(key, kind="stable")
         s = key[order]
         new = np.r_[True, s[1:] != s[:-1]]
+        if k >= depth or new.all():
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        if new.all():
-            break
+        key = rank * (n + 2)
+        key[:-k] += rank[k:] if k < n else 0
         k *= 2
-    return order
 
 
 def narrow(tokens: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
