@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import groupby
 
 import numpy as np
@@ -171,7 +172,8 @@ class _Shard:
         self.starts, self.n = [0], 0
         self.words: dict[str, int] = {}
         self.parts: list[np.ndarray] = []
-        self.find = regex.compile(WORD if kind == "words" else SYMBOL).findall
+        # words as a list; of characters what is left without the others
+        self.find = regex.compile(WORD).findall if kind == "words" else partial(regex.compile(r"[^\p{L}\p{N}]+").sub, "")
 
     def add(self, doc: int, text: str) -> None:
         found = self.find(text)
@@ -181,7 +183,7 @@ class _Shard:
             ids = self.words
             part = np.array([ids.setdefault(w, len(ids) + 1) for w in found], np.int64)
         else:
-            part = np.frombuffer("".join(found).encode("utf-32-le"), "<u4").astype(np.int64)
+            part = np.frombuffer(found.encode("utf-32-le"), "<u4").astype(np.int64)
         self.parts += [part, np.zeros(1, np.int64)]
         self.n += len(part) + 1
         self.docs.append(doc)
