@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -268,23 +269,34 @@ def throttled(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
     """The first row of each key, and then each that comes at least `gap` after the last one kept.
 
     A row at least `gap` after the row before it is always kept, whatever was kept before, so each run of closer rows is
-    thinned by itself: a key's rows are spread over its runs.
+    thinned by itself: a key's rows are spread over its runs. Only the closer rows go through Python, in order of their runs,
+    in batches with any number of runs; neither a run nor a key has to fit into memory.
     """
 
-    def run(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        for t in f["t"].sort_values():
-            if last is None or t - last >= gap:
-                keep.append(t)
-                last = t
-        return pd.DataFrame({"k": k[0], "t": keep})
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = last = None
+        for b in batches:
+            keep = []
+            for k, s, t in zip(*(b.column(c).to_pylist() for c in ("k", "s", "t"))):
+                if run != (k, s):
+                    run, last = (k, s), s
+                if t - last >= gap:
+                    last = t
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield b.select(["k", "t"]).filter(pa.array(keep, pa.bool_()))
 
     kind = dict(df.dtypes)
     d = df.select(F.col(key).alias("k"), F.col(time).alias("t")).where("k is not null and t is not null").distinct()
     d = cut(with_previous(d, "k", "t", ["t"]))
-    starts = d.where(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") >= gap)).select("k", F.col("t").alias("s"))
-    runs = asof(d.select("k", "t"), starts, "k", "t", "s", ["s"])
-    return runs.groupBy("k", "asof_s").applyInPandas(run, f"k {kind[key]}, t {kind[time]}").withColumnRenamed("k", key).withColumnRenamed("t", time)
+    far = F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") >= gap)
+    close = d.where(~far)
+    # a run starts at the row before a closer one that is not close itself
+    starts = close.select("k", F.col("prev_t").alias("s")).join(close.select("k", F.col("t").alias("s")), ["k", "s"], "left_anti")
+    runs = asof(close.select("k", "t"), starts, "k", "t", "s", ["s"]).select("k", F.col("asof_s").alias("s"), "t")
+    thinned = runs.repartition("k", "s").sortWithinPartitions("k", "s", "t").mapInArrow(thin, f"k {kind[key]}, t {kind[time]}")
+    return d.where(far).select("k", "t").unionByName(thinned).withColumnRenamed("k", key).withColumnRenamed("t", time)
 
 
 def tumbling(df: DataFrame, time: str, size: str, keys: list[str], slide: str | None = None, late: str | None = None) -> DataFrame:

@@ -109,6 +109,29 @@ def test_throttle_over_runs_is_throttle_over_all(spark):
     assert rows(N.throttled(df, "k", "t", 200), "k", "t") == [*((1, x) for x in keep), (2, 7)]
 
 
+def test_throttle_runs_no_python_group_for_each_run(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    def refused(*_):
+        raise AssertionError("a Python group for each run")
+
+    for way in ("applyInPandas", "applyInArrow"):
+        monkeypatch.setattr(GroupedData, way, refused)
+    day = 86_400_000  # lone rows, pairs, and a run of closer rows over the end of a day
+    t = [*range(0, 40_000, 400), *range(50_000, 60_000, 500), *range(50_100, 60_100, 500), *range(day - 1_000, day + 1_000, 90)]
+    keep = {k: [] for k in (1, 2)}
+    for k in keep:
+        for x in sorted(t):
+            if not keep[k] or x - keep[k][-1] >= 200:
+                keep[k].append(x)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # runs go on from batch to batch
+    try:
+        got = rows(N.throttled(spark.createDataFrame([(k, x) for k in keep for x in t], "k int, t bigint"), "k", "t", 200), "k", "t")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(k, x) for k in keep for x in keep[k]]
+
+
 def test_resumed_flows_and_provenance(spark, tmp_path):
     db = Catalog(spark, f"file://{tmp_path}/c").create("r")
     f, runs = Flows(), []
