@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import locality as LB
 from ..operators import lookup as L
 from ..operators import mapreduce as M
 from ..operators import merge as J
@@ -121,16 +122,17 @@ LOCAL = """with h as (select object_name, worker_id, max(coalesce(bytes, 0)) b f
 s as (select q.task_id, h.worker_id, cast(sum(b) as bigint) as bytes, count(*) as n_objects from q join h on q.object_name = h.object_name group by 1, 2)"""
 
 
-def _locality(spark: SparkSession, d: str) -> DataFrame:
+def _reads_and_holders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(task, object) of what is read, (object, worker, bytes) of what was written where."""
     io = table(spark, d, IO, "object_name", "direction", "worker_id", "task_id", "bytes")
     h = io.where("direction = 'w'").groupBy("object_name", "worker_id").agg(F.max(F.coalesce("bytes", F.lit(0))).alias("b"))
     q = io.where("direction = 'r'").select("task_id", "object_name").distinct()
-    return q.join(h, "object_name").groupBy("task_id", "worker_id").agg(F.sum("b").alias("bytes"), F.count(F.lit(1)).alias("n_objects"))
+    return q.select(F.col("task_id").alias("task"), F.col("object_name").alias("object")), h.select(F.col("object_name").alias("object"), F.col("worker_id").alias("worker"), F.col("b").alias("bytes"))
 
 
 @R("jn25_locality", LOCAL + "select * from s")
 def _(spark, d):
-    return _locality(spark, d)
+    return LB.local_bytes(*_reads_and_holders(spark, d)).select(F.col("task").alias("task_id"), F.col("worker").alias("worker_id"), "bytes", "n_objects")
 
 
 # outcomes

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import locality as LB
 from ..operators import mapreduce as M
 from ..operators import merge as J
 from ..operators import scheduling as W
@@ -21,7 +22,7 @@ from ..streaming import incremental as N
 from ..session import cut, file_at, table
 from .base import Register
 from .flows import Flows, chained
-from .relations import LOCAL, _locality
+from .relations import LOCAL, _reads_and_holders
 from .systems import GRID_N, POISSON, UPSERT, _catalog, _flows, _lib, _twf, _twf_files
 
 R = Register()
@@ -54,7 +55,7 @@ def _(spark, d):
         needs = F.when(F.col("task_id") % 5 == k, x) if needs is None else needs.when(F.col("task_id") % 5 == k, x)
     t = table(spark, d, "tasks", "task_id").where("task_id is not null").distinct().select(F.col("task_id").alias("task"), needs.alias("needs"), (F.col("task_id") % 3 != 0).alias("may_degrade"))
     w = table(spark, d, "workers", "worker_id", "attributes", "first_seen_ms").where("worker_id is not null").groupBy(F.col("worker_id").alias("worker")).agg(F.max(F.coalesce("attributes", F.lit(""))).alias("a"), F.min(F.coalesce("first_seen_ms", F.lit(0))).alias("idle_order"))
-    local = _locality(spark, d).select(F.col("task_id").alias("task"), F.col("worker_id").alias("worker"), "bytes")
+    local = LB.local_bytes(*_reads_and_holders(spark, d)).select("task", "worker", "bytes")
     return W.choose_workers(t, w.select("worker", F.split("a", ";").alias("has"), "idle_order"), local).select(F.col("task").alias("task_id"), F.col("worker").alias("worker_id"), "how")
 
 
