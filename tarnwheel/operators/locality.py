@@ -23,6 +23,8 @@ from .ordered import dense_ids
 
 #: Pairs that a cell makes, where all of them come out.
 PAIRS_OUT = 1 << 21
+#: Pairs that a cell makes, where one worker a task comes out.
+PAIRS_BEST = 1 << 25
 #: Pairs that a cell adds up at a time.
 PAIRS_AT_ONCE = 1 << 20
 #: Reads or holdings that a cell takes in.
@@ -62,11 +64,11 @@ def _added(task: np.ndarray, size: np.ndarray, worker: np.ndarray, held: np.ndar
 
 
 def sums(reads: pa.Table, held: pa.Table) -> tuple[pa.Array, pa.Array, Iterator[Sums]]:
-    """(tasks, workers, sums in blocks of whole tasks) of a cell. reads: task, unit; held: of (the unit), worker, bytes."""
+    """(tasks, workers, sums in blocks of whole tasks, in order of task and worker) of a cell. reads: task, unit; held: of (the unit), worker, bytes."""
     task, tasks = _codes(reads["task"])
     worker, workers = _codes(held["worker"])
     unit = _numpy(held["of"])
-    order = np.argsort(unit, kind="stable")
+    order = np.lexsort((worker, unit))
     unit, worker, size = unit[order], worker[order], _numpy(held["bytes"])[order]
     wanted = _numpy(reads["unit"])
     lo, hi = np.searchsorted(unit, wanted, "left"), np.searchsorted(unit, wanted, "right")
@@ -118,6 +120,23 @@ def _all(kinds: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return cell
 
 
+def _best(kinds: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def cell(reads: pa.Table, held: pa.Table) -> pa.Table:
+        if not reads.num_rows or not held.num_rows:
+            return kinds.empty_table()
+        tasks, workers, blocks = sums(reads, held)
+        made = []
+        for t, w, b, _ in blocks:  # whole tasks, in order of task and worker
+            starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            top = np.repeat(np.maximum.reduceat(b, starts), np.diff(np.r_[starts, len(t)]))
+            at = np.flatnonzero((b == top) & (top > 0))
+            at = at[np.flatnonzero(np.r_[True, t[at][1:] != t[at][:-1]])] if len(at) else at
+            made.append(pa.record_batch([tasks.take(pa.array(t[at])), workers.take(pa.array(w[at])), pa.array(b[at], pa.int64())], kinds))
+        return pa.Table.from_batches(made, kinds)
+
+    return cell
+
+
 def in_cells(reads: DataFrame, held: DataFrame, most: int, cell: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """What cell gives for the reads (task, unit) and holdings (unit, worker, bytes) of each cell of about `most` pairs; both are used twice."""
     met = reads.groupBy("unit").agg(F.count(F.lit(1)).alias("r")).join(held.groupBy("unit").agg(F.count(F.lit(1)).alias("w")), "unit")
@@ -145,3 +164,23 @@ def local_bytes(reads: DataFrame, holders: DataFrame, pairs: int = PAIRS_OUT) ->
     schema = f"task {dict(reads.dtypes)['task']}, worker {dict(holders.dtypes)['worker']}, bytes bigint, n_objects bigint"
     r, h = reads.join(ids, "object").select("task", "unit"), holders.join(ids, "object").select("unit", "worker", "bytes")
     return in_cells(cut(r), cut(h), pairs, _all(to_arrow_schema(StructType.fromDDL(schema))), schema)
+
+
+def most_local(tasks: DataFrame, fit: Callable[[DataFrame], DataFrame], reads: DataFrame, holders: DataFrame, pairs: int = PAIRS_BEST) -> DataFrame:
+    """(task, near: b, worker): the worker that holds most bytes (more than none) of what the task reads, of those that `fit` leaves; b is minus these bytes.
+
+    tasks: task, needs, distinct; fit: a function from (needs, object, worker, bytes) to those rows whose worker fits the needs; reads and
+    holders as for local_bytes. Ties go to the smaller worker. Tasks that read one object share its answer; only the others meet in cells.
+    """
+    wanted = cut(tasks.join(reads, "task").where("object is not null").select("task", "needs", "object"))
+    ids = dense_ids(wanted.select("needs", "object").distinct(), ["needs", "object"], "unit")
+    ids = cut(ids.select("needs", "object", F.col("unit").cast("bigint").alias("unit")))
+    held = cut(fit(ids.join(holders.select("object", "worker", F.col("bytes").cast("bigint").alias("bytes")), "object")).select("unit", "worker", "bytes"))
+    near = F.min(F.struct((-F.col("bytes")).alias("b"), "worker")).alias("near")
+    alone = wanted.groupBy("task").agg(F.count(F.lit(1)).alias("_n"), F.any_value("needs").alias("needs"), F.any_value("object").alias("object")).where("_n = 1")
+    one = alone.join(ids, ["needs", "object"]).join(held.where("bytes > 0").groupBy("unit").agg(near), "unit").select("task", "near")
+    many = cut(wanted.join(alone, "task", "left_anti").join(ids, ["needs", "object"]).select("task", "unit"))
+    met = held.join(many.select("unit").distinct(), "unit", "left_semi")
+    schema = f"task {dict(tasks.dtypes)['task']}, worker {dict(holders.dtypes)['worker']}, bytes bigint"
+    found = in_cells(many, met, pairs, _best(to_arrow_schema(StructType.fromDDL(schema))), schema)
+    return one.unionByName(found.groupBy("task").agg(near))

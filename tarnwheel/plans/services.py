@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import locality as LB
 from ..operators import mapreduce as M
 from ..operators import merge as J
 from ..operators import scheduling as W
@@ -55,8 +54,8 @@ def _(spark, d):
         needs = F.when(F.col("task_id") % 5 == k, x) if needs is None else needs.when(F.col("task_id") % 5 == k, x)
     t = table(spark, d, "tasks", "task_id").where("task_id is not null").distinct().select(F.col("task_id").alias("task"), needs.alias("needs"), (F.col("task_id") % 3 != 0).alias("may_degrade"))
     w = table(spark, d, "workers", "worker_id", "attributes", "first_seen_ms").where("worker_id is not null").groupBy(F.col("worker_id").alias("worker")).agg(F.max(F.coalesce("attributes", F.lit(""))).alias("a"), F.min(F.coalesce("first_seen_ms", F.lit(0))).alias("idle_order"))
-    local = LB.local_bytes(*_reads_and_holders(spark, d)).select("task", "worker", "bytes")
-    return W.choose_workers(t, w.select("worker", F.split("a", ";").alias("has"), "idle_order"), local).select(F.col("task").alias("task_id"), F.col("worker").alias("worker_id"), "how")
+    reads, holders = _reads_and_holders(spark, d)
+    return W.choose_workers(t, w.select("worker", F.split("a", ";").alias("has"), "idle_order"), reads=reads, holders=holders).select(F.col("task").alias("task_id"), F.col("worker").alias("worker_id"), "how")
 
 
 @R("jn27_renumber", """with f as (select object_name n, min(id) o from object_io where object_name is not null group by 1), g as (select n, o, case when o % 3 <> 0 then o % 997 end g from f), c as (select *, g is not null and row_number() over (partition by g order by o, n) = 1 kept from g),

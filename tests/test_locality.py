@@ -71,3 +71,40 @@ def test_pairs_of_tasks_and_workers_are_not_shuffled(spark, tmp_path):
     plan = df._jdf.queryExecution().sparkPlan().toString()
     made = next(i for i, line in enumerate(plan.split("\n")) if "FlatMapCoGroupsInArrow" in line or "Join" in line)
     assert not any("Aggregate" in line for line in plan.split("\n")[:made])
+
+
+@pytest.mark.parametrize("pairs", [40, LB.PAIRS_BEST])
+def test_most_local_of_those_that_fit(spark, pairs):
+    reads, held = _tables(7)
+    needs = {t: ["a"] if t % 3 else ["b"] for t in range(40) if t % 5}
+    fits = lambda n, w: w is not None and w % 2 == (n == ["a"])
+    want = {}
+    for (t, w), (b, _) in _summed(reads, held).items():
+        if b > 0 and t in needs and fits(needs[t], w):
+            want[t] = min(want.get(t, (0, 0)), (-b, w))
+    got = LB.most_local(
+        spark.createDataFrame(list(needs.items()), "task int, needs array<string>"),
+        lambda df: df.where("worker % 2 = if(needs[0] = 'a', 1, 0)"),
+        spark.createDataFrame(reads, "task int, object string"),
+        spark.createDataFrame(held, "object string, worker int, bytes bigint"),
+        pairs,
+    )
+    assert {r["task"]: tuple(r["near"]) for r in got.collect()} == want
+
+
+def test_worker_choice_adds_up_only_what_it_needs(spark, monkeypatch):
+    """The pairs of all tasks and workers are not made to choose one worker for each of some tasks."""
+    from tarnwheel.operators import scheduling as W
+
+    reads, held = _tables(8)
+    reads, held = [r for r in reads if r[0] is not None], [h for h in held if h[1] is not None]
+    tasks = spark.createDataFrame([(t, ["a", "z"][: 1 + t % 2], t % 3 > 0) for t in range(45)], "task int, needs array<string>, may_degrade boolean")
+    workers = spark.createDataFrame([(w, ["a"] if w % 4 else [], 40 - w) for w in range(32)], "worker int, has array<string>, idle_order int")
+    r, h = spark.createDataFrame(reads, "task int, object string"), spark.createDataFrame(held, "object string, worker int, bytes bigint")
+    want = rows(W.choose_workers(tasks, workers, LB.local_bytes(r, h).drop("n_objects")), "task", "worker", "how")
+    met = []
+    in_cells = LB.in_cells
+    monkeypatch.setattr(LB, "in_cells", lambda q, *rest: met.append({x["task"] for x in q.collect()}) or in_cells(q, *rest))
+    assert rows(W.choose_workers(tasks, workers, reads=r, holders=h), "task", "worker", "how") == want
+    assert len(met) == 1 and all(t % 2 and t % 3 for t in met[0])
+    assert {x[2] for x in want} == {"full", "wait", "local", "degraded"}
