@@ -1,7 +1,7 @@
 """How many bytes of what a task reads each worker holds.
 
 Tasks and workers meet in a grid of cells: a block of tasks by a block of workers, both by hash. A cell gets the reads
-of its tasks and the holdings of its workers and adds up in numpy, so the pairs of a task and a worker, which grow with
+of its tasks and the holdings of its workers and adds up in numpy, block by block, so the pairs of a task and a worker, which grow with
 the square of the tables, are neither shuffled nor sorted; an object that everybody reads or holds is spread over all cells.
 """
 
@@ -21,10 +21,8 @@ from pyspark.sql.types import StructType
 from ..session import cpus, cut
 from .ordered import dense_ids
 
-#: Pairs that a cell makes, where all of them come out.
-PAIRS_OUT = 1 << 21
-#: Pairs that a cell makes, where one worker a task comes out.
-PAIRS_BEST = 1 << 25
+#: Pairs that a cell makes.
+PAIRS = 1 << 25
 #: Pairs that a cell adds up at a time.
 PAIRS_AT_ONCE = 1 << 20
 #: Reads or holdings that a cell takes in.
@@ -109,36 +107,52 @@ def sums(reads: pa.Table, held: pa.Table) -> tuple[pa.Array, pa.Array, Iterator[
     return tasks, workers, blocks()
 
 
-def _all(kinds: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def cell(reads: pa.Table, held: pa.Table) -> pa.Table:
-        if not reads.num_rows or not held.num_rows:  # an empty side has no columns
-            return kinds.empty_table()
-        tasks, workers, blocks = sums(reads, held)
-        made = [pa.record_batch([tasks.take(pa.array(t)), workers.take(pa.array(w)), pa.array(b, pa.int64()), pa.array(n, pa.int64())], kinds) for t, w, b, n in blocks]
-        return pa.Table.from_batches([m.slice(i, 1 << 16) for m in made for i in range(0, m.num_rows, 1 << 16)], kinds)
+#: What comes out of a cell's sums, batch by batch.
+Made = Callable[[pa.Array, pa.Array, Iterator[Sums]], Iterator[pa.RecordBatch]]
+#: Rows of a batch that comes out.
+BATCH = 1 << 16
 
-    return cell
 
+def _all(kinds: pa.Schema) -> Made:
+    def made(tasks: pa.Array, workers: pa.Array, blocks: Iterator[Sums]) -> Iterator[pa.RecordBatch]:
+        for block in blocks:
+            for i in range(0, len(block[0]), BATCH):
+                t, w, b, n = (x[i : i + BATCH] for x in block)
+                yield pa.record_batch([tasks.take(pa.array(t)), workers.take(pa.array(w)), pa.array(b, pa.int64()), pa.array(n, pa.int64())], kinds)
+
+    return made
 
-def _best(kinds: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def cell(reads: pa.Table, held: pa.Table) -> pa.Table:
-        if not reads.num_rows or not held.num_rows:
-            return kinds.empty_table()
-        tasks, workers, blocks = sums(reads, held)
-        made = []
+
+def _best(kinds: pa.Schema) -> Made:
+    def made(tasks: pa.Array, workers: pa.Array, blocks: Iterator[Sums]) -> Iterator[pa.RecordBatch]:
         for t, w, b, _ in blocks:  # whole tasks, in order of task and worker
             starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
             top = np.repeat(np.maximum.reduceat(b, starts), np.diff(np.r_[starts, len(t)]))
             at = np.flatnonzero((b == top) & (top > 0))
             at = at[np.flatnonzero(np.r_[True, t[at][1:] != t[at][:-1]])] if len(at) else at
-            made.append(pa.record_batch([tasks.take(pa.array(t[at])), workers.take(pa.array(w[at])), pa.array(b[at], pa.int64())], kinds))
-        return pa.Table.from_batches(made, kinds)
+            yield pa.record_batch([tasks.take(pa.array(t[at])), workers.take(pa.array(w[at])), pa.array(b[at], pa.int64())], kinds)
+
+    return made
+
+
+def _celled(made: Made) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The work of a partition, which is a cell."""
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        both = pa.Table.from_batches(got)
+        side = both["reads"]
+        reads, held = both.filter(side).select(["task", "unit"]), both.filter(pc.invert(side)).select(["unit", "worker", "bytes"])
+        if reads.num_rows and held.num_rows:
+            yield from made(*sums(reads, held.rename_columns(["of", "worker", "bytes"])))
 
     return cell
 
 
-def in_cells(reads: DataFrame, held: DataFrame, most: int, cell: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """What cell gives for the reads (task, unit) and holdings (unit, worker, bytes) of each cell of about `most` pairs; both are used twice."""
+def in_cells(reads: DataFrame, held: DataFrame, most: int, made: Made, schema: str) -> DataFrame:
+    """What is made of the sums of reads (task, unit) and holdings (unit, worker, bytes) in each cell of about `most` pairs; both are used twice."""
     met = reads.groupBy("unit").agg(F.count(F.lit(1)).alias("r")).join(held.groupBy("unit").agg(F.count(F.lit(1)).alias("w")), "unit")
     pairs, r, w = met.agg(F.sum(F.col("r").cast("double") * F.col("w")), F.sum("r"), F.sum("w")).first()
     if not pairs:
@@ -147,14 +161,16 @@ def in_cells(reads: DataFrame, held: DataFrame, most: int, cell: Callable[[pa.Ta
     # rows that travel are r * across + w * down
     down = max(1, min(n, round(math.sqrt(n * r / w))), math.ceil(r / CELL_ROWS))
     across = max(math.ceil(n / down), math.ceil(w / CELL_ROWS))
-    left = reads.select("task", "unit", F.pmod(F.xxhash64("task"), F.lit(down)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("j"))
-    right = held.select(F.col("unit").alias("of"), "worker", "bytes", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("i"), F.pmod(F.xxhash64("worker"), F.lit(across)).cast("int").alias("j"))
-    parts = min(down * across, 2000)
-    by = lambda x: x.repartition(parts, "i", "j").groupBy("i", "j")  # noqa: E731  # a number, as small inputs make many pairs
-    return by(left).cogroup(by(right)).applyInArrow(cell, schema)
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = reads.select("task", "unit", block("task", down).alias("i"), every(across).alias("j")).withColumns({"worker": F.lit(None).cast(dict(held.dtypes)["worker"]), "bytes": F.lit(None).cast("bigint"), "reads": F.lit(True)})
+    right = held.select("unit", "worker", "bytes", block("worker", across).alias("j"), every(down).alias("i")).withColumns({"task": F.lit(None).cast(dict(reads.dtypes)["task"]), "reads": F.lit(False)})
+    cell = (F.col("i") * across + F.col("j")).alias("cell")
+    both = left.select(cell, "reads", "task", "unit", "worker", "bytes").unionByName(right.select(cell, "reads", "task", "unit", "worker", "bytes"))
+    return both.repartitionById(down * across, "cell").mapInArrow(_celled(made), schema)
 
 
-def local_bytes(reads: DataFrame, holders: DataFrame, pairs: int = PAIRS_OUT) -> DataFrame:
+def local_bytes(reads: DataFrame, holders: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """(task, worker, bytes, n_objects): what each worker holds of the objects that each task reads; no row without any.
 
     reads: (task, object), distinct; holders: (object, worker, bytes), one row for each object and worker.
@@ -166,7 +182,7 @@ def local_bytes(reads: DataFrame, holders: DataFrame, pairs: int = PAIRS_OUT) ->
     return in_cells(cut(r), cut(h), pairs, _all(to_arrow_schema(StructType.fromDDL(schema))), schema)
 
 
-def most_local(tasks: DataFrame, fit: Callable[[DataFrame], DataFrame], reads: DataFrame, holders: DataFrame, pairs: int = PAIRS_BEST) -> DataFrame:
+def most_local(tasks: DataFrame, fit: Callable[[DataFrame], DataFrame], reads: DataFrame, holders: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """(task, near: b, worker): the worker that holds most bytes (more than none) of what the task reads, of those that `fit` leaves; b is minus these bytes.
 
     tasks: task, needs, distinct; fit: a function from (needs, object, worker, bytes) to those rows whose worker fits the needs; reads and

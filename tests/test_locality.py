@@ -27,7 +27,7 @@ def _summed(reads, held):
     return {k: tuple(v) for k, v in s.items()}
 
 
-@pytest.mark.parametrize("pairs", [40, 400, LB.PAIRS_OUT])
+@pytest.mark.parametrize("pairs", [40, 400, LB.PAIRS])
 def test_local_bytes_in_any_cells(spark, pairs):
     reads, held = _tables()
     got = LB.local_bytes(spark.createDataFrame(reads, "task int, object string"), spark.createDataFrame(held, "object string, worker int, bytes bigint"), pairs).collect()
@@ -69,11 +69,11 @@ def test_pairs_of_tasks_and_workers_are_not_shuffled(spark, tmp_path):
     df = __spark_entry__.queries()["jn25_locality"](spark, str(tmp_path))
     assert df.count() == n * 50
     plan = df._jdf.queryExecution().sparkPlan().toString()
-    made = next(i for i, line in enumerate(plan.split("\n")) if "FlatMapCoGroupsInArrow" in line or "Join" in line)
+    made = next(i for i, line in enumerate(plan.split("\n")) if "MapInArrow" in line or "Join" in line)
     assert not any("Aggregate" in line for line in plan.split("\n")[:made])
 
 
-@pytest.mark.parametrize("pairs", [40, LB.PAIRS_BEST])
+@pytest.mark.parametrize("pairs", [40, LB.PAIRS])
 def test_most_local_of_those_that_fit(spark, pairs):
     reads, held = _tables(7)
     needs = {t: ["a"] if t % 3 else ["b"] for t in range(40) if t % 5}
